@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,23 +22,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_table(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Cut lineage: write to the shared folder and read back. Survives lost executors, unlike a cache."""
+    """Cut lineage: write to the shared folder and read back. Survives lost executors, unlike a cache.
+
+    The table is whole when the write ends, so the shuffle files behind it are removed at once.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    free_shuffles(spark)
     return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark drops the shuffle files of finished queries once their plans are collected as garbage; ask for that now."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete a scratch table that no later plan reads."""
     path = getattr(df, "_scratch_path", None)

@@ -1,18 +1,20 @@
 """Links between near-equal items: pivot-first candidate pairs, exact verification, distributed union-find.
 
 A bucket (all items that share a key) may hold a third of all rows, so pairs within a bucket are never listed outright.
-First every item is verified against its bucket's pivot only, which joins a group of near copies in linear work.
-Then only pairs of *different* components in one bucket are verified, so no link that matters for components is lost.
+First every item is verified against the pivots of its buckets only, which joins a group of near copies in linear work; the pivot is the
+item that shares the most with others, so that it is near the middle of its group. Then only pairs of *different* components that the
+exact prefix and position filters leave are verified, so no link that matters for components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, write_table
+from .common import GOLD, U64, drop_table, mix64, write_table
 
 
 def connected_components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -35,35 +37,91 @@ def connected_components(edges: DataFrame, most: int = 40) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def link_components(buckets: DataFrame, load: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame], extra: list[str], may_link: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
+def ordered(s: np.ndarray, known: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
+    """The set in global order number `order`: rare tokens first, then by a hash that differs with the order. known: sorted frequent tokens."""
+    rank = np.zeros(len(s), U64)
+    if len(known):
+        at = np.searchsorted(known, s)
+        at[at == len(known)] = 0
+        rank = np.where(known[at] == s, classes[at], U64(0))
+    with np.errstate(over="ignore"):
+        h = mix64(s + GOLD * U64(order + 1))
+    return s[np.argsort((rank << U64(58)) | (h >> U64(6)), kind="stable")]
+
+
+def position_filter(percent: int) -> Callable[[str, str], Column]:
+    """Sizes n, then what can still be shared from the first common token on, at the places pos of the two orders."""
+
+    def may_link(x: str, y: str) -> Column:
+        a, b, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
+        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * (1 + F.least(a - i - 1, b - j - 1)) >= percent * (a + b))
+
+    return may_link
+
+
+def link_components(
+    buckets: DataFrame,
+    load: Callable[[DataFrame], DataFrame],
+    linked: Callable[[DataFrame], DataFrame],
+    extra: list[str],
+    may_link: Callable[[str, str], Column],
+    narrow: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    finer: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """buckets (key, id, *extra) -> (links used (a, b), (node, comp)).
 
     load: (id) -> (id, columns that the verification needs), called once, for the items that share a bucket with another item.
+    narrow: pairs (a, b) -> those that further filters leave, before the loaded columns are joined.
     linked: pairs (a, b, a_*, b_*) -> those that link, given the loaded columns of both sides.
+    finer: rows of `side` -> buckets (key, id, *extra) in which every link is found again, used for the items of buckets that star
+    pairs do not settle; without it their own buckets serve.
     may_link(x, y): a necessary condition for a link in a bucket between the rows with the prefixes x and y, from `extra` alone.
     """
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").select("key", "pivot")
-    active = write_table(buckets.join(pivots, "key").distinct())
+    shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    active = write_table(buckets.join(shared, "key").distinct())
+    rank = active.groupBy("id").agg(F.sum("size").alias("reach"))
+    pivots = active.select("key", "id").join(rank, "id").groupBy("key").agg(F.max(F.struct("reach", "id")).alias("p")).select("key", "p")
     side = write_table(load(active.select("id").distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = narrow(pairs)
         for s in "ab":
             pairs = pairs.join(side.select(*[F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in side.columns]), s)
         return linked(pairs).select("a", "b")
 
-    star = write_table(active.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = write_table(verify(star))
-    comp = write_table(connected_components(links))
-    named = write_table(active.select("key", "id", *extra).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(mixed, "key", "left_semi")
+    def components(names: DataFrame) -> DataFrame:
+        return write_table(connected_components(names))
+
+    # Each item against its farthest-reaching pivot; then against those of its pivots that are still in another component.
+    star = write_table(active.select("key", "id").join(pivots, "key").where("id <> p.id").select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("p.reach").alias("reach")).distinct())
+    first = star.groupBy("a").agg(F.max(F.struct("reach", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
+    links = write_table(verify(first))
+    comp = components(links)
+    open_star = star.join(first, ["a", "b"], "left_anti")
+    for s in "ab":
+        open_star = open_star.join(comp.select(F.col("node").alias(s), F.col("comp").alias(f"{s}_comp")), s, "left").withColumn(f"{s}_comp", F.coalesce(f"{s}_comp", s))
+    more = write_table(verify(open_star.where("a_comp <> b_comp").select("a", "b")))
+    edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp = components(edges.unionByName(more))
+        edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    # What is left: buckets with several components, there every pair with an item outside the bucket's main component.
+    def named(rows: DataFrame) -> DataFrame:
+        rows = rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        return write_table(rows.join(mixed, "key", "left_semi"))
+
+    rest = named(active.select("key", "id", *(extra if finer is None else [])))
+    if finer is not None:
+        rest = named(finer(side.join(rest.select("id").distinct(), "id", "left_semi")))
+    main = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
     cols = ["id", "comp", *extra]
-    left, right = (rest.select("key", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "ab")
-    pairs = left.join(right, "key").where("a_id < b_id and a_comp <> b_comp").where(may_link("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    left, right = (x.select("key", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s, x in (("a", rest.join(main, "key").where("comp <> main")), ("b", rest)))
+    pairs = left.join(right, "key").where("a_comp <> b_comp").where(may_link("a_", "b_")).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
     tried = star.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    pairs = write_table(pairs.join(tried, ["a", "b"], "left_anti"))
-    more = write_table(verify(pairs))
+    more = write_table(verify(pairs.join(tried, ["a", "b"], "left_anti")))
     drop_table(active)
     if more.isEmpty():
         return links, comp
-    return links.unionByName(more), write_table(connected_components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)))
+    return links.unionByName(more), components(edges.unionByName(more))

@@ -157,7 +157,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = 400, langs: int = 200) -> Model:
+def fit(docs: DataFrame, per_lang: int = 200, langs: int = 200) -> Model:
     """Learn from a sample of about per_lang documents a language: those with the least hash of doc_id, by a threshold from the counts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()

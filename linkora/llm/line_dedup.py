@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, table, write_table
-from .graph import link_components
+from .common import U64, chunked, table, write_table
+from .graph import link_components, ordered, position_filter
 from .minhash import band_keys, char_shingles, signatures
 
 CHUNK = 400_000
@@ -58,19 +58,69 @@ def _lines(docs: DataFrame, k: int, bands: int, rows: int, least: int) -> DataFr
     return docs.select("d", "rk", "text").mapInArrow(make, "d long, rk long, line_no int, id long, keys array<long>")
 
 
-def _shingles(rows: DataFrame, k: int) -> DataFrame:
-    """(text, want array<struct<line_no, id>>) -> (id, items): distinct shingle hashes of the wanted lines."""
+def _wanted(rows: DataFrame) -> DataFrame:
+    """(text, want array<struct<line_no, id>>) -> (id, line): the normalised wanted lines."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(w["id"], normalised(lines[w["line_no"]])) for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for lines in [text.split("\n")] for w in want]
-            for part in chunked(found, lambda x: len(x[1]), CHUNK):
-                h, n = char_shingles([s for _, s in part], k, wide=True)
-                sets = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.record_batch({"id": pa.array([i for i, _ in part], pa.int64()), "items": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))})
+            yield pa.record_batch({"id": pa.array([i for i, _ in found], pa.int64()), "line": pa.array([s for _, s in found], pa.string())})
 
-    return rows.select("text", "want").mapInArrow(make, "id long, items array<long>")
+    return rows.select("text", "want").mapInArrow(make, "id long, line string")
+
+
+def _linked(pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (a, b, a_line, b_line) -> (a, b) with a Jaccard similarity of their shingle sets of `percent` or more."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = ({s[i : i + k] for i in range(max(len(s) - k, 0) + 1)} for s in (x, y))
+                both = len(p & q)
+                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "a_line", "b_line").mapInArrow(make, "a long, b long")
+
+
+def _prefixes(lines: DataFrame, k: int, percent: int, frequent: int, often: int) -> DataFrame:
+    """(id, line) -> (key, id, n, pos): the shingles of a line that come first in a global order, rare ones first.
+
+    Lines with `percent` Jaccard similarity share one of their first n - ceil(percent n) + 1 shingles. The order puts the `frequent` shingles
+    that are seen most often within batches last; the counts only shape the order.
+    """
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        for part in chunked(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), lambda x: len(x[1]), CHUNK):
+            h, n = char_shingles([s for _, s in part], k, wide=True)
+            yield [i for i, _ in part], [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, found in sets(batch):
+                token, n = np.unique(np.concatenate(found), return_counts=True)
+                keep = n >= often
+                yield pa.record_batch({"token": pa.array(token[keep].view(np.int64)), "n": pa.array(n[keep].astype(np.int64))})
+
+    rows = lines.select("id", "line").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent).collect()
+    known = np.array([r["token"] for r in rows], dtype=np.int64).view(U64)
+    order = np.argsort(known)
+    known, classes = known[order], np.array([int(r["n"]).bit_length() for r in rows], dtype=U64)[order]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, found in sets(batch):
+                out: tuple[list, ...] = ([], [], [], [])
+                for i, s in zip(ids, found):
+                    m = len(s) - (percent * len(s) + 99) // 100 + 1
+                    first = ordered(s, known, classes, 0)[:m]
+                    for col, v in zip(out, (first.view(np.int64), np.full(m, i), np.full(m, len(s)), np.arange(m))):
+                        col.append(v)
+                key, own, n, pos = map(np.concatenate, out)
+                yield pa.record_batch({"key": pa.array(key), "id": pa.array(own, pa.int64()), "n": pa.array(n, pa.int32()), "pos": pa.array(pos, pa.int32())})
+
+    return lines.select("id", "line").mapInArrow(make, "key long, id long, n int, pos int")
 
 
 def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10, rows: int = 4, least: int = 30) -> DataFrame:
@@ -86,12 +136,9 @@ def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10,
     def load(wanted: DataFrame) -> DataFrame:
         where = lines.select("id", "rk", "line_no").join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("rk", "line_no")).alias("w"))
         where = where.groupBy(F.col("w.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("w.line_no").alias("line_no"), "id")).alias("want"))
-        return _shingles(base.join(where.hint("shuffle_hash"), "rk"), k).dropDuplicates(["id"])
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("both", F.size(F.array_intersect("a_items", "b_items"))).where(100 * F.col("both") >= percent * (F.size("a_items") + F.size("b_items") - F.col("both")))
+        return _wanted(base.join(where.hint("shuffle_hash"), "rk")).dropDuplicates(["id"])
 
-    _, comp = link_components(buckets, load, linked, [], lambda x, y: F.lit(True))
+    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", "pos"], position_filter(percent), finer=lambda lines: _prefixes(lines, k, percent, 65_536, 8))
     first = lines.groupBy("id").agg(F.min(F.struct("d", "rk", "line_no")).alias("w"))
     first = first.join(comp.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min("w").alias("w"))
     keep = first.select(F.col("w.rk").alias("rk"), F.col("w.line_no").alias("line_no"))

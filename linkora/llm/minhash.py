@@ -25,10 +25,7 @@ def char_shingles(lines: list[str], k: int, wide: bool = False) -> tuple[np.ndar
         h *= GOLD
         h ^= h >> U64(29)
         h *= U64(0xBF58476D1CE4E5B9)
-        if wide:
-            h = mix64(h)
-        else:
-            h = (h >> U64(32)).astype(U32)
+        h = mix64(h) if wide else (h >> U64(32)).astype(U32)
     keep = np.ones(len(c), dtype=bool)
     if len(lines):
         last = np.cumsum(size)

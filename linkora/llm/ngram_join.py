@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, GOLD, chunked, mix64, shingle_sets, table, write_table
-from .graph import link_components
+from .common import U64, chunked, shingle_sets, table, write_table
+from .graph import link_components, ordered, position_filter
 
 CHUNK = 2_000_000
 
@@ -47,18 +47,6 @@ def frequent_tokens(docs: DataFrame, k: int, most: int, least: int) -> np.ndarra
     return out[np.argsort(out[:, 0].view(U64))]
 
 
-def _ordered(s: np.ndarray, known: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """The set in global order number `order`: rare tokens first, then by a hash that differs with the order."""
-    rank = np.zeros(len(s), U64)
-    if len(known):
-        at = np.searchsorted(known, s)
-        at[at == len(known)] = 0
-        rank = np.where(known[at] == s, classes[at], U64(0))
-    with np.errstate(over="ignore"):
-        h = mix64(s + GOLD * U64(order + 1))
-    return s[np.argsort((rank << U64(58)) | (h >> U64(6)), kind="stable")]
-
-
 def shingle_table(docs: DataFrame, known: np.ndarray, k: int, percent: int, orders: int) -> DataFrame:
     """(doc_id, row hash rk, n_shingles, id of the class, prefix under each order p0..)."""
     tokens, classes = known[:, 0].copy().view(U64), known[:, 1].astype(U64)
@@ -73,32 +61,41 @@ def shingle_table(docs: DataFrame, known: np.ndarray, k: int, percent: int, orde
                 for s in sets:
                     m = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                     for i, p in enumerate(prefixes):
-                        p.append(_ordered(s, tokens, classes, i)[:m].view(np.int64))
+                        p.append(ordered(s, tokens, classes, i)[:m].view(np.int64))
                 cls = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
                 lists = {}
                 for name, p in zip(names, prefixes):
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in p])]).astype(np.int32)
-                    lists[name] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)))
+                    flat = np.concatenate(p) if p else np.zeros(0, np.int64)
+                    # The first prefix lists candidates by whole hashes; the further ones only filter, for which half of the bits do.
+                    lists[name] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat if name == "p0" else flat.astype(np.int32)))
                 own = batch.slice(at, len(sets))
                 yield pa.record_batch({"doc_id": own.column(0), "rk": own.column(1), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "id": pa.array(cls, pa.int64()), **lists})
                 at += len(sets)
 
-    return docs.select("doc_id", "rk", "text").mapInArrow(rows, "doc_id long, rk long, n_shingles long, id long, " + ", ".join(f"{n} array<long>" for n in names))
+    return docs.select("doc_id", "rk", "text").mapInArrow(rows, "doc_id long, rk long, n_shingles long, id long, " + ", ".join(f"{n} array<{'long' if n == 'p0' else 'int'}>" for n in names))
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """(id, text) -> (id, items)."""
+def _linked(pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (a, b, a_text, b_text) -> (a, b) with 100 * |x & y| >= percent * |x | y|."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for part in chunked(_texts(batch), len, CHUNK):
-                sets = shingle_sets(part, k)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.record_batch({"id": pa.array(ids[at : at + len(sets)], pa.int64()), "items": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))})
-                at += len(sets)
-
-    return rows.mapInArrow(make, "id long, items array<long>")
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = {i: t for name, of in (("a_text", a), ("b_text", b)) for i, t in zip(of, _texts(batch, name)) if i not in last}
+            for part in chunked(list(texts.items()), lambda x: len(x[1]), CHUNK):
+                last |= zip([i for i, _ in part], shingle_sets([t for _, t in part], k))
+            keep = []
+            for x, y in zip(a, b):
+                p, q = last[x], last[y]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            if len(last) > 20_000:
+                last.clear()
+
+    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(make, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = 3, frequent: int = 65_536, frequent_in_batch: int = 8) -> DataFrame:
@@ -112,23 +109,22 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, orders: i
     further = [f"p{i}" for i in range(1, orders)]
     buckets = made.where("id is not null").select("id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("p0").alias("pos", "key")).select("key", "id", "n", "pos")
 
-    def may_link(x: str, y: str) -> Column:
-        # sizes, then what can still be shared from the first common token on
-        a, b, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * (1 + F.least(a - i - 1, b - j - 1)) >= percent * (a + b))
+    sides: list[DataFrame] = []
 
     def load(wanted: DataFrame) -> DataFrame:
-        one = made.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("rk").alias("rk"))
-        prefixes = made.select("id", "rk", *further).join(one.select("rk"), "rk", "left_semi").drop("rk").dropDuplicates(["id"])
-        texts = docs.join(one, "rk").select("id", "text").dropDuplicates(["id"])
-        return _sets(texts, k).join(prefixes, "id")
-
-    def linked(pairs: DataFrame) -> DataFrame:
+        one = write_table(made.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("rk").alias("rk")))
+        sides.append(write_table(made.select("rk", F.col("n_shingles").alias("n"), *further).join(one, "rk").dropDuplicates(["rk"]).drop("rk")))
+        return docs.select("rk", "text").join(one, "rk").dropDuplicates(["rk"]).select("id", "text")
+
+    def narrow(pairs: DataFrame) -> DataFrame:
+        for s in "ab":
+            pairs = pairs.join(sides[0].select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *further)]), s)
+        pairs = pairs.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
         for p in further:
             pairs = pairs.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
-        return pairs.withColumn("both", F.size(F.array_intersect("a_items", "b_items"))).where(100 * F.col("both") >= percent * (F.size("a_items") + F.size("b_items") - F.col("both")))
+        return pairs.select("a", "b")
 
-    _, comp = link_components(buckets, load, linked, ["n", "pos"], may_link)
+    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", "pos"], position_filter(percent), narrow)
     classes = made.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "low", F.coalesce("comp", "id").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
