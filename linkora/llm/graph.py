@@ -3,7 +3,7 @@
 A bucket (all items that share a key) may hold a third of all rows, so pairs within a bucket are never listed outright.
 First every item is verified against the pivots of its buckets only, which joins a group of near copies in linear work; the pivot is the
 item that shares the most with others, so that it is near the middle of its group. Then only pairs of *different* components that the
-exact prefix and position filters leave are verified, so no link that matters for components is lost.
+exact filters leave are verified, so no link that matters for components is lost.
 """
 
 from __future__ import annotations
@@ -66,15 +66,14 @@ def link_components(
     extra: list[str],
     may_link: Callable[[str, str], Column],
     narrow: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-    finer: Callable[[DataFrame], DataFrame] | None = None,
+    describe: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """buckets (key, id, *extra) -> (links used (a, b), (node, comp)).
 
     load: (id) -> (id, columns that the verification needs), called once, for the items that share a bucket with another item.
     narrow: pairs (a, b) -> those that further filters leave, before the loaded columns are joined.
     linked: pairs (a, b, a_*, b_*) -> those that link, given the loaded columns of both sides.
-    finer: rows of `side` -> buckets (key, id, *extra) in which every link is found again, used for the items of buckets that star
-    pairs do not settle; without it their own buckets serve.
+    describe: loaded rows -> (id, *extra), where `extra` comes from those and not with the buckets.
     may_link(x, y): a necessary condition for a link in a bucket between the rows with the prefixes x and y, from `extra` alone.
     """
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
@@ -112,9 +111,9 @@ def link_components(
         mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         return write_table(rows.join(mixed, "key", "left_semi"))
 
-    rest = named(active.select("key", "id", *(extra if finer is None else [])))
-    if finer is not None:
-        rest = named(finer(side.join(rest.select("id").distinct(), "id", "left_semi")))
+    rest = named(active.select("key", "id", *(extra if describe is None else [])))
+    if describe is not None:
+        rest = write_table(rest.join(describe(side.join(rest.select("id").distinct(), "id", "left_semi")), "id"))
     main = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
     cols = ["id", "comp", *extra]
     left, right = (x.select("key", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s, x in (("a", rest.join(main, "key").where("comp <> main")), ("b", rest)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, chunked, table, write_table
-from .graph import link_components, ordered, position_filter
+from .graph import link_components
 from .minhash import band_keys, char_shingles, signatures
 
 CHUNK = 400_000
@@ -84,43 +84,33 @@ def _linked(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "a_line", "b_line").mapInArrow(make, "a long, b long")
 
 
-def _prefixes(lines: DataFrame, k: int, percent: int, frequent: int, often: int) -> DataFrame:
-    """(id, line) -> (key, id, n, pos): the shingles of a line that come first in a global order, rare ones first.
+SKETCH = [f"s{i}" for i in range(8)]
 
-    Lines with `percent` Jaccard similarity share one of their first n - ceil(percent n) + 1 shingles. The order puts the `frequent` shingles
-    that are seen most often within batches last; the counts only shape the order.
-    """
 
-    def sets(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-        for part in chunked(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), lambda x: len(x[1]), CHUNK):
-            h, n = char_shingles([s for _, s in part], k, wide=True)
-            yield [i for i, _ in part], [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+def _sketches(lines: DataFrame, k: int) -> DataFrame:
+    """(id, line) -> (id, n, s0..s7): number of shingles, and for each of 512 hash values the parity of the shingles that have it."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, found in sets(batch):
-                token, n = np.unique(np.concatenate(found), return_counts=True)
-                keep = n >= often
-                yield pa.record_batch({"token": pa.array(token[keep].view(np.int64)), "n": pa.array(n[keep].astype(np.int64))})
+            for part in chunked(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), lambda x: len(x[1]), CHUNK):
+                h, n = char_shingles([s for _, s in part], k, wide=True)
+                found = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+                bits = np.stack([np.bincount((s >> U64(55)).astype(np.int64), minlength=512) & 1 for s in found]).astype(np.uint8)
+                words = np.packbits(bits, axis=1).view("<i8")
+                yield pa.record_batch({"id": pa.array([i for i, _ in part], pa.int64()), "n": pa.array([len(s) for s in found], pa.int32()), **{c: pa.array(words[:, j].copy()) for j, c in enumerate(SKETCH)}})
 
-    rows = lines.select("id", "line").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent).collect()
-    known = np.array([r["token"] for r in rows], dtype=np.int64).view(U64)
-    order = np.argsort(known)
-    known, classes = known[order], np.array([int(r["n"]).bit_length() for r in rows], dtype=U64)[order]
+    return lines.select("id", "line").mapInArrow(make, "id long, n int, " + ", ".join(f"{c} long" for c in SKETCH))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, found in sets(batch):
-                out: tuple[list, ...] = ([], [], [], [])
-                for i, s in zip(ids, found):
-                    m = len(s) - (percent * len(s) + 99) // 100 + 1
-                    first = ordered(s, known, classes, 0)[:m]
-                    for col, v in zip(out, (first.view(np.int64), np.full(m, i), np.full(m, len(s)), np.arange(m))):
-                        col.append(v)
-                key, own, n, pos = map(np.concatenate, out)
-                yield pa.record_batch({"key": pa.array(key), "id": pa.array(own, pa.int64()), "n": pa.array(n, pa.int32()), "pos": pa.array(pos, pa.int32())})
 
-    return lines.select("id", "line").mapInArrow(make, "key long, id long, n int, pos int")
+def _sketch_filter(percent: int):
+    """Parities that differ are at most the shingles that only one line has, and those are few in a pair that links."""
+
+    def may_link(x: str, y: str):
+        odd = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in SKETCH), F.lit(0))
+        a, b = F.col(f"{x}n"), F.col(f"{y}n")
+        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * odd <= (100 - percent) * (a + b))
+
+    return may_link
 
 
 def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10, rows: int = 4, least: int = 30) -> DataFrame:
@@ -138,7 +128,7 @@ def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10,
         where = where.groupBy(F.col("w.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("w.line_no").alias("line_no"), "id")).alias("want"))
         return _wanted(base.join(where.hint("shuffle_hash"), "rk")).dropDuplicates(["id"])
 
-    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", "pos"], position_filter(percent), finer=lambda lines: _prefixes(lines, k, percent, 65_536, 8))
+    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", *SKETCH], _sketch_filter(percent), describe=lambda lines: _sketches(lines, k))
     first = lines.groupBy("id").agg(F.min(F.struct("d", "rk", "line_no")).alias("w"))
     first = first.join(comp.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min("w").alias("w"))
     keep = first.select(F.col("w.rk").alias("rk"), F.col("w.line_no").alias("line_no"))
