@@ -83,7 +83,7 @@ def link_components(
     side = write_table(load(active.select("id").distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = narrow(pairs)
+        pairs = write_table(narrow(pairs))
         for s in "ab":
             pairs = pairs.join(side.select(*[F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in side.columns]), s)
         return linked(pairs).select("a", "b")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,15 +77,27 @@ def shingle_table(docs: DataFrame, known: np.ndarray, k: int, percent: int, orde
     return docs.select("doc_id", "rk", "text").mapInArrow(rows, "doc_id long, rk long, n_shingles long, id long, " + ", ".join(f"{n} array<{'long' if n == 'p0' else 'int'}>" for n in names))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(id, text) -> (id, text): compressed, since texts are shuffled with the pairs."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.record_batch({"id": batch.column(0), "text": pa.array([press.compress(t) for t in _texts(batch)], pa.binary())})
+
+    return rows.select("id", "text").mapInArrow(make, "id long, text binary")
+
+
 def _linked(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b, a_text, b_text) -> (a, b) with 100 * |x & y| >= percent * |x | y|."""
+    """pairs (a, b, a_text, b_text, compressed) -> (a, b) with 100 * |x & y| >= percent * |x | y|."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = {i: t for name, of in (("a_text", a), ("b_text", b)) for i, t in zip(of, _texts(batch, name)) if i not in last}
-            for part in chunked(list(texts.items()), lambda x: len(x[1]), CHUNK):
+            texts = {i: t for name, of in (("a_text", a), ("b_text", b)) for i, t in zip(of, batch.column(batch.schema.get_field_index(name)).to_pylist()) if i not in last}
+            for part in chunked([(i, press.decompress(t)) for i, t in texts.items()], lambda x: len(x[1]), CHUNK):
                 last |= zip([i for i, _ in part], shingle_sets([t for _, t in part], k))
             keep = []
             for x, y in zip(a, b):
@@ -114,7 +127,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, orders: i
     def load(wanted: DataFrame) -> DataFrame:
         one = write_table(made.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("rk").alias("rk")))
         sides.append(write_table(made.select("rk", F.col("n_shingles").alias("n"), *further).join(one, "rk").dropDuplicates(["rk"]).drop("rk")))
-        return docs.select("rk", "text").join(one, "rk").dropDuplicates(["rk"]).select("id", "text")
+        return _packed(docs.select("rk", "text").join(one, "rk").dropDuplicates(["rk"]))
 
     def narrow(pairs: DataFrame) -> DataFrame:
         for s in "ab":
