@@ -59,21 +59,40 @@ def position_filter(percent: int) -> Callable[[str, str], Column]:
     return may_link
 
 
+def parity_words(sets: list[np.ndarray], words: int) -> list[np.ndarray]:
+    """For each of 64 * words hash values the parity of the tokens of a set that have it, as `words` 64-bit integers in columns."""
+    bits = np.stack([np.bincount((s % U64(64 * words)).astype(np.int64), minlength=64 * words) & 1 for s in sets]).astype(np.uint8)
+    packed = np.packbits(bits, axis=1).view("<i8")
+    return [packed[:, j].copy() for j in range(words)]
+
+
+def parity_filter(percent: int, words: int) -> Callable[[str, str], Column]:
+    """Sizes n, then: parities w0.. that differ are at most the tokens that only one set has, and those are few in a pair that links."""
+
+    def may_link(x: str, y: str) -> Column:
+        odd = sum((F.bit_count(F.col(f"{x}w{i}").bitwiseXOR(F.col(f"{y}w{i}"))) for i in range(words)), F.lit(0))
+        a, b = F.col(f"{x}n"), F.col(f"{y}n")
+        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * odd <= (100 - percent) * (a + b))
+
+    return may_link
+
+
 def link_components(
     buckets: DataFrame,
     load: Callable[[DataFrame], DataFrame],
     linked: Callable[[DataFrame], DataFrame],
     extra: list[str],
     may_link: Callable[[str, str], Column],
+    describe: Callable[[DataFrame], DataFrame],
+    described: list[str],
     narrow: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-    describe: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """buckets (key, id, *extra) -> (links used (a, b), (node, comp)).
 
     load: (id) -> (id, columns that the verification needs), called once, for the items that share a bucket with another item.
     narrow: pairs (a, b) -> those that further filters leave, before the loaded columns are joined.
     linked: pairs (a, b, a_*, b_*) -> those that link, given the loaded columns of both sides.
-    describe: loaded rows -> (id, *extra), where `extra` comes from those and not with the buckets.
+    describe: loaded rows -> (id, *described), more columns for may_link.
     may_link(x, y): a necessary condition for a link in a bucket between the rows with the prefixes x and y, from `extra` alone.
     """
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
@@ -91,7 +110,7 @@ def link_components(
     def components(names: DataFrame) -> DataFrame:
         return write_table(connected_components(names))
 
-    # Each item against its farthest-reaching pivot; then against those of its pivots that are still in another component.
+    # Each item against its farthest-reaching pivot; then against the next one that is still in another component.
     star = write_table(active.select("key", "id").join(pivots, "key").where("id <> p.id").select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("p.reach").alias("reach")).distinct())
     first = star.groupBy("a").agg(F.max(F.struct("reach", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
     links = write_table(verify(first))
@@ -99,7 +118,8 @@ def link_components(
     open_star = star.join(first, ["a", "b"], "left_anti")
     for s in "ab":
         open_star = open_star.join(comp.select(F.col("node").alias(s), F.col("comp").alias(f"{s}_comp")), s, "left").withColumn(f"{s}_comp", F.coalesce(f"{s}_comp", s))
-    more = write_table(verify(open_star.where("a_comp <> b_comp").select("a", "b")))
+    second = write_table(open_star.where("a_comp <> b_comp").groupBy("a").agg(F.max(F.struct("reach", "b")).alias("p")).select("a", F.col("p.b").alias("b")))
+    more = write_table(verify(second))
     edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
     if not more.isEmpty():
         links = links.unionByName(more)
@@ -111,14 +131,13 @@ def link_components(
         mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         return write_table(rows.join(mixed, "key", "left_semi"))
 
-    rest = named(active.select("key", "id", *(extra if describe is None else [])))
-    if describe is not None:
-        rest = write_table(rest.join(describe(side.join(rest.select("id").distinct(), "id", "left_semi")), "id"))
+    rest = named(active.select("key", "id", *extra))
+    rest = write_table(rest.join(describe(side.join(rest.select("id").distinct(), "id", "left_semi")), "id"))
     main = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    cols = ["id", "comp", *extra]
+    cols = ["id", "comp", *extra, *described]
     left, right = (x.select("key", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s, x in (("a", rest.join(main, "key").where("comp <> main")), ("b", rest)))
     pairs = left.join(right, "key").where("a_comp <> b_comp").where(may_link("a_", "b_")).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-    tried = star.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
+    tried = first.union(second).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
     more = write_table(verify(pairs.join(tried, ["a", "b"], "left_anti")))
     drop_table(active)
     if more.isEmpty():

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunked, table, write_table
-from .graph import link_components
+from .common import chunked, table, write_table
+from .graph import link_components, parity_filter, parity_words
 from .minhash import band_keys, char_shingles, signatures
 
 CHUNK = 400_000
@@ -84,33 +84,21 @@ def _linked(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "a_line", "b_line").mapInArrow(make, "a long, b long")
 
 
-SKETCH = [f"s{i}" for i in range(8)]
+SKETCH = 8
 
 
 def _sketches(lines: DataFrame, k: int) -> DataFrame:
-    """(id, line) -> (id, n, s0..s7): number of shingles, and for each of 512 hash values the parity of the shingles that have it."""
+    """(id, line) -> (id, n, w0..): number of shingles and their parity words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunked(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), lambda x: len(x[1]), CHUNK):
                 h, n = char_shingles([s for _, s in part], k, wide=True)
                 found = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
-                bits = np.stack([np.bincount((s >> U64(55)).astype(np.int64), minlength=512) & 1 for s in found]).astype(np.uint8)
-                words = np.packbits(bits, axis=1).view("<i8")
-                yield pa.record_batch({"id": pa.array([i for i, _ in part], pa.int64()), "n": pa.array([len(s) for s in found], pa.int32()), **{c: pa.array(words[:, j].copy()) for j, c in enumerate(SKETCH)}})
+                words = {f"w{j}": pa.array(w) for j, w in enumerate(parity_words(found, SKETCH))}
+                yield pa.record_batch({"id": pa.array([i for i, _ in part], pa.int64()), "n": pa.array([len(s) for s in found], pa.int32()), **words})
 
-    return lines.select("id", "line").mapInArrow(make, "id long, n int, " + ", ".join(f"{c} long" for c in SKETCH))
-
-
-def _sketch_filter(percent: int):
-    """Parities that differ are at most the shingles that only one line has, and those are few in a pair that links."""
-
-    def may_link(x: str, y: str):
-        odd = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in SKETCH), F.lit(0))
-        a, b = F.col(f"{x}n"), F.col(f"{y}n")
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * odd <= (100 - percent) * (a + b))
-
-    return may_link
+    return lines.select("id", "line").mapInArrow(make, "id long, n int, " + ", ".join(f"w{j} long" for j in range(SKETCH)))
 
 
 def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10, rows: int = 4, least: int = 30) -> DataFrame:
@@ -128,7 +116,7 @@ def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10,
         where = where.groupBy(F.col("w.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("w.line_no").alias("line_no"), "id")).alias("want"))
         return _wanted(base.join(where.hint("shuffle_hash"), "rk")).dropDuplicates(["id"])
 
-    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", *SKETCH], _sketch_filter(percent), describe=lambda lines: _sketches(lines, k))
+    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), [], parity_filter(percent, SKETCH), lambda lines: _sketches(lines, k), ["n", *(f"w{j}" for j in range(SKETCH))])
     first = lines.groupBy("id").agg(F.min(F.struct("d", "rk", "line_no")).alias("w"))
     first = first.join(comp.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min("w").alias("w"))
     keep = first.select(F.col("w.rk").alias("rk"), F.col("w.line_no").alias("line_no"))

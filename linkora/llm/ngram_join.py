@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, chunked, shingle_sets, table, write_table
-from .graph import link_components, ordered, position_filter
+from .graph import link_components, ordered, parity_filter, parity_words, position_filter
 
 CHUNK = 2_000_000
 
@@ -111,6 +111,22 @@ def _linked(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "a_text", "b_text").mapInArrow(make, "a long, b long")
 
 
+SKETCH = 16
+
+
+def _sketches(rows: DataFrame, k: int) -> DataFrame:
+    """(id, text, compressed) -> (id, w0..): the parity words of the shingle set."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part in chunked([(i, press.decompress(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], lambda x: len(x[1]), CHUNK):
+                words = parity_words(shingle_sets([t for _, t in part], k), SKETCH)
+                yield pa.record_batch({"id": pa.array([i for i, _ in part], pa.int64()), **{f"w{j}": pa.array(w) for j, w in enumerate(words)}})
+
+    return rows.select("id", "text").mapInArrow(make, "id long, " + ", ".join(f"w{j} long" for j in range(SKETCH)))
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = 3, frequent: int = 65_536, frequent_in_batch: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of docs (doc_id, text).
 
@@ -137,7 +153,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, orders: i
             pairs = pairs.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
         return pairs.select("a", "b")
 
-    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", "pos"], position_filter(percent), narrow)
+    def may_link(x: str, y: str) -> Column:
+        return position_filter(percent)(x, y) & parity_filter(percent, SKETCH)(x, y)
+
+    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", "pos"], may_link, lambda rows: _sketches(rows, k), [f"w{j}" for j in range(SKETCH)], narrow)
     classes = made.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "low", F.coalesce("comp", "id").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
