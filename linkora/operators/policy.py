@@ -67,6 +67,11 @@ def exclude(violations: DataFrame, rules: DataFrame, bound: int = 100_000) -> Da
     return violations.alias("v").join(r, _matches(), "left_anti")
 
 
+def excluded(violations: DataFrame, rules: DataFrame) -> DataFrame:
+    """Violations that a rule matches."""
+    return violations.alias("v").join(_rules(rules), _matches(), "left_semi")
+
+
 def unused_rules(violations: DataFrame, rules: DataFrame) -> DataFrame:
     used = violations.alias("v").join(F.broadcast(_rules(rules)), _matches()).select("rule_id").distinct()
     return rules.join(used, "rule_id", "left_anti")
