@@ -127,8 +127,8 @@ def _sketches(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(make, "id long, " + ", ".join(f"w{j} long" for j in range(SKETCH)))
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = 3, frequent: int = 65_536, frequent_in_batch: int = 8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of every row of docs (doc_id, text).
+def _components(docs: DataFrame, k: int, percent: int, orders: int = 3, frequent: int = 65_536, frequent_in_batch: int = 8) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) -> (rows (doc_id, row hash rk, n_shingles, class id, ...), (id, comp) of every class).
 
     Links: 100 * |x & y| >= percent * |x | y|. frequent: bound on the token list that is sent to all tasks (16 bytes each).
     """
@@ -157,8 +157,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, orders: i
         return position_filter(percent)(x, y) & parity_filter(percent, SKETCH)(x, y)
 
     _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", "pos"], may_link, lambda rows: _sketches(rows, k), [f"w{j}" for j in range(SKETCH)], narrow)
+    ids = made.where("id is not null").select("id").distinct()
+    return made, ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, **bounds: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) of every row of docs (doc_id, text)."""
+    made, comp = _components(docs, k, percent, **bounds)
     classes = made.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
-    named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "low", F.coalesce("comp", "id").alias("comp"))
+    named = classes.join(comp, "id")
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "comp").select("id", "component_id")
     return made.select("doc_id", "n_shingles", "id").join(named, "id", "left").select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("id").alias("class_id"))
@@ -168,7 +175,25 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+RK = "__near_copy_row"
+
+
+def one_per_component(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of each component one row of docs (doc_id, text, ...) stays: smallest doc_id (null last), then row hash, then the other columns.
+
+    Rows without a shingle are copies of nothing and all stay.
+    """
+    keyed = docs.withColumn(RK, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    made, comp = _components(docs, k, percent)
+    rows = made.where("id is not null").groupBy("id", "rk").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).join(comp, "id")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk")).alias("w"))
+    # Only rows that go, and rows that stay once of several equal ones: few, so the texts of the others need not move.
+    marked = write_table(rows.join(first, "comp").select(F.col("rk").alias(RK), (F.col("rk") == F.col("w.rk")).alias("stays"), "n").where("not stays or n > 1"))
+    alone = keyed.join(marked.select(RK), RK, "left_anti")
+    once = keyed.join(marked.where("stays").select(RK), RK, "left_semi").groupBy(RK).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return alone.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+
+
 def stage_one_per_component(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near copies, the document with the smallest doc_id stays; unlinked documents all stay."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each component of near copies (five-word shingles, similarity 0.8) one row stays; unlinked documents all stay."""
+    return one_per_component(docs, 5, 80)
