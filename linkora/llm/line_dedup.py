@@ -2,7 +2,11 @@
 
 Lines are the \\n-separated parts of a text, compared after lower-casing and collapsing white space. Of each component of lines
 with Jaccard similarity of their k-character shingles of `percent` or more, the first line (by doc_id, row hash, line number) stays.
-Lines of fewer than `least` normalised characters are too short to judge and always stay.
+Lines of fewer than `least` normalised characters take no part in this.
+
+One changed character changes k shingles, so in short lines long shingles lose it. With `short`, lines below `SHORT_BELOW` characters
+that hold a letter or digit are also compared by `short`-character shingles, at `SHORT_PERCENT`; a pair links if either comparison
+links it. A line shorter than its shingles equals only itself. Lines without a letter or digit below `least` always stay.
 
 Edge cases: a null text stays null (0 lines), an empty one stays empty. Rows that are equal in doc_id and text count as one document
 and get the same result. Null doc_ids come last in the order. Extra columns of `docs` are carried along, whatever their names.
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunked, table, write_table
@@ -23,6 +27,9 @@ from .graph import link_components, parity_filter, parity_words
 from .minhash import band_keys, char_shingles, signatures
 
 CHUNK = 400_000
+# One character changed in the middle links from (n - 3) / (n + 3) >= 0.8 on: 29 characters. 13 bands of 4 find a pair of similarity 0.8
+# with a probability of 0.999. From about 93 characters on the long shingles link such a pair too; short ones would not tell long lines apart.
+SHORT_BELOW, SHORT_PERCENT, SHORT_BANDS = 128, 80, 13
 RK = "__line_dedup_row"
 
 
@@ -30,8 +37,13 @@ def normalised(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _lines(docs: DataFrame, k: int, bands: int, rows: int, least: int) -> DataFrame:
-    """(d, rk, line_no, id, keys): lines long enough to judge; keys are null where the same line came before in the batch."""
+def _word(line: str) -> bool:
+    return any(map(str.isalnum, line))
+
+
+def _lines(docs: DataFrame, k: int, bands: int, rows: int, least: int, short: int = 0) -> DataFrame:
+    """(d, rk, line_no, id, keys, short_keys): lines to judge; no keys where the same line came before in the batch."""
+
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,7 +51,7 @@ def _lines(docs: DataFrame, k: int, bands: int, rows: int, least: int) -> DataFr
             at, no, ids, new = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for j, line in enumerate((text or "").split("\n")):
-                    if len(line) >= least and len(s := normalised(line)) >= least:
+                    if (short or len(line) >= least) and (len(s := normalised(line)) >= least or short and _word(s)):
                         if (h := seen.get(s)) is None:
                             h = seen[s] = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
                             new.append(len(ids))
@@ -48,14 +60,20 @@ def _lines(docs: DataFrame, k: int, bands: int, rows: int, least: int) -> DataFr
                         ids.append(h)
             if not ids:
                 continue
-            keys = [band_keys(signatures(part, k, bands * rows), rows) for part in chunked(list(seen), len, CHUNK)]
-            length = np.zeros(len(ids), dtype=np.int64)
-            length[new] = bands
-            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            new = np.array(new)
+            lists = []
+            for size, n, own in ((k, bands, [len(s) >= least for s in seen]), (short, SHORT_BANDS, [0 < short and len(s) < SHORT_BELOW and _word(s) for s in seen])):
+                keys = [band_keys(signatures(part, size, n * rows), rows) for part in chunked([s for s, x in zip(seen, own) if x], len, CHUNK)]
+                length = np.zeros(len(ids), dtype=np.int64)
+                length[new[own]] = n
+                flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int64)
+                # Keys of the two kinds differ in their last bit.
+                flat = (flat & ~1) | (size != k)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat)))
             own = batch.select([0, 1]).take(pa.array(at))
-            yield pa.record_batch({"d": own.column(0), "rk": own.column(1), "line_no": pa.array(no, pa.int32()), "id": pa.array(ids, pa.int64()), "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).reshape(-1)))})
+            yield pa.record_batch({"d": own.column(0), "rk": own.column(1), "line_no": pa.array(no, pa.int32()), "id": pa.array(ids, pa.int64()), "keys": lists[0], "short_keys": lists[1]})
 
-    return docs.select("d", "rk", "text").mapInArrow(make, "d long, rk long, line_no int, id long, keys array<long>")
+    return docs.select("d", "rk", "text").mapInArrow(make, "d long, rk long, line_no int, id long, keys array<long>, short_keys array<long>")
 
 
 def _wanted(rows: DataFrame) -> DataFrame:
@@ -69,16 +87,21 @@ def _wanted(rows: DataFrame) -> DataFrame:
     return rows.select("text", "want").mapInArrow(make, "id long, line string")
 
 
-def _linked(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b, a_line, b_line) -> (a, b) with a Jaccard similarity of their shingle sets of `percent` or more."""
+def _alike(x: str, y: str, k: int, percent: int) -> bool:
+    p, q = ({s[i : i + k] for i in range(max(len(s) - k, 0) + 1)} for s in (x, y))
+    both = len(p & q)
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _linked(pairs: DataFrame, k: int, percent: int, least: int, short: int) -> DataFrame:
+    """pairs (a, b, a_line, b_line) -> (a, b) with a Jaccard similarity of their shingle sets of `percent` or more, or alike as short lines."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = ({s[i : i + k] for i in range(max(len(s) - k, 0) + 1)} for s in (x, y))
-                both = len(p & q)
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                long = min(len(x), len(y)) >= least and _alike(x, y, k, percent)
+                keep.append(long or 0 < short and max(len(x), len(y)) < SHORT_BELOW and _word(x) and _word(y) and _alike(x, y, short, SHORT_PERCENT))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "a_line", "b_line").mapInArrow(make, "a long, b long")
@@ -87,36 +110,45 @@ def _linked(pairs: DataFrame, k: int, percent: int) -> DataFrame:
 SKETCH = 8
 
 
-def _sketches(lines: DataFrame, k: int) -> DataFrame:
-    """(id, line) -> (id, n, w0..): number of shingles and their parity words."""
+def _sketches(lines: DataFrame, k: int, short: int) -> DataFrame:
+    """(id, line) -> (id, n, w0.., short_n, short_w0..): number of shingles and their parity words, for both lengths of shingles."""
+    kinds = {"": k, "short_": short} if short else {"": k}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunked(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), lambda x: len(x[1]), CHUNK):
-                h, n = char_shingles([s for _, s in part], k, wide=True)
-                found = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
-                words = {f"w{j}": pa.array(w) for j, w in enumerate(parity_words(found, SKETCH))}
-                yield pa.record_batch({"id": pa.array([i for i, _ in part], pa.int64()), "n": pa.array([len(s) for s in found], pa.int32()), **words})
+                columns = {"id": pa.array([i for i, _ in part], pa.int64())}
+                for kind, size in kinds.items():
+                    h, n = char_shingles([s for _, s in part], size, wide=True)
+                    found = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+                    columns[f"{kind}n"] = pa.array([len(s) for s in found], pa.int32())
+                    columns |= {f"{kind}w{j}": pa.array(w) for j, w in enumerate(parity_words(found, SKETCH))}
+                yield pa.record_batch(columns)
 
-    return lines.select("id", "line").mapInArrow(make, "id long, n int, " + ", ".join(f"w{j} long" for j in range(SKETCH)))
+    return lines.select("id", "line").mapInArrow(make, "id long, " + ", ".join(f"{kind}n int, " + ", ".join(f"{kind}w{j} long" for j in range(SKETCH)) for kind in kinds))
 
 
-def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10, rows: int = 4, least: int = 30) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10, rows: int = 4, least: int = 30, short: int = 0) -> DataFrame:
     """docs (doc_id, text, ...) -> the same columns with text of the kept lines, and n_lines, n_removed (long).
 
-    10 bands of 4 find a pair of similarity 0.85 with a probability of 0.999.
+    10 bands of 4 find a pair of similarity 0.85 with a probability of 0.999. short: characters of a shingle of short lines, 0: those are not judged.
     """
     keyed = docs.withColumn(RK, F.xxhash64(F.col("doc_id"), F.col("text")))
     base = keyed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col(RK).alias("rk"), "text")
-    lines = write_table(_lines(base, k, bands, rows, least))
-    buckets = lines.select(F.explode("keys").alias("key"), "id")
+    lines = write_table(_lines(base, k, bands, rows, least, short))
+    buckets = lines.select(F.explode(F.concat("keys", "short_keys")).alias("key"), "id")
+
+    def may_link(x: str, y: str) -> Column:
+        long = parity_filter(percent, SKETCH)(x, y)
+        return long | parity_filter(SHORT_PERCENT, SKETCH)(f"{x}short_", f"{y}short_") if short else long
 
     def load(wanted: DataFrame) -> DataFrame:
         where = lines.select("id", "rk", "line_no").join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("rk", "line_no")).alias("w"))
         where = where.groupBy(F.col("w.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("w.line_no").alias("line_no"), "id")).alias("want"))
         return _wanted(base.join(where.hint("shuffle_hash"), "rk")).dropDuplicates(["id"])
 
-    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), [], parity_filter(percent, SKETCH), lambda lines: _sketches(lines, k), ["n", *(f"w{j}" for j in range(SKETCH))])
+    described = [f"{kind}{c}" for kind in (("", "short_") if short else ("",)) for c in ("n", *(f"w{j}" for j in range(SKETCH)))]
+    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent, least, short), [], may_link, lambda lines: _sketches(lines, k, short), described)
     first = lines.groupBy("id").agg(F.min(F.struct("d", "rk", "line_no")).alias("w"))
     first = first.join(comp.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("comp", "id").alias("comp")).agg(F.min("w").alias("w"))
     keep = first.select(F.col("w.rk").alias("rk"), F.col("w.line_no").alias("line_no"))
@@ -135,11 +167,11 @@ def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10,
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), short=3)
     return out.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated and nearly repeated lines go; a document of which no word is left goes, one that had none before stays."""
-    out = dedup_lines(docs).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    out = dedup_lines(docs, short=3).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,6 @@
 """Each operator on the parts of its job that a narrower version would leave out."""
 
-from linkora.llm import ngram_join
+from linkora.llm import line_dedup, ngram_join
 
 
 def test_stage_takes_copies_between_the_two_limits(spark):
@@ -12,3 +12,12 @@ def test_stage_takes_copies_between_the_two_limits(spark):
     got = ngram_join.stage_one_per_component(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
     want = [(1, "a"), (3, "a"), (7, "b"), (8, "f"), (9, "g"), (None, "h"), (None, "i")]
     assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_stage_judges_short_lines_and_one_character(spark):
+    line = "the quick brown fox jumps over a lazy dog"
+    rows = [(1, f"Read more\n{line}\n---\nok\nfirst of its kind"), (2, f"read  more\n{line.replace('over', 'ovar')}\n---\nok\nsecond thing altogether"), (3, "of its kind first")]
+    docs = spark.createDataFrame([(i, t, "s", len(t)) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage_line_dedup(spark, docs, "").collect()}
+    left = "---\nsecond thing altogether"
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: (left, len(left)), 3: (rows[2][1], len(rows[2][1]))}
