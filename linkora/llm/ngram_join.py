@@ -158,17 +158,92 @@ def _components(docs: DataFrame, k: int, percent: int, orders: int = 3, frequent
 
     _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", "pos"], may_link, lambda rows: _sketches(rows, k), [f"w{j}" for j in range(SKETCH)], narrow)
     ids = made.where("id is not null").select("id").distinct()
-    return made, ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    return made, write_table(ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+
+
+BLOCK = 1024
+
+
+def _linked_block(texts: list[bytes], x: np.ndarray, y: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """Whether item x[i] links with item y[j], as a matrix. Intersections are products of 0-1 matrices, some shared tokens at a time."""
+    sets = shingle_sets(texts, k)
+    size = np.array([len(s) for s in sets], np.int64)
+    token, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(n > 1) - 1
+    item = np.repeat(np.arange(len(sets)), size)
+    keep = n[at] > 1
+    item, col = item[keep], shared[at[keep]]
+    order = np.argsort(col, kind="stable")
+    item, col = item[order], col[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int((n > 1).sum()), 2 * BLOCK):
+        part = slice(*np.searchsorted(col, [lo, lo + 2 * BLOCK]))
+        m = np.zeros((len(sets), 2 * BLOCK), np.float32)
+        m[item[part], col[part] - lo] = 1
+        both += m[x] @ m[y].T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
+
+
+def _blocks(docs: DataFrame, made: DataFrame, comp: DataFrame, block: int) -> DataFrame:
+    """(comp, i, j, id, own, n, text): the classes of each component of two or more, dealt into blocks of about `block`, each with every block."""
+    sizes = comp.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
+    one = made.where("id is not null").groupBy("id").agg(F.min("rk").alias("rk"), F.count("*").alias("n"))
+    members = write_table(comp.join(sizes, "comp").join(one, "id").withColumn("of", F.ceil(F.col("size") / block)).withColumn("own", F.pmod(F.xxhash64("id"), "of")))
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rk"), "text")
+    texts = write_table(_packed(keyed.join(members.select("id", "rk"), "rk").dropDuplicates(["rk"])))
+    sent = members.select("comp", "id", "own", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
+    return sent.join(texts, "id").select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "own", "n", "text")
+
+
+def _all_links(blocks: DataFrame, k: int, percent: int, counts: bool) -> DataFrame:
+    """Every link between classes: (a, b) with a < b, or if counts (id, n), n the rows of the classes that a class links with, to be added up."""
+
+    def make(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        press = zstandard.ZstdDecompressor()
+        ids, own, n = (rows.column(c).to_numpy() for c in ("id", "own", "n"))
+        i, j = key[1].as_py(), key[2].as_py()
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if not len(x) or not len(y):
+            p, q = x[:0], y[:0]
+        else:
+            found = _linked_block([press.decompress(t) for t in rows.column("text").to_pylist()], x, y, k, percent)
+            if i == j:
+                found = np.triu(found, 1)
+            if counts:
+                total = np.zeros(len(ids), np.int64)
+                total[x] += found @ n[y]
+                total[y] += found.T @ n[x]
+                return pa.table({"id": pa.array(ids), "n": pa.array(total)})
+            p, q = np.nonzero(found)
+            p, q = x[p], y[q]
+        if counts:
+            return pa.table({"id": pa.array(ids[:0]), "n": pa.array(ids[:0])})
+        return pa.table({"a": pa.array(np.minimum(ids[p], ids[q])), "b": pa.array(np.maximum(ids[p], ids[q]))})
+
+    return blocks.groupBy("comp", "i", "j").applyInArrow(make, "id long, n long" if counts else "a long, b long")
+
+
+def jaccard_links(docs: DataFrame, k: int = 3, percent: int = 90, block: int = BLOCK, **bounds: int) -> tuple[DataFrame, DataFrame]:
+    """(every link (a, b) between classes, a < b; membership (doc_id, class_id), a row per row of docs). As many rows as there are links."""
+    made, comp = _components(docs, k, percent, **bounds)
+    return _all_links(_blocks(docs, made, comp, block), k, percent, False), made.select("doc_id", F.col("id").alias("class_id"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, **bounds: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of every row of docs (doc_id, text)."""
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = BLOCK, **bounds: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id, n_links) of every row of docs (doc_id, text).
+
+    n_links: the other rows whose set links with that of the row, those of its own class among them. No links run between components, so
+    the classes of a component are compared with each other in blocks; the pairs are counted, not listed.
+    """
     made, comp = _components(docs, k, percent, **bounds)
-    classes = made.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
+    across = _all_links(_blocks(docs, made, comp, block), k, percent, True).groupBy("id").agg(F.sum("n").alias("across"))
+    classes = made.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     named = classes.join(comp, "id")
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "comp").select("id", "component_id")
-    return made.select("doc_id", "n_shingles", "id").join(named, "id", "left").select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("id").alias("class_id"))
+    named = named.join(lowest, "comp").join(across, "id", "left").select("id", "component_id", (F.col("rows") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"))
+    return made.select("doc_id", "n_shingles", "id").join(named, "id", "left").select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

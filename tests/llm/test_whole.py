@@ -1,5 +1,7 @@
 """Each operator on the parts of its job that a narrower version would leave out."""
 
+import random
+
 from linkora.llm import line_dedup, ngram_join
 
 
@@ -21,3 +23,28 @@ def test_stage_judges_short_lines_and_one_character(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage_line_dedup(spark, docs, "").collect()}
     left = "---\nsecond thing altogether"
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: (left, len(left)), 3: (rows[2][1], len(rows[2][1]))}
+
+
+def test_op3_counts_and_lists_every_link(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(24):
+        w = list(base)
+        for p in rng.sample(range(120), i % 4):
+            w[p] = f"c{rng.randrange(6)}"
+        texts.append(" ".join(w))
+    rows = [*enumerate(texts), (90, texts[1]), (None, texts[1]), (91, "far away from all of these"), (92, ""), (93, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for _, t in rows for w in [(t or "").split()]]
+    want = {}
+    for a, (i, _) in enumerate(rows):
+        want[i] = sum(1 for b in range(len(rows)) if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) > 4
+    for block in (5, 1024):
+        assert {r.doc_id: r.n_links for r in ngram_join.jaccard_components(docs, block=block).collect()} == want
+    links, members = ngram_join.jaccard_links(docs, block=5)
+    links, members = [tuple(r) for r in links.collect()], [tuple(r) for r in members.collect()]
+    assert len(links) == len(set(links)) and len(members) == len(rows)
+    of = {c: s for s, c in {(tuple(sorted(sets[[i for i, _ in rows].index(d)])), c) for d, c in members if c is not None}}
+    assert {tuple(sorted(p)) for p in links} == {(a, b) for a in of for b in of if a < b and 100 * len({*of[a]} & {*of[b]}) >= 90 * len({*of[a]} | {*of[b]})}
