@@ -2,7 +2,8 @@
 
 Each document becomes the ids of the tokenizer and a closing id 0. Its full windows stand alone. The rest, shorter than a window, is
 packed: rests are dealt to shards of bounded size by a range of (least hash of an id, doc_id), so that near copies meet; in a shard
-a BM25 inverted index over the rests returns, for each unused seed, the unused neighbours that greedily fill its window. The last
+a BM25 inverted index over the rests returns, for each unused seed and all of its terms, every unused neighbour with a positive score,
+best first; these fill its window, and only when none is left do other unused rests. The last
 neighbour is cut to fit and what is left of it stays unused, so windows are full; the last window of a shard is split at powers of two,
 which need no padding.
 
@@ -69,7 +70,7 @@ def tokenised(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
 class Index:
     """BM25 over the rests of one shard; the terms are token ids."""
 
-    def __init__(self, rests: list[np.ndarray], terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, rests: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         self.n = len(rests)
         sizes = np.array([len(r) for r in rests])
         code = np.repeat(np.arange(self.n, dtype=np.int64), sizes) | (np.concatenate(rests).astype(np.int64) << 32)
@@ -82,26 +83,36 @@ class Index:
         which = np.repeat(np.arange(len(first)), df)
         norm = k1 * (1 - b + b * sizes / max(sizes.mean(), 1))
         self.weight = idf[which] * tf * (k1 + 1) / (tf + norm[self.doc])
-        # The query of a document: its terms of the largest weight that some other document has too.
-        order = np.lexsort((-np.where(df[which] > 1, self.weight, -1), self.doc))
+        order = np.argsort(self.doc, kind="stable")
         self.by_doc, self.at = which[order], np.searchsorted(self.doc[order], np.arange(self.n + 1))
-        self.df, self.terms = df, terms
-
-    def neighbours(self, seed: int, unused: np.ndarray, most: int) -> list[int]:
-        q = self.by_doc[self.at[seed] : min(self.at[seed] + self.terms, self.at[seed + 1])]
+        self.df, self.which, self.live = df, which, self.n
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Leave out the postings of used documents; scores of the others stay the same."""
+        keep = unused[self.doc]
+        self.doc, self.weight, self.which = self.doc[keep], self.weight[keep], self.which[keep]
+        self.stops = np.cumsum(np.bincount(self.which, minlength=len(self.df)))
+        self.starts = np.concatenate([[0], self.stops[:-1]])
+        self.live = int(unused.sum())
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+        """All unused documents with a positive score for all terms of the seed, best first."""
+        if 4 * unused.sum() < 3 * self.live:
+            self.shrink(unused)
+        q = self.by_doc[self.at[seed] : self.at[seed + 1]]
         spans = [slice(self.starts[t], self.stops[t]) for t in q.tolist() if self.df[t] > 1]
         if not spans:
             return []
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.n) * unused
-        top = np.argpartition(-score, min(most, self.n - 1))[:most]
-        return [i for i in top[np.lexsort((top, -score[top]))].tolist() if score[i] > 0]
+        found = np.flatnonzero(score > 0)
+        return found[np.argsort(-score[found], kind="stable")].tolist()
 
 
-def pack_shard(rests: list[np.ndarray], window: int, terms: int, most: int) -> list[list[tuple[int, int, int]]]:
+def pack_shard(rests: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of (rest, start in it, length). Every id of every rest is in one piece."""
     size, used = [len(r) for r in rests], [0] * len(rests)
     unused = np.array(size) > 0
-    index = Index(rests, terms) if unused.any() else None
+    index = Index(rests) if unused.any() else None
     sequences, seed = [], 0
     while True:
         while seed < len(rests) and not unused[seed]:
@@ -115,7 +126,7 @@ def pack_shard(rests: list[np.ndarray], window: int, terms: int, most: int) -> l
             if not todo:
                 if not asked:
                     asked = True
-                    todo = [i for i in index.neighbours(seed, unused, most) if unused[i]]
+                    todo = index.neighbours(seed, unused)
                     continue
                 while later < len(rests) and not unused[later]:
                     later += 1
@@ -146,10 +157,10 @@ def pack_shard(rests: list[np.ndarray], window: int, terms: int, most: int) -> l
     return sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, shard: int = 8192, terms: int = 12, most: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, shard: int = 8192) -> DataFrame:
     """docs (doc_id, text) -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    shard: documents that share an index; terms: query terms of a seed; most: neighbours asked for at once.
+    shard: documents that share an index. Neighbours in other shards are not retrieved.
     """
     made = write_table(tokenised(docs, tokenizer, window))
     shards = max(1, -(-made.count() // shard))
@@ -165,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, shard: int = 8192,
                 out.append((doc_id, i * window, window, crc, n, number, 0))
                 number += 1
         rests = [np.frombuffer(r[3], dtype="<u4") for r in rows]
-        for pieces in pack_shard(rests, window, terms, most):
+        for pieces in pack_shard(rests, window):
             offset = 0
             for i, start, length in pieces:
                 doc_id, n, crcs, raw, _ = rows[i]

@@ -2,7 +2,7 @@
 
 import random
 
-from linkora.llm import line_dedup, ngram_join
+from linkora.llm import line_dedup, ngram_join, packing
 
 
 def test_stage_takes_copies_between_the_two_limits(spark):
@@ -48,3 +48,18 @@ def test_op3_counts_and_lists_every_link(spark):
     assert len(links) == len(set(links)) and len(members) == len(rows)
     of = {c: s for s, c in {(tuple(sorted(sets[[i for i, _ in rows].index(d)])), c) for d, c in members if c is not None}}
     assert {tuple(sorted(p)) for p in links} == {(a, b) for a in of for b in of if a < b and 100 * len({*of[a]} & {*of[b]}) >= 90 * len({*of[a]} | {*of[b]})}
+
+
+def test_op5_fills_windows_with_every_neighbour_by_every_term():
+    import numpy as np
+
+    # Short rests: 30 of one topic far apart in the order, more than 16 of them to a window; the others share nothing with them.
+    topic = [np.array([1000 + i, 1, 2, 3, 4], "<u4") for i in range(30)]
+    rests = [r for i in range(30) for r in (topic[i], *[np.arange(2000 + 20 * i + 5 * j, 2005 + 20 * i + 5 * j).astype("<u4") for j in range(4)])]
+    first = packing.pack_shard(rests, 128)[0]
+    assert sum(n for _, _, n in first) == 128 and all(i % 5 == 0 for i, _, _ in first)
+    # Of 40 terms with one weight each that the seed shares with others, every one finds its row.
+    seed = np.arange(40).astype("<u4")
+    rests = [seed, *[np.array([5000 + i] * 4, "<u4") for i in range(60)], *[np.array([i, 6000 + i], "<u4") for i in range(40)]]
+    first = packing.pack_shard(rests, 120)[0]
+    assert {i for i, _, _ in first} == {0, *range(61, 101)}
