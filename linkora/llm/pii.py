@@ -5,6 +5,8 @@ a keyed hash of the entity: the same entity gets the same surrogate in every doc
 case, script and, for names, gender. Collision checks keep it distinct: a surrogate that equals another one of its type, or any real
 entity of its type, is drawn again until none does.
 
+Secrets are the values of password, token, secret and key names in any letter case, quoted (tokens of 12 characters or more) or not, of any length.
+
 An entity's key is what identifies it whatever its format: letters and digits in lower case (e-mail: with punctuation). Names are
 keyed by part, so "Mrs. Anna Weber" and "Mrs. Weber" keep one family name.
 
@@ -33,14 +35,16 @@ SYLLABLES = {
 
 _NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?"
 _EDGE = r"(?<![\p{L}\p{N}_])"
+_KEY_EDGE = r"(?<![\p{L}\p{N}])"
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "password": _EDGE + r"(?:password|passwd|pwd)[=:] ?[^\s\"',;]{3,255}[^\s\"',;.]",
-    "token": _EDGE + r"(?:token|secret|api[_-]?key|access[_-]?key) ?[=:] ?[\"'][A-Za-z0-9+/_=-]{12,512}+[\"']",
+    "password": r"(?=[Pp])" + _KEY_EDGE + r"(?i:password|passwd|pwd)[\"']? *[=:] *(?:[\"'][^\"'\n]{4,}[\"']|[^\s\"',;]{3,}[^\s\"',;.])",
+    # Unquoted, an access key is left to its own pattern, and a value that goes on with a bracket is a call.
+    "token": r"(?=[TtSsAa])" + _KEY_EDGE + r"(?i:token|secret|api[_-]?key|access[_-]?key)[\"']? *[=:] *(?:[\"'][A-Za-z0-9+/_=.-]{12,}+[\"']|(?!(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z]))[A-Za-z0-9+/_=-]{12,}+(?:\.[A-Za-z0-9+/_=-]++)*+(?![(\[]))",
     "access_key": _EDGE + r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|" + _EDGE + r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{N}]|\.\d)",
-    "card": r"(?<![\p{N}.+-])(?:[3-6]\d{3}(?:[ -]?\d{4}){3}|3[47]\d\d[ -]?\d{6}[ -]?\d{5})(?![\p{N}]|[.-]\d)",
+    "card": r"(?<![\p{N}.+-])(?:[46]\d{3}(?:[ -]?\d{4}){3}[ -]?\d{3}|(?:[3-6]\d{3}|2(?:2(?:2[1-9]|[3-9]\d)|[3-6]\d\d|7(?:[01]\d|20)))(?:[ -]?\d{4}){3}|3[47]\d\d[ -]?\d{6}[ -]?\d{5}|3(?:0[0-5]|[689]\d)\d[ -]?\d{6}[ -]?\d{4})(?![\p{N}]|[.-]\d)",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}]|-\d)",
     "phone": r"(?<![\p{N}+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\p{N})|(?<![\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\p{N})|(?<![\p{N}.-])\d{3}([.-])\d{3}\1\d{4}(?![\p{N}]|[.-]\d)".replace(r"([.-])\d{3}\1", r"[.-]\d{3}[.-]"),
     "name": _EDGE + r"(?:(?:" + "|".join(TITLES.values()) + r")\.? |(?=(?:" + "|".join(" ".join(GIVEN.values()).split()) + r") ))" + _NAME + r"(?: " + _NAME + r"){0,2}",
@@ -74,7 +78,7 @@ def _parts(e: str) -> str:
         f"transform({names}, (w, j) -> named_struct('kind', concat_ws('_', if(j = size({names}) - 1, 'family', 'given'), {script}, if(j = size({names}) - 1 and {script} = 'latin', 'n', {gender})), "
         f"'prefix', if(j = 0, {title}, ' '), 'raw', w, 'suffix', ''))"
     )
-    lead = f"regexp_extract({e}, {_sql('^[A-Za-z_-]+ ?[=:] ?[' + chr(34) + chr(39) + ']?')}, 0)"
+    lead = f"regexp_extract({e}, {_sql('^[A-Za-z_-]+[' + chr(34) + chr(39) + ']? *[=:] *[' + chr(34) + chr(39) + ']?')}, 0)"
     quote = f"regexp_extract({e}, {_sql('[' + chr(34) + chr(39) + ']$')}, 0)"
     secret = f"array(named_struct('kind', kind, 'prefix', {lead}, 'raw', substr({e}, length({lead}) + 1, length({e}) - length({lead}) - length({quote})), 'suffix', {quote}))"
     return f"CASE WHEN kind = 'name' THEN {name} WHEN kind IN ('password', 'token') THEN {secret} ELSE array(named_struct('kind', kind, 'prefix', '', 'raw', {e}, 'suffix', '')) END"
@@ -97,7 +101,7 @@ def _payload(secret: str) -> Column:
     host = "length(key) - length(substring_index(key, '.', -1))"
     email = f"array_join(transform({chars}, (c, i) -> CASE WHEN i >= {host} THEN c WHEN i > instr(key, '@') - 1 THEN {char(domain)} ELSE {char(own)} END), '')"
     ip = f"array_join(transform(split(key, '[.]'), (c, i) -> cast(1 + {own} % if(i = 0, 223, 254) as string)), '.')"
-    digits = f"transform({chars}, (c, i) -> cast(CASE WHEN i = 0 THEN cast(c as bigint) WHEN i = 1 THEN 2 + {own} % 8 ELSE {own} % 10 END as int))"
+    digits = f"transform({chars}, (c, i) -> cast(CASE WHEN i = 0 OR i = 1 AND kind = 'card' AND length(key) IN (14, 15) THEN cast(c as bigint) WHEN i = 1 AND kind = 'card' AND substr(key, 1, 1) = '2' THEN 3 + {own} % 4 WHEN i = 1 THEN 2 + {own} % 8 ELSE {own} % 10 END as int))"
     total = "aggregate({d}, named_struct('s', 0, 'n', {first}), (a, x) -> named_struct('s', a.s + if(a.n % 2 = 1, if(x > 4, 2 * x - 9, 2 * x), x), 'n', a.n + 1)).s"
     given = f"transform({chars}, (c, i) -> cast(c as int))"
     # The sum over all digits, the last one counted once; what the last digit must be for the same remainder as in the original.

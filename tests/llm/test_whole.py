@@ -2,7 +2,7 @@
 
 import random
 
-from linkora.llm import line_dedup, ngram_join, packing
+from linkora.llm import line_dedup, ngram_join, packing, pii
 
 
 def test_stage_takes_copies_between_the_two_limits(spark):
@@ -63,3 +63,16 @@ def test_op5_fills_windows_with_every_neighbour_by_every_term():
     rests = [seed, *[np.array([5000 + i] * 4, "<u4") for i in range(60)], *[np.array([i, 6000 + i], "<u4") for i in range(40)]]
     first = packing.pack_shard(rests, 120)[0]
     assert {i for i, _, _ in first} == {0, *range(61, 101)}
+
+
+def test_op9_secrets_in_any_case_quoted_or_not(spark):
+    long = "9A" * 400
+    secret = ["Hunter2x", "Hunter3x", "Hunter4 x", "A1b2C3d4E5f6G7h8", "a1b2c3d4e5f6g7h9", long, "abcdefghijklmnop", "2223 0031 2200 3222", "3056 930902 5904", "4000 0000 0000 0000 006"]
+    text = f"Password: {secret[0]}\nDB_PASSWORD = {secret[1]}\nPWD='{secret[2]}'\nAPI_KEY=\"{secret[3]}\"\ntoken={secret[4]} x\nTOKEN = \"{secret[5]}\"\n{{\"secret\": {secret[6]}}}\n{secret[7]}; {secret[8]}; {secret[9]}."
+    plain = "token = next_token_in_line(x), the password was changed, 1234 5678 9012 3456"
+    docs = spark.createDataFrame([(1, text), (2, plain)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.surrogates(docs).collect()}
+    assert got[2].text == plain and got[1].n_entities == len(secret) and not any(s in got[1].text for s in secret)
+    for a, b in zip(text.split("\n"), got[1].text.split("\n")):
+        assert len(a) == len(b)
+    assert got[1].text.startswith("Password: ") and '\nAPI_KEY="' in got[1].text and 2300 <= int(got[1].text.split("\n")[-1][:4]) < 2700
