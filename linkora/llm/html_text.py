@@ -1,8 +1,8 @@
 """Operator 6: main text of HTML pages by tree scoring.
 
 Blocks of text pass points for their length and commas to their parent and, halved, to their grandparent, discounted by the share of
-their text in links. The element with the most points, discounted by its own link density, is the container; it is kept with those
-siblings that read like text. Menus, headers and footers outside the article, sidebars, notices, adverts, forms, scripts, styles and
+their text in links. The element with the most points, discounted by its own link density, or the <article> or <main> that it lies in, is the
+container; it is kept with those siblings that read like text. Menus, headers and footers outside the article, sidebars, notices, adverts, forms, scripts, styles and
 comments are cut out before, by tag, role or whole words of class and id.
 
 Edge cases: null, empty and tagless html: the text itself counts as one block, empty gives an empty string. Unclosed and stray tags
@@ -184,13 +184,18 @@ class Page:
             linked[self.parent[k]] += linked[k]
         worth = [(s + PRIOR.get(t, 0.0)) * (1 - b / a) if s and a else 0.0 for s, t, a, b in zip(score, self.tags, size, linked)]
         best = max(range(n), key=lambda k: (worth[k], -k))
+        # The text of an article is one text, however short its sections: the outermost <article> around the best element, else <main>.
+        around, top = [best], worth[best]
+        while self.parent[around[-1]] >= 0:
+            around.append(self.parent[around[-1]])
+        best = next((k for tag in ("article", "main") for k in reversed(around) if self.tags[k] == tag), best)
         keep, up = [(best, self.end[best])], self.parent[best]
         if up >= 0:
             for s in range(up + 1, n):
                 if self.parent[s] != up or s == best or not size[s]:
                     continue
                 dense, tag = linked[s] / size[s], self.tags[s]
-                if worth[s] >= 0.2 * worth[best] and dense < 0.5 or tag in PARAGRAPH and dense < 0.25 and (size[s] > 80 or tag in HEADINGS):
+                if worth[s] >= 0.2 * top and dense < 0.5 or tag in PARAGRAPH and dense < 0.25 and (size[s] > 80 or tag in HEADINGS):
                     keep.append((s, self.end[s]))
         return "\n".join(t for k, t, _ in self.blocks if any(a <= k <= b for a, b in keep))
 

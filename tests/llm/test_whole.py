@@ -2,7 +2,7 @@
 
 import random
 
-from linkora.llm import line_dedup, ngram_join, packing, pii
+from linkora.llm import html_text, line_dedup, ngram_join, packing, pii
 
 
 def test_stage_takes_copies_between_the_two_limits(spark):
@@ -76,3 +76,11 @@ def test_op9_secrets_in_any_case_quoted_or_not(spark):
     for a, b in zip(text.split("\n"), got[1].text.split("\n")):
         assert len(a) == len(b)
     assert got[1].text.startswith("Password: ") and '\nAPI_KEY="' in got[1].text and 2300 <= int(got[1].text.split("\n")[-1][:4]) < 2700
+
+
+def test_op6_keeps_short_sections_of_an_article():
+    long = "One, two, " + "x" * 290
+    a, b = "".join(f"<p>{long}</p>" for _ in range(12)), f"<h2>Short</h2><p>{long}</p>"
+    for tag in ("article", "main"):
+        page = f"<body><div><p>{'away, ' * 9}</p></div><{tag}><section>{a}</section><section>{b}</section><p>Brief end.</p></{tag}></body>"
+        assert html_text.main_text(page) == "\n".join([long] * 12 + ["Short", long, "Brief end."])
