@@ -2,7 +2,8 @@
 
 A header is a line with one of the TRIGGER words. Its terms are its lower-cased runs of letters and digits; a term's weight is its
 count times ln((N + 1) / (df + 1)) + 1 over all distinct headers and templates. A header has the licence of the template with the
-largest cosine if that is `least` or more; a file has the licence of its best header (ties: the first name). A file named LICENSE,
+largest cosine if that is `least` or more; a file has the licence of its best header (ties: the first name). The whole text of a licence
+file is compared with the full texts in `licences` too, weighted over these; the best of `WHOLE` or more goes before its headers. A file named LICENSE,
 LICENCE, COPYING or NOTICE gives its licence to its directory; a file without an own licence inherits that of the nearest directory
 at or above its own.
 
@@ -12,6 +13,13 @@ the first licence by name counts. Repeated rows are each returned. Extra columns
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +51,43 @@ LICENCE_FILE = "(^|/)(LICENSE|LICENCE|COPYING|NOTICE)([.-][^/]*)?$"
 TERMS = "filter(split(regexp_replace(lower(line), '[^a-z0-9]+', ' '), ' '), x -> x <> '')"
 
 
+WHOLE = 0.85
+_WORD = re.compile("[a-z0-9]+")
+
+
+class FullTexts:
+    """TF-IDF vectors of the full licence texts; a word that none of them has weighs most."""
+
+    def __init__(self) -> None:
+        # Read on the driver and sent with the function: executors need no files.
+        texts = {p.stem: Counter(_WORD.findall(p.read_text().lower())) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+        df = Counter(w for c in texts.values() for w in c)
+        self.rare = math.log(len(texts) + 1) + 1
+        self.idf = {w: math.log((len(texts) + 1) / (n + 1)) + 1 for w, n in df.items()}
+        self.vectors = {name: self.unit(c) for name, c in texts.items()}
+
+    def unit(self, counts: Counter) -> dict[str, float]:
+        v = {w: n * self.idf.get(w, self.rare) for w, n in counts.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    def best(self, text: str | None) -> tuple[float, str | None]:
+        v = self.unit(Counter(_WORD.findall((text or "").lower())))
+        return max(((sum(x * t.get(w, 0.0) for w, x in v.items()), name) for name, t in self.vectors.items()), default=(0.0, None))
+
+
+def whole_licences(files: DataFrame) -> DataFrame:
+    """(__fid, path, text) -> (__fid, whole) of the licence files that are a known licence as a whole."""
+    full = FullTexts()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [full.best(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch({"__fid": batch.column(0), "whole": pa.array([name if score >= WHOLE else None for score, name in found], pa.string())})
+
+    return files.where(F.col("path").rlike(LICENCE_FILE)).select("__fid", "text").mapInArrow(make, "__fid long, whole string").where("whole is not null").distinct()
+
+
 def scan(files: DataFrame, least: float = 0.6) -> DataFrame:
     """files (path, text, ...) -> the same columns without text, and n_headers, own_license, license, inherited_from."""
     spark = files.sparkSession
@@ -63,7 +108,7 @@ def scan(files: DataFrame, least: float = 0.6) -> DataFrame:
     scored = dots.join(norms, "line").join(F.broadcast(norms_t), "tid").join(F.broadcast(templates.select("tid", "name")), "tid")
     best = scored.withColumn("score", F.col("dot") / (F.col("a") * F.col("b"))).where(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("best"))
     own = headers.distinct().join(best, "line", "left").groupBy("__fid").agg(F.count("*").alias("n_headers"), F.min("best").alias("best")).select("__fid", "n_headers", F.col("best.name").alias("own_license"))
-    named = files.drop("text", "n_headers", "own_license", "license", "inherited_from").join(own, "__fid", "left").withColumn("n_headers", F.coalesce("n_headers", F.lit(0).cast("long"))).drop("__fid")
+    named = files.drop("text", "n_headers", "own_license", "license", "inherited_from").join(own, "__fid", "left").join(whole_licences(files), "__fid", "left").withColumn("own_license", F.coalesce("whole", "own_license")).drop("whole").withColumn("n_headers", F.coalesce("n_headers", F.lit(0).cast("long"))).drop("__fid")
     named = named.withColumn("__dir", F.regexp_extract("path", "^(.*)/", 1))
     given = named.where(F.col("own_license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy(F.col("__dir").alias("at")).agg(F.min("own_license").alias("given"))
     # Directories, not files, look for an ancestor: a directory with very many files is one row.

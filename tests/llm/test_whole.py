@@ -1,8 +1,9 @@
 """Each operator on the parts of its job that a narrower version would leave out."""
 
 import random
+from pathlib import Path
 
-from linkora.llm import html_text, line_dedup, ngram_join, packing, pii
+from linkora.llm import html_text, license_scan, line_dedup, ngram_join, packing, pii
 
 
 def test_stage_takes_copies_between_the_two_limits(spark):
@@ -84,3 +85,13 @@ def test_op6_keeps_short_sections_of_an_article():
     for tag in ("article", "main"):
         page = f"<body><div><p>{'away, ' * 9}</p></div><{tag}><section>{a}</section><section>{b}</section><p>Brief end.</p></{tag}></body>"
         assert html_text.main_text(page) == "\n".join([long] * 12 + ["Short", long, "Brief end."])
+
+
+def test_op4_judges_licence_files_as_a_whole(spark):
+    full = {p.stem: p.read_text() for p in (Path(license_scan.__file__).parent / "licences").glob("*.txt")}
+    body = full["MIT"][full["MIT"].index("Permission") :].replace("\n\n", "\n  \n")
+    rows = [("m/LICENSE", "Copyright (c) 2020 A. Name\n" + body), ("b3/COPYING", "Copyright 1999 B. All rights reserved.\n" + full["BSD-3-Clause"]), ("b2/LICENSE.txt", full["BSD-2-Clause"]), ("a/LICENSE", full["Apache-2.0"]), ("p/LICENSE", "this is prose of the kind that is in many a file and not a text of law " * 9)]
+    rows += [(f"{d}/src/x.py", "code") for d in ("m", "b3", "b2", "a", "p")]
+    got = {r.path: r.license for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for d, want in (("m", "MIT"), ("b3", "BSD-3-Clause"), ("b2", "BSD-2-Clause"), ("a", "Apache-2.0"), ("p", None)):
+        assert {v for k, v in got.items() if k.startswith(d + "/")} == {want}, d
