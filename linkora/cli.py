@@ -1,4 +1,4 @@
-"""Command line: diff, check, upgrade-check (all modules in one run) and dump. Exit code 0: clean, 1: the gate fails, 2: an error."""
+"""Command line: diff, check, upgrade-check and dump. Exit code 0: clean, 1: the gate fails, 2: an error."""
 
 from __future__ import annotations
 
@@ -6,14 +6,20 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
-from .operators import evidence, upgrade
+from .operators import evidence
 from .plans import check as plans
-from .plans import report
+from .plans import report, upgrade
 from .sources import config, jars
 
-ARTIFACT = "module string, `group` string, name string, version string, file string, project string"
+
+def _release(text: str) -> int:
+    n = int(text)
+    if not 8 <= n <= 35:
+        raise argparse.ArgumentTypeError("a release from 8 to 35")
+    return n
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,37 +31,55 @@ def parser() -> argparse.ArgumentParser:
     diff.add_argument("--json", action="store_true")
     check, up = sub.add_parser("check"), sub.add_parser("upgrade-check")
     for name in ("--old", "--new"):
-        check.add_argument(name, action="append", required=True)
+        check.add_argument(name, action="append", default=[])
     check.add_argument("--classpath", action="append", default=[])
-    check.add_argument("--classpath-file", action="append", default=[])
+    check.add_argument("--classpath-file", action="append", default=[], help="a classpath dump, or a text file of paths")
     check.add_argument("--app", action="append", default=[])
+    for name in ("--jdk-release-old", "--jdk-release-new"):
+        check.add_argument(name, type=_release, help="compare two JDK releases instead of --old and --new")
     up.add_argument("--before", required=True)
     up.add_argument("--after", required=True)
+    up.add_argument("--merged", action="store_true", help="one run over the whole classpath instead of one for each changed module")
     for p in (check, up):
         p.add_argument("--exclude-file", action="append", default=[])
         p.add_argument("--class-load-log", action="append", default=[])
         p.add_argument("--draft-exclude-file")
-        p.add_argument("--verdicts-json")
-        p.add_argument("--jdk", action="append", default=[], help="ct.sym or jmod archive")
-        p.add_argument("--jdk-release", type=int, choices=range(8, 36), metavar="8..35", help="the release to read from ct.sym")
+        p.add_argument("--verdicts-json", help="folder of JSON lines, one for each reference")
+        p.add_argument("--jdk-release", type=_release, help="resolve what leads out of the classpath in the API of this release")
         p.add_argument("--fail-on", choices=["never", "reachable", "any"], default="any")
         p.add_argument("--json", action="store_true")
     sub.add_parser("dump").add_argument("path")
     return top
 
 
-def _upgrade(spark: SparkSession, args: argparse.Namespace) -> tuple[list[str], list[str], list[str], list[str]]:
-    """(old, new, classpath, app) of the whole upgrade. Dumps are small files; their rows are planned on the driver."""
-    before, after = jars.load_dump(args.before), jars.load_dump(args.after)
-    a, b = (spark.createDataFrame(d["artifacts"], ARTIFACT) for d in (before, after))
-    moved = upgrade.jars(upgrade.dependency_diff(a, b), a, b).select("side", "file").distinct().orderBy("file").collect()
-    app = list(dict.fromkeys(c for _, c in after["modules"]))
-    files = list(dict.fromkeys(x[4] for x in after["artifacts"]))
-    return [r["file"] for r in moved if r["side"] == "old"], [r["file"] for r in moved if r["side"] == "new"], [p for p in app + files if os.path.exists(p)], app
+def validated(args: argparse.Namespace) -> argparse.Namespace:
+    """Raises ValueError on arguments that contradict each other."""
+    if args.command in ("check", "upgrade-check") and args.draft_exclude_file and not args.class_load_log:
+        raise ValueError("--draft-exclude-file needs --class-load-log")
+    if args.command == "check":
+        pair = (args.jdk_release_old, args.jdk_release_new)
+        if (pair[0] is None) != (pair[1] is None):
+            raise ValueError("--jdk-release-old and --jdk-release-new go together")
+        if pair[0] is not None and (args.old or args.new):
+            raise ValueError("--jdk-release-old and --jdk-release-new take the place of --old and --new")
+        if pair[0] is None and not (args.old and args.new):
+            raise ValueError("--old and --new are required")
+    return args
+
+
+def _listed(path: str) -> tuple[list[str], list[str]]:
+    """(paths, build outputs) of a classpath file."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if not text.lstrip().startswith("{"):
+        return text.split(), []
+    dump = jars.load_dump(path)
+    outputs = [folder for _, folder in dump["modules"]]
+    return outputs + [x[4] for x in dump["artifacts"]], outputs
 
 
 def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
-    args = parser().parse_args(argv)
+    args = validated(parser().parse_args(argv))
     if args.command == "diff":
         report.diff_report(plans.diff_paths(spark, [args.old], [args.new]), out, args.json)
         return 0
@@ -63,32 +87,43 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
         for r in plans.load(spark, [args.path]).members.orderBy("class_name", "name", "descriptor").toLocalIterator():
             out.write(f"{r['class_name']} {r['mkind']} {r['name']} {r['descriptor']} {r['access']:#06x}\n")
         return 0
-    if args.draft_exclude_file and not args.class_load_log:
-        raise ValueError("--draft-exclude-file needs --class-load-log")
-    if args.command == "check":
-        listed = [x for c in args.classpath for x in c.split(":")] + [x for f in args.classpath_file for x in open(f, encoding="utf-8").read().split()]
-        old, new, classpath, app = args.old, args.new, [p for p in listed + args.app if p and os.path.exists(p)], args.app
-    else:
-        old, new, classpath, app = _upgrade(spark, args)
     rules = [r for f in args.exclude_file for r in config.exclude_rules(open(f, encoding="utf-8").read())]
     rules = [(i, *r[1:]) for i, r in enumerate(rules)]
-    logs = None
-    if args.class_load_log:
-        logs = spark.createDataFrame([(i, open(p, encoding="utf-8", errors="replace").read()) for i, p in enumerate(args.class_load_log)], "file_ord long, text string")
-    found = plans.check(spark, old, new, classpath, app=app, jdk=args.jdk, release=args.jdk_release, rules=rules, logs=logs)
-    report.check_report(found, out, args.json)
+    if args.draft_exclude_file:
+        # A run that fails leaves this, never the draft of an earlier one.
+        with open(args.draft_exclude_file, "w", encoding="utf-8") as f:
+            f.write("# The check did not end; nothing was drafted.\n")
+    if args.command == "check":
+        listed, app = [x for c in args.classpath for x in c.split(":") if x], list(args.app)
+        for f in args.classpath_file:
+            paths, outputs = _listed(f)
+            listed += paths
+            app += outputs
+        pair = None if args.jdk_release_old is None else (args.jdk_release_old, args.jdk_release_new)
+        found = plans.check(spark, args.old, args.new, listed + app, app=app, release=args.jdk_release, pair=pair, rules=rules, logs=args.class_load_log)
+        report.check_report(found, out, args.json)
+        failed = report.fails(found, args.fail_on)
+    else:
+        moved = upgrade.upgrade_check(spark, jars.load_dump(args.before), jars.load_dump(args.after), merged=args.merged, layer=args.jdk_release, rules=rules, logs=args.class_load_log, fail_on=args.fail_on)
+        report.upgrade_report(moved, out, args.json)
+        found, failed = moved.report, moved.failed
     if args.verdicts_json:
-        found.verdicts.write.mode("overwrite").json(args.verdicts_json)
+        verdicts = found.verdicts if found else spark.createDataFrame([], "source string, source_class string, verdict string")
+        verdicts.write.mode("overwrite").json(args.verdicts_json)
     if args.draft_exclude_file:
+        empty = "owner string, name string, descriptor string, users array<string>, more int"
+        rows = evidence.draft_rules(found.violations) if found else spark.createDataFrame([], empty)
         with open(args.draft_exclude_file, "w", encoding="utf-8") as f:
-            report.draft_excludes(evidence.draft_rules(found.violations), f)
-    return int(report.fails(found, args.fail_on))
+            report.draft_excludes(rows, f, ", ".join(map(os.fspath, args.class_load_log)))
+    return int(failed)
 
 
 def main() -> int:
     try:
-        return run(SparkSession.builder.appName("linkora").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate(), sys.argv[1:])
-    except (OSError, ValueError) as e:
+        args = sys.argv[1:]
+        validated(parser().parse_args(args))
+        return run(SparkSession.builder.appName("linkora").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate(), args)
+    except (OSError, ValueError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

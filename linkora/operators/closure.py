@@ -1,18 +1,32 @@
-"""Fixpoints over class hierarchies: closures, chains, and the ordered searches of field and method resolution.
+"""Closures over class hierarchies: supertypes, superclass chains, and the ordered searches of field and method resolution.
 
-Each round is one join of the frontier with the edges; the frontier shrinks to nothing, so the number of rounds is the depth of the
-hierarchy. Rows of different starts are independent, so rounds run for all starts at once.
+A hierarchy of up to LOCAL_EDGES edges, which is counted first, is sent to the tasks as integer arrays, and each start is walked once in
+one pass over the starts. A larger one is walked level by level with joins, for all starts at once; both ways give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flags import OBJECT, is_object_method
-from ..plans.scratch import settle
+from ..plans.scratch import drop, settle
+
+# About 100 bytes an edge on the driver and in each Python worker.
+LOCAL_EDGES = 1_000_000
+EDGES = ["class_name", "super_name", "interfaces"]
+
+
+def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The edges of the classes of both tables; a class of both has those of the first."""
+    return first.select(*EDGES).unionByName(second.select(*EDGES).join(first.select("class_name"), "class_name", "left_anti"))
 
 
 def super_edges(classes: DataFrame) -> DataFrame:
@@ -21,118 +35,311 @@ def super_edges(classes: DataFrame) -> DataFrame:
     return ups.where(F.col("up").isNotNull() & (F.col("up") != OBJECT))
 
 
-def supertype_closure(classes: DataFrame, starts: DataFrame) -> DataFrame:
+@dataclass
+class Hierarchy:
+    """Classes by number: those of scope come first. ups: interfaces in order, then the superclass, from at[i] to at[i + 1]."""
+
+    names: list[str]
+    supers: np.ndarray
+    at: np.ndarray
+    ups: np.ndarray
+    faces: np.ndarray  # how many of the ups are interfaces
+    code: dict[str, int] = field(default_factory=dict)
+    shared: Broadcast | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"code": {}, "shared": None}
+
+    def number(self, name: str) -> int:
+        if not self.code:
+            self.code = {n: i for i, n in enumerate(self.names)}
+        return self.code.get(name, -1)
+
+    def known(self, c: int) -> bool:
+        return c < len(self.supers)
+
+    def interfaces(self, c: int) -> list[int]:
+        return self.ups[self.at[c] : self.at[c] + self.faces[c]].tolist()
+
+    def above(self, c: int) -> list[int]:
+        return self.ups[self.at[c] : self.at[c + 1]].tolist()
+
+    def closure(self, start: int) -> Iterator[tuple[int, int]]:
+        """(class, place), the start included; what is out of scope is visited, not expanded."""
+        seen, todo = {start}, [start]
+        for n, c in enumerate(todo):
+            yield c, n
+            if self.known(c):
+                for up in self.above(c):
+                    if up not in seen:
+                        seen.add(up)
+                        todo.append(up)
+
+    def chain(self, start: int) -> Iterator[tuple[int, int]]:
+        """(class, depth) up the superclasses, until the scope or a cycle ends."""
+        seen, c = set(), start
+        while c >= 0 and c not in seen:
+            yield c, len(seen)
+            seen.add(c)
+            c = int(self.supers[c]) if self.known(c) else -1
+
+    def preorder(self, starts: list[int], step: Callable[[int], list[int]]) -> Iterator[int]:
+        """Depth first over `step`, each class at its first visit."""
+        seen, stack = set(), starts[::-1]
+        while stack:
+            c = stack.pop()
+            if c not in seen:
+                seen.add(c)
+                yield c
+                if self.known(c):
+                    stack += step(c)[::-1]
+
+
+def local_hierarchy(classes: DataFrame, most: int) -> Hierarchy | None:
+    """The hierarchy as arrays, or None if it has more than `most` edges. Made once for a DataFrame."""
+    if getattr(classes, "_hierarchy", (None,))[0] != most:
+        classes._hierarchy = (most, _hierarchy(classes.select(*EDGES), most))
+    return classes._hierarchy[1]
+
+
+def _hierarchy(rows: DataFrame, most: int) -> Hierarchy | None:
+    size = rows.agg(F.sum(F.lit(1) + F.coalesce(F.size("interfaces"), F.lit(0))).alias("n")).first()["n"]
+    if (size or 0) > most:
+        return None
+    got = rows.toArrow().to_pydict()
+    first: dict[str, int] = {}
+    for i, c in enumerate(got["class_name"]):
+        first.setdefault(c, i)
+    names = list(first)
+    code = {n: i for i, n in enumerate(names)}
+
+    def number(name: str) -> int:
+        if name not in code:
+            code[name] = len(names)
+            names.append(name)
+        return code[name]
+
+    supers, at, ups, faces = [], [0], [], []
+    for i in list(first.values()):
+        sup, own = got["super_name"][i], [f for f in got["interfaces"][i] or [] if f is not None and f != OBJECT]
+        own = [number(f) for f in own]
+        supers.append(number(sup) if sup is not None and sup != OBJECT else -1)
+        faces.append(len(own))
+        ups += own + [supers[-1]] * (supers[-1] >= 0)
+        at.append(len(ups))
+    return Hierarchy(names, np.array(supers, np.int64), np.array(at, np.int64), np.array(ups, np.int64), np.array(faces, np.int64))
+
+
+def _walked(starts: DataFrame, h: Hierarchy, visit: Callable[[Hierarchy, int], Iterator[tuple]], columns: str) -> DataFrame:
+    """starts (class_name) -> (start, class_name, columns..., in_scope); visit yields (class, *columns)."""
+    if h.shared is None:
+        h.shared = starts.sparkSession.sparkContext.broadcast(h)
+    shared = h.shared
+    names = [c.split()[0] for c in columns.split(", ")] if columns else []
+    kinds = {"int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+    types = [kinds[c.split()[1]] for c in columns.split(", ")] if columns else []
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [()] * (3 + len(names))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), *types, pa.bool_()))], names=["start", "class_name", *names, "in_scope"])
+
+        for b in batches:
+            rows: list[tuple] = []
+            for name in b.column(0).to_pylist():
+                c = tree.number(name)
+                if c < 0:
+                    # A class that nothing names: it stands alone, out of scope.
+                    rows += [(name, name, *x[1:], False) for x in visit(Hierarchy([name], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0)]
+                else:
+                    rows += [(name, tree.names[x[0]], *x[1:], tree.known(x[0])) for x in visit(tree, c)]
+                if len(rows) > 50_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
+
+    schema = "start string, class_name string, " + (columns + ", " if columns else "") + "in_scope boolean"
+    return starts.select("class_name").distinct().mapInArrow(make, schema)
+
+
+def _in_scope(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    known = classes.select(F.col("class_name").alias("k")).distinct()
+    return rows.join(known, F.col("class_name") == F.col("k"), "left").withColumn("in_scope", F.col("k").isNotNull()).drop("k")
+
+
+def supertype_closure(classes: DataFrame, starts: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """starts (class_name) -> (start, class_name, in_scope): every supertype but Object; types out of scope are visited, not expanded."""
+    if (h := local_hierarchy(classes, most)) is not None:
+        return _walked(starts, h, lambda tree, c: ((x,) for x, _ in tree.closure(c)), "")
     edges = super_edges(classes).select(F.col("class_name").alias("from"), "up").distinct()
-    known = classes.select("class_name").distinct().withColumn("in_scope", F.lit(True))
     frontier = settle(starts.select(F.col("class_name").alias("start"), "class_name").distinct())
     seen = frontier
     while not frontier.isEmpty():
         step = frontier.join(edges, F.col("class_name") == F.col("from")).select("start", F.col("up").alias("class_name")).distinct()
         frontier = settle(step.join(seen, ["start", "class_name"], "left_anti"))
-        seen = settle(seen.union(frontier)) if len(seen.inputFiles()) > 64 else seen.union(frontier)
-    return seen.join(known, "class_name", "left").select("start", "class_name", F.coalesce("in_scope", F.lit(False)).alias("in_scope"))
+        seen = seen.union(frontier)
+    return _in_scope(seen, classes).select("start", "class_name", "in_scope")
 
 
-def super_chain(classes: DataFrame, starts: DataFrame) -> DataFrame:
+def super_chain(classes: DataFrame, starts: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """(start, class_name, depth, in_scope): the superclass chain without Object; ends where it leaves the scope or repeats."""
+    if (h := local_hierarchy(classes, most)) is not None:
+        return _walked(starts, h, lambda tree, c: tree.chain(c), "depth int")
     supers = classes.select(F.col("class_name").alias("from"), F.col("super_name").alias("up"))
-    known = classes.select(F.col("class_name").alias("k")).distinct()
     frontier = settle(starts.select(F.col("class_name").alias("start"), "class_name", F.lit(0).alias("depth"), F.array("class_name").alias("path")).distinct())
     levels = [frontier]
     while not frontier.isEmpty():
         step = frontier.join(supers, F.col("class_name") == F.col("from")).where(F.col("up").isNotNull() & (F.col("up") != OBJECT) & ~F.array_contains("path", F.col("up")))
         frontier = settle(step.select("start", F.col("up").alias("class_name"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("up")).alias("path")))
         levels.append(frontier)
-    out = reduce(DataFrame.union, levels).drop("path")
-    return out.join(known, F.col("class_name") == F.col("k"), "left").select("start", "class_name", "depth", F.col("k").isNotNull().alias("in_scope"))
+    return _in_scope(reduce(DataFrame.union, levels).drop("path"), classes).select("start", "class_name", "depth", "in_scope")
 
 
-def ordered_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """starts (start, class_name, path) -> all (start, class_name, path), path the ordinals from the start; cycles are cut."""
-    frontier = settle(starts.withColumn("been", F.array("class_name")))
-    levels = [frontier]
+def first_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (start, class_name, path) -> the least path (ordinals from the start) of each (start, class_name) that is reached.
+
+    The order of least paths is that of first visits, depth first. A class is kept once for a start and walked on only when a smaller path
+    to it arrives; a way round a cycle is longer than the path it began with, so it never does.
+    """
+    best = settle(starts.groupBy("start", "class_name").agg(F.min("path").alias("path")))
+    frontier = best
+    e = edges.select(F.col("class_name").alias("from"), "up", "ord")
     while not frontier.isEmpty():
-        e = edges.select(F.col("class_name").alias("from"), "up", "ord")
-        step = frontier.join(e, F.col("class_name") == F.col("from")).where(~F.array_contains("been", F.col("up")))
-        frontier = settle(step.select("start", F.col("up").alias("class_name"), F.array_append("path", F.col("ord")).alias("path"), F.array_append("been", F.col("up")).alias("been")))
-        levels.append(frontier)
-    return reduce(DataFrame.union, levels).drop("been")
+        step = frontier.join(e, F.col("class_name") == F.col("from")).select("start", F.col("up").alias("class_name"), F.array_append("path", F.col("ord")).alias("path"))
+        step = step.groupBy("start", "class_name").agg(F.min("path").alias("path"))
+        had = best.withColumnRenamed("path", "had")
+        frontier = settle(step.join(had, ["start", "class_name"], "left").where("had is null or path < had").drop("had"))
+        after = settle(best.join(frontier.select("start", "class_name"), ["start", "class_name"], "left_anti").unionByName(frontier))
+        drop(best)
+        best = after
+    return best
 
 
 def _keys(wanted: DataFrame) -> DataFrame:
     return wanted.select("owner", "name", "descriptor").distinct()
 
 
-def _answer(wanted: DataFrame, events: DataFrame) -> DataFrame:
-    """Keys with (status, at, access): `events` has at most one row a key, Found or Unknown."""
-    out = _keys(wanted).join(events, ["owner", "name", "descriptor"], "left")
-    return out.select("owner", "name", "descriptor", F.coalesce("status", F.lit("not_found")).alias("status"), "at", "access")
+def _field_places(tree: Hierarchy, start: int) -> Iterator[tuple]:
+    """Self, each interface with what is above it, then the superclass; nothing behind the first class out of scope is ever asked."""
+    for n, c in enumerate(tree.preorder([start], tree.above)):
+        yield c, [n]
+        if not tree.known(c):
+            return
+
+
+def _method_places(tree: Hierarchy, start: int) -> Iterator[tuple]:
+    """Phase 1: the superclass chain. Phase 2, if the chain stays in scope: its interfaces, in its order, depth first."""
+    tops: list[int] = []
+    for c, depth in tree.chain(start):
+        yield c, 1, [depth]
+        if not tree.known(c):
+            return
+        tops += tree.interfaces(c)
+    for n, c in enumerate(tree.preorder(tops, tree.interfaces)):
+        yield c, 2, [n]
+
 
+def field_places(classes: DataFrame, starts: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
+    """starts (class_name) -> (start, class_name, pos, in_scope): where a field is looked for, in the order of pos."""
+    if (h := local_hierarchy(classes, most)) is not None:
+        return _walked(starts, h, _field_places, "pos array<int>")
+    first = starts.select(F.col("class_name").alias("start"), "class_name").distinct().withColumn("path", F.array().cast("array<int>"))
+    return _in_scope(first_paths(super_edges(classes), first), classes).select("start", "class_name", F.col("path").alias("pos"), "in_scope")
+
+
+def method_places(classes: DataFrame, starts: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
+    """starts (class_name) -> (start, class_name, phase, pos, in_scope): where a method is looked for, phase 1 first, each in the order of pos."""
+    if (h := local_hierarchy(classes, most)) is not None:
+        return _walked(starts, h, _method_places, "phase int, pos array<int>")
+    chain = settle(super_chain(classes, starts, most))
+    faces = classes.select("class_name", F.posexplode("interfaces").alias("n", "face"))
+    tops = chain.join(faces, "class_name").select("start", F.col("face").alias("class_name"), F.array("depth", "n").alias("path"))
+    above = _in_scope(first_paths(classes.select("class_name", F.posexplode("interfaces").alias("ord", "up")), tops), classes)
+    return chain.select("start", "class_name", F.lit(1).alias("phase"), F.array("depth").alias("pos"), "in_scope").unionByName(above.select("start", "class_name", F.lit(2).alias("phase"), F.col("path").alias("pos"), "in_scope"))
 
-def resolve_field(classes: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+
+def _starts(keys: DataFrame) -> DataFrame:
+    return keys.select(F.col("owner").alias("class_name")).where(F.col("class_name") != OBJECT)
+
+
+def resolve_field(classes: DataFrame, members: DataFrame, wanted: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """wanted (owner, name, descriptor) -> status found/not_found/unknown, at, access.
 
     Depth first: the class itself, each interface with what is above it, then the superclass. The first event decides: the class
-    declares the field (found) or is not in scope (unknown). Paths compare element by element, so the least path is the first.
+    declares the field (found) or is not in scope (unknown).
     """
-    starts = _keys(wanted).select(F.col("owner").alias("start"), F.col("owner").alias("class_name")).distinct().withColumn("path", F.array().cast("array<int>"))
-    paths = ordered_paths(super_edges(classes), starts.where(F.col("start") != OBJECT))
-    known = classes.select(F.col("class_name").alias("k")).distinct()
-    places = paths.join(known, F.col("class_name") == F.col("k"), "left").select(F.col("start").alias("owner"), "class_name", "path", F.col("k").isNotNull().alias("here"))
-    declared = members.where("mkind = 'field'").select("class_name", "name", "descriptor", "access").dropDuplicates(["class_name", "name", "descriptor"])
-    events = _keys(wanted).join(places, "owner").join(declared, ["class_name", "name", "descriptor"], "left").where(F.col("access").isNotNull() | ~F.col("here"))
-    first = events.groupBy("owner", "name", "descriptor").agg(F.min(F.struct("path", "here", "class_name", "access")).alias("e"))
-    return _answer(wanted, first.select("owner", "name", "descriptor", F.when(F.col("e.here"), "found").otherwise("unknown").alias("status"), F.when(F.col("e.here"), F.col("e.class_name")).alias("at"), F.when(F.col("e.here"), F.col("e.access")).alias("access")))
+    keys, key = _keys(wanted), ["owner", "name", "descriptor"]
+    places = field_places(classes, _starts(keys), most).withColumnRenamed("start", "owner")
+    declared = members.where("mkind = 'field'").groupBy("class_name", "name", "descriptor").agg(F.min("access").alias("access"))
+    events = keys.join(places, "owner").join(declared, ["class_name", "name", "descriptor"], "left").where(F.col("access").isNotNull() | ~F.col("in_scope"))
+    first = events.groupBy(*key).agg(F.min(F.struct("pos", "in_scope", "class_name", "access")).alias("e"))
+    found = F.col("e.in_scope")
+    out = keys.join(first, key, "left")
+    return out.select(*key, F.when(F.col("e").isNull(), "not_found").when(found, "found").otherwise("unknown").alias("status"), F.when(found, F.col("e.class_name")).alias("at"), F.when(found, F.col("e.access")).alias("access"))
 
 
-def resolve_method(classes: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+def resolve_method(classes: DataFrame, members: DataFrame, wanted: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """wanted (owner, name, descriptor) -> status, at, access.
 
     Constructors: the owner alone. Then the superclass chain: the first declaration is found, leaving the scope is unknown, Object has its
     own methods. Then the interfaces of the chain, in its order, depth first; unknown only if nothing is found and a branch left the scope.
     """
-    keys = _keys(wanted)
-    known = classes.select(F.col("class_name").alias("k")).distinct()
-    declared = members.where("mkind = 'method'").select("class_name", "name", "descriptor", "access").dropDuplicates(["class_name", "name", "descriptor"])
+    keys, key = _keys(wanted), ["owner", "name", "descriptor"]
     ctor = F.col("name").isin("<init>", "<clinit>")
-    key = ["owner", "name", "descriptor"]
-    chain = super_chain(classes, keys.select(F.col("owner").alias("class_name")).where(F.col("class_name") != OBJECT))
-    chain = settle(chain.withColumnRenamed("start", "owner"))
-    hits = keys.join(chain, "owner").where(~ctor | (F.col("depth") == 0)).join(declared, ["class_name", "name", "descriptor"], "left").where(F.col("access").isNotNull() | ~F.col("in_scope"))
-    one = hits.groupBy(*key).agg(F.min(F.struct("depth", "in_scope", "class_name", "access")).alias("e"))
-    phase1 = one.select(*key, F.when(F.col("e.in_scope"), "found").otherwise("unknown").alias("status"), F.when(F.col("e.in_scope"), F.col("e.class_name")).alias("at"), F.when(F.col("e.in_scope"), F.col("e.access")).alias("access"))
-    rest = keys.join(phase1, key, "left_anti")
-    built_in = rest.where(is_object_method("name", "descriptor") & ~ctor).select(*key, F.lit("found").alias("status"), F.lit(OBJECT).alias("at"), F.lit(1).alias("access"))
-    rest = settle(rest.where(~(is_object_method("name", "descriptor") | ctor)))
-    # The interfaces of the chain, numbered in chain order; then what is above each.
-    faces = classes.select("class_name", F.posexplode("interfaces").alias("n", "face"))
-    tops = chain.join(rest.select("owner").distinct(), "owner", "left_semi").join(faces, "class_name").select("owner", F.col("face").alias("class_name"), F.array(F.col("depth").cast("int"), "n").alias("path"))
-    above = ordered_paths(classes.select("class_name", F.posexplode("interfaces").alias("ord", "up")), tops.withColumnRenamed("owner", "start"))
-    places = above.join(known, F.col("class_name") == F.col("k"), "left").select(F.col("start").alias("owner"), "class_name", "path", F.col("k").isNotNull().alias("here"))
-    seen = rest.join(places, "owner").join(declared, ["class_name", "name", "descriptor"], "left")
-    two = seen.groupBy(*key).agg(F.min(F.when(F.col("access").isNotNull(), F.struct("path", "class_name", "access"))).alias("e"), F.bool_or(~F.col("here")).alias("out"))
-    phase2 = two.where("e is not null or out").select(*key, F.when(F.col("e").isNotNull(), "found").otherwise("unknown").alias("status"), F.col("e.class_name").alias("at"), F.col("e.access").alias("access"))
-    return _answer(wanted, phase1.unionByName(built_in).unionByName(phase2))
-
-
-def assignable(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (sub, sup) -> status yes/no/unknown: is sup a supertype of sub (or the same)? A branch that leaves the scope makes a miss unknown."""
-    up = supertype_closure(classes, pairs.select(F.col("sub").alias("class_name"))).withColumnRenamed("start", "sub")
-    out = pairs.distinct().join(up, "sub").groupBy("sub", "sup").agg(F.bool_or(F.col("class_name") == F.col("sup")).alias("hit"), F.bool_or(~F.col("in_scope")).alias("out"))
+    places = method_places(classes, _starts(keys), most).withColumnRenamed("start", "owner")
+    declared = members.where("mkind = 'method'").groupBy("class_name", "name", "descriptor").agg(F.min("access").alias("access"))
+    seen = keys.join(places, "owner").where(~ctor | ((F.col("phase") == 1) & (F.col("pos")[0] == 0)))
+    seen = seen.join(declared, ["class_name", "name", "descriptor"], "left").where(F.col("access").isNotNull() | ~F.col("in_scope"))
+    chain, here = F.col("phase") == 1, F.col("access").isNotNull()
+    events = seen.groupBy(*key).agg(
+        F.min(F.when(chain, F.struct("pos", "in_scope", "class_name", "access"))).alias("a"),
+        F.min(F.when(~chain & here, F.struct("pos", "class_name", "access"))).alias("b"),
+        F.bool_or(~chain & ~F.col("in_scope")).alias("out"),
+    )
+    first, built_in, faced = F.col("a").isNotNull(), is_object_method("name", "descriptor") & ~ctor, F.col("b").isNotNull()
+    in_chain = first & F.col("a.in_scope")
+    status = F.when(in_chain, "found").when(first, "unknown").when(built_in, "found").when(faced, "found").when(F.col("out"), "unknown").otherwise("not_found")
+    at = F.when(in_chain, F.col("a.class_name")).when(first, None).when(built_in, OBJECT).when(faced, F.col("b.class_name"))
+    access = F.when(in_chain, F.col("a.access")).when(first, None).when(built_in, 1).when(faced, F.col("b.access"))
+    return keys.join(events, key, "left").select(*key, status.alias("status"), at.alias("at"), access.alias("access"))
+
+
+def _three_valued(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    out = pairs.select("sub", "sup").distinct().join(up.withColumnRenamed("start", "sub"), "sub").groupBy("sub", "sup").agg(F.bool_or(F.col("class_name") == F.col("sup")).alias("hit"), F.bool_or(~F.col("in_scope")).alias("out"))
     return out.select("sub", "sup", F.when(F.col("hit") | (F.col("sup") == OBJECT), "yes").when(F.col("out"), "unknown").otherwise("no").alias("status"))
 
 
-def subclass(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def assignable(classes: DataFrame, pairs: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
+    """pairs (sub, sup) -> status yes/no/unknown: is sup a supertype of sub (or the same)? A branch that leaves the scope makes a miss unknown.
+
+    Where two tables know a class, `prefer` says whose edges count.
+    """
+    return _three_valued(pairs, supertype_closure(classes, pairs.select(F.col("sub").alias("class_name")), most))
+
+
+def subclass(classes: DataFrame, pairs: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """As assignable, over the superclass chain only."""
-    up = super_chain(classes, pairs.select(F.col("sub").alias("class_name"))).withColumnRenamed("start", "sub")
-    out = pairs.distinct().join(up, "sub").groupBy("sub", "sup").agg(F.bool_or(F.col("class_name") == F.col("sup")).alias("hit"), F.bool_or(~F.col("in_scope")).alias("out"))
-    return out.select("sub", "sup", F.when(F.col("hit") | (F.col("sup") == OBJECT), "yes").when(F.col("out"), "unknown").otherwise("no").alias("status"))
+    return _three_valued(pairs, super_chain(classes, pairs.select(F.col("sub").alias("class_name")), most))
 
 
-def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """edges (src, dst), roots (class_name) -> (class_name): everything reached, roots included."""
-    frontier = settle(roots.select("class_name").distinct())
+    edges, roots = edges.select("src", "dst"), roots.select("class_name").distinct()
+    if edges.count() <= most and roots.count() <= most:
+        got, start = edges.toArrow(), roots.toArrow().column("class_name").to_pylist()
+        below: dict[str, list[str]] = {}
+        for a, b in zip(got.column("src").to_pylist(), got.column("dst").to_pylist()):
+            below.setdefault(a, []).append(b)
+        seen, todo = set(start), list(start)
+        for c in todo:
+            for d in below.get(c, ()):
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        return edges.sparkSession.createDataFrame(pa.table({"class_name": pa.array(todo, pa.string())}))
+    frontier = settle(roots)
     seen = frontier
     while not frontier.isEmpty():
         step = frontier.join(edges, F.col("class_name") == F.col("src")).select(F.col("dst").alias("class_name")).distinct()

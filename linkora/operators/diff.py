@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flags import ABSTRACT, ENUM, FINAL, INTERFACE, PRIVATE, STATIC, has, visibility, visibility_name
+from ..plans.scratch import settle
 from .closure import resolve_field, resolve_method
 
 COLUMNS = "kind string, class_name string, name string, descriptor string, from_access string, to_access string, replacements array<string>"
@@ -103,10 +104,10 @@ def replacement_descriptors(gone: DataFrame, new_members: DataFrame) -> DataFram
 
 def member_removed(old_members: DataFrame, new: DataFrame, new_members: DataFrame) -> DataFrame:
     """Gone, and not found by resolution either: inherited members and those out of scope are silent."""
-    gone = members_gone(old_members, new, new_members)
+    gone = settle(members_gone(old_members, new, new_members))
     asked = gone.select(F.col("class_name").alias("owner"), "mkind", "name", "descriptor")
     found = resolve_method(new, new_members, asked.where("mkind = 'method'")).withColumn("mkind", F.lit("method")).unionByName(resolve_field(new, new_members, asked.where("mkind = 'field'")).withColumn("mkind", F.lit("field")))
-    lost = gone.join(found.where("status = 'not_found'").select(F.col("owner").alias("class_name"), "mkind", "name", "descriptor"), KEY, "left_semi")
+    lost = settle(gone.join(found.where("status = 'not_found'").select(F.col("owner").alias("class_name"), "mkind", "name", "descriptor"), KEY, "left_semi"))
     return lost.join(replacement_descriptors(lost, new_members), KEY, "left").select(*[c for c in _row(_kind("removed"))[:-1]], F.coalesce("replacements", F.array().cast("array<string>")).alias("replacements"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,8 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def crc_first(entries: DataFrame) -> DataFrame:
     """entries (class_name, crc32, path_ord, entry_ord, is_dir, ...): copies of one class with one checksum are read once; directories are exempt."""
-    w = Window.partitionBy("class_name", "crc32", "is_dir").orderBy("path_ord", "entry_ord")
-    return entries.withColumn("rn", F.row_number().over(w)).where("rn = 1 or is_dir").drop("rn")
+    archived = first_wins(entries.where("not is_dir"), ["class_name", "crc32"], ["path_ord", "entry_ord"])
+    return archived.unionByName(entries.where("is_dir"))
 
 
 def layered(*layers: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flags import ABSTRACT, BRIDGE, ENUM, FINAL, INTERFACE, OBJECT, PRIVATE, PUBLIC, STATIC, SYNTHETIC, has, is_object_method
-from .closure import assignable, super_chain, supertype_closure
+from ..plans.scratch import settle
+from .closure import assignable, prefer, super_chain, supertype_closure
 from .diff import both_classes
 
 MADE = BRIDGE | SYNTHETIC
@@ -101,7 +102,7 @@ def maximally_specific(classes: DataFrame, declaring: DataFrame) -> DataFrame:
 def implementation_status(classes: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
     """keys (start, name, descriptor) -> status concrete/abstract_only/conflict/absent/unknown of what the start class selects."""
     key = ["start", "name", "descriptor"]
-    keys = keys.select(*key).distinct()
+    keys = settle(keys.select(*key).distinct())
     starts = keys.select(F.col("start").alias("class_name")).distinct()
     instance = members.where((F.col("mkind") == "method") & ~has("access", STATIC) & ~has("access", PRIVATE)).select("class_name", "name", "descriptor", has("access", ABSTRACT).alias("abstract"))
     chain = super_chain(classes, starts)
@@ -110,7 +111,7 @@ def implementation_status(classes: DataFrame, members: DataFrame, keys: DataFram
     first = one.select(*key, F.when(~F.col("e.in_scope"), "unknown").when(F.col("e.abs"), "abstract_only").otherwise("concrete").alias("first"))
     faces = classes.where(has("access", INTERFACE)).select("class_name", F.lit(True).alias("face"))
     closure = supertype_closure(classes, starts)
-    seen = keys.join(closure.where("start <> class_name").join(faces, "class_name", "left").where("face or not in_scope"), "start").join(instance, ["class_name", "name", "descriptor"], "left")
+    seen = settle(keys.join(closure.where("start <> class_name").join(faces, "class_name", "left").where("face or not in_scope"), "start").join(instance, ["class_name", "name", "descriptor"], "left"))
     two = seen.groupBy(*key).agg(F.bool_or(~F.col("in_scope")).alias("out"), F.bool_or(F.col("abstract")).alias("abs"), F.bool_or(~F.col("abstract")).alias("con"))
     top = maximally_specific(classes, seen.where("abstract = false").select(*key, "class_name")).groupBy(*key).agg(F.count("*").alias("tops"))
     out = keys.join(first, key, "left").join(two, key, "left").join(top, key, "left")
@@ -133,41 +134,77 @@ def selection_breaks(old: DataFrame, new: DataFrame, old_members: DataFrame, new
     """
     keys = newly_abstract(old, new, old_members, new_members).unionByName(newly_default(old, new, old_members, new_members)).distinct()
     up = supertype_closure(new, subjects.select("class_name")).where("start <> class_name")
-    asked = up.join(keys, "class_name").groupBy("start", "name", "descriptor").agg(F.min("class_name").alias("owner"))
+    asked = settle(up.join(keys, "class_name").groupBy("start", "name", "descriptor").agg(F.min("class_name").alias("owner")))
     was = implementation_status(old, old_members, asked).withColumnRenamed("status", "was")
     now = implementation_status(new, new_members, asked).withColumnRenamed("status", "now")
     hit = asked.join(now, ["start", "name", "descriptor"]).join(was, ["start", "name", "descriptor"]).where("now in ('abstract_only', 'conflict') and was in ('concrete', 'absent')")
     return hit.select(F.col("start").alias("class_name"), "name", "descriptor", "owner", F.when(F.col("now") == "conflict", "conflicting default methods").otherwise("method became abstract").alias("reason"))
 
 
+def _escapes(closure: DataFrame) -> DataFrame:
+    """closure (start, class_name, in_scope) -> (start, other, platform): does a walk leave the scope through a type outside java/, through one of java/?"""
+    out, java = ~F.col("in_scope"), F.col("class_name").startswith("java/")
+    return closure.groupBy("start").agg(F.bool_or(out & ~java).alias("other"), F.bool_or(out & java).alias("platform"))
+
+
+def on_dispatch_chain(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (class_name, owner): those where a call on owner may run on an instance of class_name: the same, a supertype or a subtype.
+
+    A walk that leaves the scope may hide the other name, so it counts as related; but what is above a type of java/ is of java/ too,
+    so leaving through java/ alone hides only names of java/.
+    """
+    pairs = settle(pairs.select("class_name", "owner").distinct())
+    up = supertype_closure(classes, pairs.select("class_name").union(pairs.select("owner"))).withColumnRenamed("class_name", "up")
+    esc = _escapes(up.withColumnRenamed("up", "class_name"))
+    side = lambda name, s: esc.select(F.col("start").alias(name), F.col("other").alias(f"{s}_other"), F.col("platform").alias(f"{s}_platform"))
+    out = pairs.join(side("class_name", "c"), "class_name").join(side("owner", "o"), "owner")
+    edge = up.select("start", "up").distinct().withColumn("is_up", F.lit(True))
+    out = out.join(edge.select(F.col("start").alias("class_name"), F.col("up").alias("owner"), F.col("is_up").alias("above")), ["class_name", "owner"], "left")
+    out = out.join(edge.select(F.col("start").alias("owner"), F.col("up").alias("class_name"), F.col("is_up").alias("below")), ["class_name", "owner"], "left")
+    hides = lambda s, name: F.col(f"{s}_other") | (F.col(f"{s}_platform") & F.col(name).startswith("java/"))
+    return out.where(F.coalesce("above", "below", F.lit(False)) | hides("c", "owner") | hides("o", "class_name")).select("class_name", "owner")
+
+
 def invocation_evidence(breaks: DataFrame, invocations: DataFrame, classes: DataFrame) -> DataFrame:
-    """breaks (class_name, name, descriptor) -> invocation_found: is the method called on the class, a supertype or a subtype of it?
+    """breaks (class_name, name, descriptor, ...) -> invocation_found: is the method called on an owner that is on the class's dispatch chain?"""
+    key = ["class_name", "name", "descriptor"]
+    breaks = settle(breaks)
+    calls = breaks.select(*key).distinct().join(invocations.select("owner", "name", "descriptor").distinct(), ["name", "descriptor"])
+    found = calls.join(on_dispatch_chain(classes, calls), ["class_name", "owner"], "left_semi").select(*key).distinct().withColumn("f", F.lit(True))
+    return breaks.join(found, key, "left").withColumn("invocation_found", F.coalesce("f", F.lit(False))).drop("f")
+
+
+def instantiable(providers: DataFrame, classes: DataFrame, members: DataFrame, graph: DataFrame, scope_first: bool) -> DataFrame:
+    """providers (iface, provider, ...) -> fits yes/no/unknown: public, concrete, with a public constructor without parameters of its own, and a
+    subtype of the service.
+
+    A provider without a row in scope is unknown if the graph has it, since only its members are not at hand, and no otherwise.
+    scope_first: whose edges count where scope and graph both know a class.
+    """
+    ctor = members.where("mkind = 'method' and name = '<init>' and descriptor = '()V'").where(has("access", PUBLIC)).select(F.col("class_name").alias("provider"), F.lit(True).alias("made")).distinct()
+    flags = classes.select(F.col("class_name").alias("provider"), F.col("access").alias("flags"))
+    here = graph.select(F.col("class_name").alias("provider"), F.lit(True).alias("in_graph")).distinct()
+    edges = prefer(classes, graph) if scope_first else prefer(graph, classes)
+    up = assignable(edges, providers.select(F.col("provider").alias("sub"), F.col("iface").alias("sup"))).select(F.col("sub").alias("provider"), F.col("sup").alias("iface"), F.col("status").alias("is_sub"))
+    out = providers.join(flags, "provider", "left").join(here, "provider", "left").join(ctor, "provider", "left").join(up, ["iface", "provider"], "left")
+    plain = has("flags", PUBLIC) & ~has("flags", INTERFACE) & ~has("flags", ABSTRACT)
+    fits = F.when(F.col("flags").isNull(), F.when(F.col("in_graph"), "unknown").otherwise("no")).when(~plain | F.col("made").isNull(), "no").otherwise(F.col("is_sub"))
+    return out.withColumn("fits", fits).drop("flags", "in_graph", "made", "is_sub")
+
+
+def still_listed(old_services: DataFrame, new_services: DataFrame) -> DataFrame:
+    """(iface, provider, source): providers that both sides list for a service, with the source of their first new registration."""
+    order = [c for c in ("path_ord", "entry_ord", "ord") if c in new_services.columns]
+    first = new_services.groupBy("iface", "provider").agg(F.min(F.struct(*order, "source")).alias("f")).select("iface", "provider", "f.source")
+    return first.join(old_services.select("iface", "provider").distinct(), ["iface", "provider"])
+
+
+def spi_breaks(old_services: DataFrame, new_services: DataFrame, old: DataFrame, new: DataFrame, old_members: DataFrame, new_members: DataFrame, graph: DataFrame) -> DataFrame:
+    """(iface, provider, source, reason) of still listed providers that could be made before and provably cannot now.
 
-    Owners whose hierarchy leaves the scope count as related; purely java/ escapes only if the class is of java/ itself.
+    old, new: the scopes, whose own edges count first on the old side; on the new side those of the graph do.
     """
-    calls = breaks.select("class_name", "name", "descriptor").distinct().join(invocations.select(F.col("owner"), "name", "descriptor").distinct(), ["name", "descriptor"])
-    pairs = calls.select(F.col("class_name").alias("x"), F.col("owner").alias("y")).distinct()
-    both = pairs.select(F.col("x").alias("sub"), F.col("y").alias("sup")).union(pairs.select(F.col("y").alias("sub"), F.col("x").alias("sup")))
-    known = assignable(classes, both)
-    rel = pairs.join(known.select(F.col("sub").alias("x"), F.col("sup").alias("y"), F.col("status").alias("a")), ["x", "y"]).join(known.select(F.col("sub").alias("y"), F.col("sup").alias("x"), F.col("status").alias("b")), ["x", "y"])
-    rel = rel.where("a <> 'no' or b <> 'no'").select(F.col("x").alias("class_name"), F.col("y").alias("owner"))
-    found = calls.join(rel, ["class_name", "owner"], "left_semi").select("class_name", "name", "descriptor").distinct().withColumn("f", F.lit(True))
-    return breaks.join(found, ["class_name", "name", "descriptor"], "left").withColumn("invocation_found", F.coalesce("f", F.lit(False))).drop("f")
-
-
-def instantiable(providers: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """providers (iface, provider) -> fits: public, concrete, with a public constructor without parameters, and a subtype of the service."""
-    ctor = members.where("mkind = 'method' and name = '<init>' and descriptor = '()V'").where(has("access", PUBLIC)).select(F.col("class_name").alias("provider")).distinct()
-    good = classes.where(has("access", PUBLIC) & ~has("access", INTERFACE) & ~has("access", ABSTRACT)).select(F.col("class_name").alias("provider"))
-    fits = assignable(classes, providers.select(F.col("provider").alias("sub"), F.col("iface").alias("sup"))).where("status = 'yes'").select(F.col("sub").alias("provider"), F.col("sup").alias("iface"))
-    yes = providers.join(good, "provider", "left_semi").join(ctor, "provider", "left_semi").join(fits, ["iface", "provider"], "left_semi").select("iface", "provider").distinct().withColumn("fits", F.lit(True))
-    return providers.join(yes, ["iface", "provider"], "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
-
-
-def spi_breaks(old_services: DataFrame, new_services: DataFrame, old: DataFrame, new: DataFrame, old_members: DataFrame, new_members: DataFrame) -> DataFrame:
-    """(iface, provider, reason) of providers listed on both sides that could be made before and cannot now."""
-    both = old_services.select("iface", "provider").distinct().join(new_services.select("iface", "provider").distinct(), ["iface", "provider"])
-    hit = instantiable(both, old, old_members).where("fits").drop("fits")
-    hit = instantiable(hit, new, new_members).where("not fits").drop("fits")
+    was = instantiable(still_listed(old_services, new_services), old, old_members, graph, True).where("fits = 'yes'").drop("fits")
+    hit = instantiable(was, new, new_members, graph, False).where("fits = 'no'").drop("fits")
     here = new.select(F.col("class_name").alias("provider"), F.lit(True).alias("here"))
-    return hit.join(here, "provider", "left").select("iface", "provider", F.when(F.col("here"), "service provider not instantiable").otherwise("service provider removed").alias("reason"))
+    return hit.join(here, "provider", "left").select("iface", "provider", "source", F.when(F.col("here"), "service provider not instantiable").otherwise("service provider removed").alias("reason"))

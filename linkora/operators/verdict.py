@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flags import ABSTRACT, FINAL, INTERFACE, PRIVATE, PROTECTED, PUBLIC, STATIC, has, package, visibility
-from .closure import resolve_field, resolve_method, subclass
+from ..plans.scratch import settle
+from .closure import prefer, resolve_field, resolve_method, subclass
 from .scopes import nest_host
 
 REF = ["kind", "owner", "name", "descriptor", "expected_static", "field_write", "instantiated"]
@@ -19,9 +20,8 @@ def _same(a: Column, b: Column) -> Column:
 def accessible(rows: DataFrame, access: str, holder: str, scope: DataFrame, graph: DataFrame) -> DataFrame:
     """rows (source_class, ...) with can yes/no/unknown: may source_class use what `holder` declares with `access`?"""
     hosts = nest_host(rows.select(F.col("source_class").alias("class_name")).union(rows.select(F.col(holder).alias("class_name"))).where("class_name is not null"), graph, scope)
-    hierarchy = graph.select("class_name", "super_name", "interfaces").unionByName(scope.select("class_name", "super_name", "interfaces").join(graph.select("class_name"), "class_name", "left_anti"))
     protected = rows.where(has(access, PROTECTED) & ~has(access, PUBLIC)).select(F.col("source_class").alias("sub"), F.col(holder).alias("sup")).distinct()
-    known = subclass(hierarchy, protected).select(F.col("sub").alias("source_class"), F.col("sup").alias(holder), F.col("status").alias("sub_status"))
+    known = subclass(prefer(graph, scope), protected).select(F.col("sub").alias("source_class"), F.col("sup").alias(holder), F.col("status").alias("sub_status"))
     out = rows
     for column, name in (("source_class", "host_a"), (holder, "host_b")):
         out = out.join(hosts.select(F.col("class_name").alias(column), F.col("host").alias(name)), column, "left")
@@ -47,27 +47,31 @@ def resolved(refs: DataFrame, classes: DataFrame, members: DataFrame, prefix: st
 def verdicts(refs: DataFrame, old: DataFrame, new: DataFrame, old_members: DataFrame, new_members: DataFrame, graph: DataFrame) -> DataFrame:
     """refs (source, source_class, kind, owner, ...) -> the same bag of rows with verdict ok/unknown/broken and reason.
 
-    old, new: what is in scope on either side (library, fetched classes, JDK layer); graph: the classes that were scanned.
+    old, new: what is in scope on either side (library, fetched classes, JDK layer); graph: the classes that were scanned. The old side is
+    resolved only for references of which the new side alone does not decide.
     """
     flags = lambda df, s: df.select(F.col("class_name").alias("owner"), F.col("access").alias(f"{s}_class"))
     out = refs.withColumn("is_field", F.col("kind") == "field").join(flags(old, "old"), "owner", "left").join(flags(new, "new"), "owner", "left")
     out = out.join(graph.select(F.col("class_name").alias("owner"), F.lit(True).alias("in_graph")).distinct(), "owner", "left")
     key = ["owner", "name", "descriptor", "is_field"]
-    for side, classes, members in (("o", old, old_members), ("n", new, new_members)):
-        out = out.join(resolved(refs, classes, members, side), key, "left")
+    out = out.join(resolved(refs, new, new_members, "n"), key, "left")
     member = F.col("name").isNotNull()
     # Who declares what is used: the member's class, or the owner itself for a bare class reference.
     out = out.withColumn("used", F.when(member, F.col("n_access")).otherwise(F.col("new_class"))).withColumn("holder", F.when(member, F.col("n_at")).otherwise(F.col("owner")))
+    out = settle(out)
     pairs = accessible(out.where("used is not null").select("source_class", "used", "holder").distinct(), "used", "holder", new, graph)
-    out = out.join(pairs, ["source_class", "used", "holder"], "left")
+    out = settle(out.join(pairs, ["source_class", "used", "holder"], "left"))
+    fits = lambda access: F.col("expected_static").isNull() | (has(access, STATIC) == F.col("expected_static"))
+    n_found = F.col("n_status") == "found"
+    writes = F.coalesce("field_write", F.lit(False)) & has("n_access", FINAL) & (F.col("source_class") != F.col("n_at"))
+    open_ = out.where(member & ((F.col("n_status") == "not_found") | (n_found & (~fits("n_access") | (F.col("can") == "no") | writes))))
+    out = out.join(resolved(open_, old, old_members, "o"), key, "left")
 
     ok, unknown = F.lit("ok"), F.lit("unknown")
     known_old, known_new = F.col("old_class").isNotNull(), F.col("new_class").isNotNull()
     concrete = lambda c: ~has(c, ABSTRACT) & ~has(c, INTERFACE)
     kind = F.when(F.col("is_field"), "field").otherwise("method")
     o_found, o_unknown = F.col("o_status") == "found", F.col("o_status") == "unknown"
-    n_found = F.col("n_status") == "found"
-    fits = lambda access: F.col("expected_static").isNull() | (has(access, STATIC) == F.col("expected_static"))
     call_kind = ~F.col("is_field") & member & known_new
     wants_face = F.col("kind") == "interface_method"
     broken = lambda reason: F.concat(F.lit("broken:"), reason if isinstance(reason, Column) else F.lit(reason))
@@ -93,7 +97,7 @@ def verdicts(refs: DataFrame, old: DataFrame, new: DataFrame, old_members: DataF
         .when(n_found & ~fits("n_access"), v6)
         .when(n_found & (F.col("can") == "unknown"), unknown)
         .when(n_found & (F.col("can") == "no"), v7)
-        .when(n_found & F.coalesce("field_write", F.lit(False)) & has("n_access", FINAL) & (F.col("source_class") != F.col("n_at")), v8)
+        .when(n_found & writes, v8)
         .when(n_found, ok)
         .when(F.col("n_status") == "unknown", unknown)
         .otherwise(v10)

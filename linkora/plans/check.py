@@ -6,36 +6,39 @@ fetched classes, and the verdicts, which counts and violations share.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import closure, evidence, policy, scopes, structural, verdict
 from ..operators import diff as differ
-from ..sources import jars
+from ..operators import evidence, policy, scopes, structural, verdict
+from ..operators import wanted as needs
+from ..operators.closure import EDGES, prefer
+from ..sources import jars, jdk
 from .scratch import settle
 
 RULES = "rule_id int, owner string, member string, descriptor string, kind string, reason string"
-EDGES = ["class_name", "super_name", "interfaces"]
+# Owners are pushed into the parser up to so many; a larger library is joined after parsing.
+OWNERS = 200_000
 
 
 @dataclass
 class Library:
-    """Parsed class rows (the first copy of each class) and the tables read from them."""
+    """Parsed class rows (the first copy of each class), all that were read, and the service files."""
 
     rows: DataFrame
     scanned: DataFrame
+    services: DataFrame
+    errors: DataFrame
+    classes: DataFrame = field(init=False)
+    members: DataFrame = field(init=False)
 
-    @property
-    def classes(self) -> DataFrame:
-        return jars.class_api(self.rows)
-
-    @property
-    def members(self) -> DataFrame:
-        return jars.members(self.rows)
+    def __post_init__(self) -> None:
+        self.classes, self.members = jars.class_api(self.rows), jars.members(self.rows)
 
 
 @dataclass
@@ -44,16 +47,27 @@ class Report:
     verdicts: DataFrame
     suppressed: DataFrame
     unused_rules: DataFrame
-    scanned: DataFrame
+    scanned_classes: int
+    warnings: DataFrame
+    axis: bool | None
 
     def counts(self) -> dict[str, int]:
-        return {"scanned_classes": self.scanned.count(), "total": self.violations.count(), "unknown_refs": self.verdicts.where("verdict = 'unknown'").count(), "suppressed": self.suppressed.count()}
+        return {"scanned_classes": self.scanned_classes, "total": self.violations.count(), "unknown_refs": self.verdicts.where("verdict = 'unknown'").count(), "suppressed": self.suppressed.count()}
 
 
-def load(spark: SparkSession, paths: Sequence[str], release: int | None = None) -> Library:
-    scanned = settle(jars.parsed(jars.entries(spark, list(paths), release))).where("class_name is not null")
+def load(spark: SparkSession, paths: Sequence[str], release: int | None = None, owners: Sequence[str] | None = None) -> Library:
+    paths = list(paths)
+    parsed = settle(jars.parsed(jars.unique_entries(spark, paths, release), owners))
+    scanned = parsed.where("class_name is not null")
     first = scanned.groupBy("class_name").agg(F.min(F.struct("path_ord", "entry_ord")).alias("f")).select("class_name", "f.*")
-    return Library(settle(scanned.join(first, first.columns, "left_semi")), scanned)
+    services = settle(jars.services(jars.entries(spark, paths, release).where(F.col("entry_name").startswith("META-INF/services/"))))
+    return Library(settle(scanned.join(first, first.columns, "left_semi")), scanned, services, parsed.where("error is not null").select("error"))
+
+
+def load_release(spark: SparkSession, release: int) -> Library:
+    """The whole API of a JDK release."""
+    paths, selected = jdk.whole_release(release)
+    return load(spark, paths, selected)
 
 
 def diff_paths(spark: SparkSession, old: Sequence[str], new: Sequence[str]) -> DataFrame:
@@ -61,6 +75,14 @@ def diff_paths(spark: SparkSession, old: Sequence[str], new: Sequence[str]) -> D
     return differ.diff(a.classes, b.classes, a.members, b.members)
 
 
+def admitted(targets: Sequence[str], old: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(scan targets, missing): each path once, without those that are an old library, whatever way they are written."""
+    real = os.path.realpath
+    gone = {real(p) for p in old if os.path.exists(p)}
+    listed = list(dict.fromkeys(targets))
+    return [p for p in listed if os.path.exists(p) and real(p) not in gone], [p for p in listed if not os.path.exists(p)]
+
+
 def _side(*layers: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Layers (classes, members) -> those of the first layer that has the class."""
     own = settle(scopes.layered(*[c.select(*EDGES, "access", "nest_host", "permitted", "sealing_unknown") for c, _ in layers]))
@@ -68,65 +90,44 @@ def _side(*layers: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return own.drop("layer"), members.join(own.select("class_name", "layer"), ["class_name", "layer"], "left_semi").drop("layer")
 
 
-def wanted(old: Library, new: Library, graph: DataFrame, refs: DataFrame, services: DataFrame, upgraded: DataFrame) -> DataFrame:
-    """(class_name): scanned classes whose members count. The others exist, but nothing is known of them."""
-    owners = refs.where("name is not null").select(F.col("owner").alias("class_name"))
-    supers = graph.join(upgraded, "source", "left_semi").select(F.col("super_name").alias("class_name")).where("class_name is not null")
-    sides = (old.classes, old.members, new.classes, new.members)
-    changed = structural.newly_abstract(sides[0], sides[2], sides[1], sides[3]).unionByName(structural.newly_default(sides[0], sides[2], sides[1], sides[3])).unionByName(structural.newly_final_methods(sides[1], sides[3])).select("class_name").distinct()
-    both = graph.select(*EDGES).unionByName(new.classes.select(*EDGES).join(graph.select("class_name"), "class_name", "left_anti"))
-    heirs = closure.supertype_closure(both, graph.select("class_name")).join(changed, "class_name", "left_semi").select(F.col("start").alias("class_name"))
-    starts = owners.union(supers).union(heirs).union(services.select(F.col("provider").alias("class_name"))).distinct()
-    seen = []
-    for library in (new, old):
-        known = library.classes.select(*EDGES)
-        rows = known.unionByName(graph.select(*EDGES).join(known.select("class_name"), "class_name", "left_anti"))
-        seen.append(closure.supertype_closure(rows, starts).select("class_name").join(known.select("class_name"), "class_name", "left_anti"))
-    return seen[0].union(seen[1]).distinct().join(graph.select("class_name"), "class_name", "left_semi")
-
-
 def _rows(found: DataFrame, owner: str, reason, order: int, kind: str = "class", member: bool = False) -> DataFrame:
     null = lambda t, c: F.lit(None).cast(t).alias(c)
     key = [F.col("name"), F.col("descriptor")] if member else [null("string", "name"), null("string", "descriptor")]
     flags = [null("boolean", c) for c in ("expected_static", "field_write", "instantiated")]
-    return found.select(F.col("class_name").alias("source_class"), F.lit(kind).alias("kind"), F.col(owner).alias("owner"), *key, *flags, (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), F.lit(order).alias("pass_ord"))
+    source = F.col("source") if "source" in found.columns else F.lit(None).cast("string").alias("source")
+    return found.select(F.col("class_name").alias("source_class"), F.lit(kind).alias("kind"), F.col(owner).alias("owner"), *key, *flags, (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), F.lit(order).alias("pass_ord"), source.alias("own_source"))
 
 
-def check(
-    spark: SparkSession,
-    old_paths: Sequence[str],
-    new_paths: Sequence[str],
-    classpath: Sequence[str],
-    *,
-    app: Sequence[str] = (),
-    jdk: Sequence[str] = (),
-    release: int | None = None,
-    rules: Sequence[tuple] = (),
-    logs: DataFrame | None = None,
-) -> Report:
-    """What breaks on the classpath when the old libraries become the new ones.
+def scan(spark: SparkSession, targets: Sequence[str], old: Library) -> Library:
+    """The classes of the targets; references to anything but the old library's classes are dropped while parsing."""
+    few = old.classes.select("class_name").limit(OWNERS + 1).collect()
+    return load(spark, targets, owners=[r["class_name"] for r in few] if len(few) <= OWNERS else None)
 
-    app: sources that hold the roots of reachability. jdk: archives of the platform, the last layer of both sides. rules: rows of
-    RULES. logs: (file_ord, text) class-load logs.
+
+def check_libraries(spark: SparkSession, old: Library, new: Library, old_paths: Sequence[str], new_paths: Sequence[str], targets: Sequence[str], *, app: Sequence[str] = (), layer: int | None = None) -> Report:
+    """What breaks in the targets when the old library becomes the new one; no rules and no logs yet.
+
+    app: sources that hold the roots of reachability. layer: a JDK release whose API, as far as names lead there, is the last layer of both sides.
     """
-    targets = [p for p in dict.fromkeys(classpath) if p not in set(old_paths)]
-    old, new, scan = load(spark, old_paths), load(spark, new_paths), load(spark, targets)
-    graph, services = scan.classes, jars.services(jars.entries(spark, targets))
-    refs = settle(scopes.owner_refs(jars.symbol_refs(scan.rows), old.classes))
-    upgraded = spark.createDataFrame([(p,) for p in new_paths if p in targets], "source string")
-    want = settle(wanted(old, new, graph, refs, services, upgraded))
-    fetched = (graph.join(want, "class_name", "left_semi"), scan.members.join(want, "class_name", "left_semi"))
+    targets, missing = admitted(targets, old_paths)
+    read = scan(spark, targets, old)
+    graph, services = read.classes, read.services
+    refs = settle(scopes.owner_refs(jars.symbol_refs(read.rows), old.classes))
+    new_real = {os.path.realpath(p) for p in new_paths}
+    upgraded = spark.createDataFrame([(p,) for p in targets if os.path.realpath(p) in new_real], "source string")
+    want = settle(needs.wanted(refs, old.classes, new.classes, old.members, new.members, graph, old.services, new.services, upgraded))
+    own = want.where("not escape").select("class_name")
+    fetched = (graph.join(own, "class_name", "left_semi"), read.members.join(own, "class_name", "left_semi"))
     last = []
-    if jdk:
-        platform = load(spark, jdk, release)
-        last = [(platform.classes, platform.members)]
+    if layer is not None:
+        platform = settle(jars.release_closure(spark, jdk.stubs(layer), layer, want.where("escape")))
+        last = [(jars.class_api(platform), jars.members(platform))]
     (was, was_m), (now, now_m) = _side((old.classes, old.members), fetched, *last), _side((new.classes, new.members), fetched, *last)
     verdicts = settle(verdict.verdicts(refs, was, now, was_m, now_m, graph))
 
-    both = graph.select(*EDGES).unionByName(new.classes.select(*EDGES).join(graph.select("class_name"), "class_name", "left_anti"))
+    both = prefer(graph, new.classes)
     subjects = fetched[0].where("access & 1536 = 0")
     selected = settle(structural.selection_breaks(was, now, was_m, now_m, subjects))
-    old_services, new_services = jars.services(jars.entries(spark, list(old_paths))).unionByName(services), jars.services(jars.entries(spark, list(new_paths))).unionByName(services)
     parts = [
         _rows(structural.extends_newly_final(graph, old.classes, new.classes), "super_name", "class became final", 1),
         _rows(structural.overrides_newly_final(both, fetched[1], structural.newly_final_methods(old.members, new.members)), "ancestor", "method became final", 2, "method", True),
@@ -134,27 +135,59 @@ def check(
         _rows(structural.edge_kind_flip(graph, old.classes, new.classes), "up", F.col("reason"), 4),
         _rows(structural.sealed_unpermitted(graph, old.classes, new.classes), "up", "class became sealed", 5),
         _rows(selected, "owner", F.col("reason"), 6, "method", True),
-        _rows(structural.spi_breaks(old_services, new_services, was, now, was_m, now_m).withColumnRenamed("provider", "class_name"), "iface", F.col("reason"), 7),
+        _rows(structural.spi_breaks(old.services, new.services, was, now, was_m, now_m, graph).withColumnRenamed("provider", "class_name"), "iface", F.col("reason"), 7),
     ]
     home = graph.select(F.col("class_name").alias("source_class"), "source").unionByName(new.classes.join(graph.select("class_name"), "class_name", "left_anti").select(F.col("class_name").alias("source_class"), "source"))
-    edges = reduce(DataFrame.unionByName, parts).join(home, "source_class", "left")
+    edges = reduce(DataFrame.unionByName, parts).join(home, "source_class", "left").withColumn("source", F.coalesce("own_source", "source")).drop("own_source")
     broken = verdict.collapsed(verdicts.where("verdict = 'broken'").drop("verdict")).withColumn("pass_ord", F.lit(0))
     found = policy.dedup(broken.unionByName(edges), ["reason"]).drop("pass_ord")
 
-    calls = jars.invocations(scan.scanned).unionByName(jars.invocations(new.scanned)).distinct()
-    latent = structural.invocation_evidence(selected.select("class_name", "name", "descriptor").distinct(), calls, now)
+    calls = jars.invocations(read.scanned).unionByName(jars.invocations(new.scanned)).distinct()
+    latent = structural.invocation_evidence(selected.select("class_name", "name", "descriptor").distinct(), calls, prefer(new.classes, graph))
     found = found.join(latent.select(F.col("class_name").alias("source_class"), "name", "descriptor", F.col("invocation_found").alias("called")), ["source_class", "name", "descriptor"], "left")
     found = found.withColumn("invocation_found", F.when(F.col("reason").isin("method became abstract", "conflicting default methods"), F.col("called"))).drop("called")
-    axis = False
+    axis = None
     if app:
         roots = spark.createDataFrame([(p,) for p in app], "source string")
         axis = not graph.join(roots, "source", "left_semi").isEmpty()
-        found = policy.label(found, policy.reach(graph, jars.load_edges(scan.rows), services, roots), services)
+        found = policy.label(found, policy.reach(graph, jars.load_edges(read.rows), services, roots), services)
     else:
         found = found.withColumn("reachable", F.lit(None).cast("boolean"))
-    found = settle(found)
+    count = jars.names(spark, targets).count()
+    warnings = read.errors.unionByName(old.errors).unionByName(new.errors).unionByName(spark.createDataFrame([(f"not found: {p}",) for p in missing], "error string"))
+    columns = [*policy.IDENTITY, "reason", "reachable", "invocation_found"]
+    return Report(settle(found.select(*columns)), verdicts, spark.createDataFrame([], "reason string"), spark.createDataFrame([], RULES), count, warnings, axis)
+
+
+def judged(report: Report, rules: Sequence[tuple], records: DataFrame | None) -> Report:
+    """Excludes, then evidence, then tiers. records: (class_name, trigger) of what was seen loading."""
+    spark, found = report.verdicts.sparkSession, report.violations
     listed = spark.createDataFrame(list(rules), RULES)
     kept = policy.exclude(found, listed) if rules else found
-    records = evidence.load_records(logs) if logs is not None else spark.createDataFrame([], "class_name string, trigger string")
-    kept = settle(evidence.promote(kept, records).withColumn("tier", policy.tier(axis=F.lit(axis))))
-    return Report(kept.select(*policy.IDENTITY, "reason", "reachable", "invocation_found", "observed_loading", "load_trigger", "tier"), verdicts, policy.excluded(found, listed), policy.unused_rules(found, listed), scan.scanned)
+    if records is None:
+        records = spark.createDataFrame([], "class_name string, trigger string")
+    # Roots that match nothing prove nothing: then no violation is unproven.
+    kept = settle(evidence.promote(kept, records).withColumn("tier", policy.tier(axis=F.lit(bool(report.axis)))))
+    more = [c for c in found.columns if c not in (*policy.IDENTITY, "reason", "reachable", "invocation_found")]
+    return Report(kept.select(*policy.IDENTITY, "reason", "reachable", "invocation_found", "observed_loading", "load_trigger", "tier", *more), report.verdicts, policy.excluded(found, listed), policy.unused_rules(found, listed), report.scanned_classes, report.warnings, report.axis)
+
+
+def check(
+    spark: SparkSession,
+    old_paths: Sequence[str],
+    new_paths: Sequence[str],
+    classpath: Sequence[str],
+    *,
+    app: Sequence[str] = (),
+    release: int | None = None,
+    pair: tuple[int, int] | None = None,
+    rules: Sequence[tuple] = (),
+    logs: Sequence[str] = (),
+) -> Report:
+    """What breaks on the classpath when the old libraries become the new ones, or with `pair` one JDK release another.
+
+    rules: rows of RULES. logs: files and directories of class-load logs.
+    """
+    old, new = (load_release(spark, r) for r in pair) if pair else (load(spark, old_paths), load(spark, new_paths))
+    found = check_libraries(spark, old, new, old_paths, new_paths, classpath, app=app, layer=release)
+    return judged(found, rules, evidence.load_logs(spark, logs) if logs else None)

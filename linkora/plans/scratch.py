@@ -5,22 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; where none is named, a temporary one, which only a local master may use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/s-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write and read back. The table is whole when the write ends, so the shuffle files behind it are removed at once."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/s-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of `settle` that no later plan reads."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.flags import OBJECT_METHODS
-from ..operators import closure, diff, evidence, policy, scopes, structural, upgrade, verdict
+from ..functions.flags import OBJECT_METHODS, pretty_member
+from ..operators import closure, diff, evidence, policy, scopes, structural, upgrade, verdict, wanted
 from .universe import frame, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,13 +257,24 @@ def is_assignable(t):
     return closure.assignable(t("new_scope"), t("refs").select(F.col("source_class").alias("sub"), F.col("owner").alias("sup")))
 
 
-@query(oracle(["refs", "new_lib", "old_lib", "graph"], ", ow AS (SELECT DISTINCT owner AS class_name FROM refs WHERE name IS NOT NULL UNION SELECT class_name FROM graph), both_ AS (SELECT class_name, super_name, interfaces FROM new_lib UNION ALL SELECT class_name, super_name, interfaces FROM graph)" + closure_sql("both_", "ow") + " SELECT DISTINCT class_name FROM closure WHERE class_name NOT IN (SELECT class_name FROM new_lib) AND class_name IN (SELECT class_name FROM graph)"))
-def wanted_classes(t):
-    cols = ["class_name", "super_name", "interfaces"]
-    both = t("new_lib").select(*cols).unionByName(t("graph").select(*cols))
-    starts = t("refs").where("name is not null").select(F.col("owner").alias("class_name")).union(t("graph").select("class_name"))
-    seen = closure.supertype_closure(both, starts).select("class_name").distinct()
-    return seen.join(t("new_lib"), "class_name", "left_anti").join(t("graph").select("class_name"), "class_name", "left_semi")
+def prefer_sql(name: str, first: str, second: str) -> str:
+    return f", {name} AS (SELECT class_name, super_name, interfaces FROM {first} UNION ALL SELECT class_name, super_name, interfaces FROM {second} ANTI JOIN {first} USING (class_name))"
+
+
+_OWNERS = ", ow AS (SELECT DISTINCT owner AS class_name FROM refs WHERE name IS NOT NULL AND owner <> 'java/lang/Object')"
+_MET = (
+    _OWNERS
+    + prefer_sql("en", "new_lib", "graph")
+    + prefer_sql("eo", "old_lib", "graph")
+    + closure_sql("en", "ow", "wn")
+    + closure_sql("eo", "ow", "wo")
+    + ", met AS (SELECT class_name FROM wnclosure ANTI JOIN new_lib USING (class_name) UNION SELECT class_name FROM woclosure ANTI JOIN old_lib USING (class_name) UNION SELECT owner FROM refs WHERE name IS NULL AND owner NOT IN (SELECT class_name FROM new_lib) AND owner NOT IN (SELECT class_name FROM graph))"
+)
+
+
+@query(oracle(["refs", "new_lib", "old_lib", "graph"], _MET + " SELECT class_name, class_name NOT IN (SELECT class_name FROM graph) AS escape FROM met"))
+def reference_wanted(t):
+    return wanted.reference_wanted(t("refs"), t("old_lib"), t("new_lib"), t("graph"))
 
 
 # --- structural ---
@@ -293,9 +304,9 @@ def overrides_newly_final(t):
     return structural.overrides_newly_final(_g2(t), t("new_all_m"), structural.newly_final_methods(t("old_m"), t("new_m")))
 
 
-@query(oracle(["graph", "roots", "new_scope", "old_scope"], " SELECT g.class_name, g.super_name FROM graph g SEMI JOIN roots USING (source) JOIN new_scope s ON s.class_name = g.super_name AND s.access & 16 <> 0 WHERE NOT EXISTS (SELECT 1 FROM old_scope o WHERE o.class_name = g.class_name AND o.super_name = g.super_name AND length(o.class_name) > 7)"))
+@query(oracle(["graph", "roots", "new_scope", "old_lib"], " SELECT g.class_name, g.super_name FROM graph g SEMI JOIN roots USING (source) JOIN new_scope s ON s.class_name = g.super_name AND s.access & 16 <> 0 WHERE NOT EXISTS (SELECT 1 FROM old_lib o WHERE o.class_name = g.class_name AND o.super_name = g.super_name)"))
 def version_lag(t):
-    return structural.version_lag(t("graph"), t("roots"), t("new_scope"), t("old_scope").where("length(class_name) > 7"))
+    return structural.version_lag(t("graph"), t("roots"), t("new_scope"), t("old_lib"))
 
 
 @query(oracle(["graph", "old_lib", "new_lib"], f", flips AS (SELECT class_name AS up, n.access & 512 <> 0 AS face FROM {_BOTH} WHERE o.access & 512 <> n.access & 512) SELECT g.class_name, up, CASE WHEN face THEN 'class became interface' ELSE 'interface became class' END AS reason FROM (SELECT class_name, super_name AS up, TRUE AS needs FROM graph UNION ALL SELECT DISTINCT class_name, unnest(interfaces), FALSE FROM graph) g JOIN flips USING (up) WHERE needs = face"))
@@ -323,6 +334,29 @@ def newly_default(t):
     return structural.newly_default(*[t(n) for n in _LIB])
 
 
+_CHANGED = ", changed AS (SELECT class_name FROM na UNION SELECT class_name FROM nd)"
+
+
+@query(oracle(["graph", *_LIB], _ABS + _DEF + _CHANGED + prefer_sql("en", "new_lib", "graph") + closure_sql("en", "graph", "h") + ", heir AS (SELECT DISTINCT start FROM hclosure SEMI JOIN changed USING (class_name)) SELECT DISTINCT class_name FROM hclosure SEMI JOIN heir USING (start) WHERE class_name IN (SELECT class_name FROM graph)"))
+def wanted_heirs(t):
+    return wanted.selection_heirs(*[t(n) for n in _LIB], t("graph"))
+
+
+@query(oracle(["graph", "new_lib", "old_m", "new_m"], _FINALS + prefer_sql("g3", "graph", "new_lib") + chain_sql("g3", "graph", "f") + " SELECT DISTINCT start AS class_name FROM fchain WHERE depth > 0 AND class_name IN (SELECT class_name FROM finals)"))
+def wanted_final_heirs(t):
+    return wanted.final_heirs(t("old_m"), t("new_m"), t("new_lib"), t("graph"))
+
+
+@query(oracle(["services", "old_lib", "new_lib", "graph"], " SELECT DISTINCT provider AS class_name FROM services WHERE provider IN (SELECT class_name FROM graph) AND NOT (provider IN (SELECT class_name FROM old_lib) AND provider IN (SELECT class_name FROM new_lib))"))
+def wanted_providers(t):
+    return wanted.spi_wanted(t("services"), t("services"), t("old_lib"), t("new_lib"), t("graph"))
+
+
+@query(oracle(["graph", "roots", "new_lib"], " SELECT DISTINCT super_name AS class_name, super_name NOT IN (SELECT class_name FROM graph) AS escape FROM graph SEMI JOIN roots USING (source) WHERE super_name IS NOT NULL AND super_name <> 'java/lang/Object' AND super_name NOT IN (SELECT class_name FROM new_lib)"))
+def wanted_supers(t):
+    return wanted.upgraded_supers(t("graph"), t("roots"), t("new_lib"))
+
+
 def status_sql(c: str, m: str, keys: str, p: str) -> str:
     """-> {p}status(start, name, descriptor, status)"""
     return f""", {p}ks AS (SELECT DISTINCT start AS class_name FROM {keys}){chain_sql(c, p + "ks", p)}{closure_sql(c, p + "ks", p)},
@@ -359,19 +393,43 @@ def selection_breaks(t):
 _CALLS = ", calls AS (SELECT DISTINCT owner, name, descriptor FROM refs WHERE kind IN ('method', 'interface_method')), br AS (SELECT DISTINCT class_name, name, descriptor FROM na)"
 
 
-@query(oracle(["refs", "new_scope", *_LIB], _ABS + _CALLS + ", xs AS (SELECT class_name FROM br UNION SELECT owner FROM calls)" + closure_sql("new_scope", "xs") + ", esc AS (SELECT start, bool_or(s.class_name IS NULL) AS out FROM closure c LEFT JOIN new_scope s USING (class_name) GROUP BY start) SELECT b.class_name, b.name, b.descriptor, coalesce(bool_or(x.out OR y.out OR EXISTS (SELECT 1 FROM closure z WHERE z.start = b.class_name AND z.class_name = c.owner) OR EXISTS (SELECT 1 FROM closure z WHERE z.start = c.owner AND z.class_name = b.class_name)), FALSE) AS invocation_found FROM br b LEFT JOIN calls c ON c.name = b.name AND c.descriptor = b.descriptor LEFT JOIN esc x ON x.start = b.class_name LEFT JOIN esc y ON y.start = c.owner GROUP BY ALL"))
+_ESC = ", esc AS (SELECT start, coalesce(bool_or(s.class_name IS NULL AND NOT starts_with(c.class_name, 'java/')), FALSE) AS other, coalesce(bool_or(s.class_name IS NULL AND starts_with(c.class_name, 'java/')), FALSE) AS platform FROM closure c LEFT JOIN new_scope s USING (class_name) GROUP BY start)"
+_RELATED = """, pair AS (SELECT DISTINCT b.class_name, c.owner FROM br b JOIN calls c ON c.name = b.name AND c.descriptor = b.descriptor),
+related AS (SELECT p.class_name, p.owner FROM pair p JOIN esc x ON x.start = p.class_name JOIN esc y ON y.start = p.owner
+  WHERE x.other OR (x.platform AND starts_with(p.owner, 'java/')) OR y.other OR (y.platform AND starts_with(p.class_name, 'java/'))
+  OR EXISTS (SELECT 1 FROM closure z WHERE z.start = p.class_name AND z.class_name = p.owner) OR EXISTS (SELECT 1 FROM closure z WHERE z.start = p.owner AND z.class_name = p.class_name))"""
+
+
+@query(oracle(["refs", "new_scope", *_LIB], _ABS + _CALLS + ", xs AS (SELECT class_name FROM br UNION SELECT owner FROM calls)" + closure_sql("new_scope", "xs") + _ESC + _RELATED + " SELECT b.class_name, b.name, b.descriptor, EXISTS (SELECT 1 FROM calls c JOIN related r ON r.owner = c.owner WHERE c.name = b.name AND c.descriptor = b.descriptor AND r.class_name = b.class_name) AS invocation_found FROM br b"))
 def invocation_evidence(t):
     calls = t("refs").where("kind in ('method', 'interface_method')").select("owner", "name", "descriptor")
     return structural.invocation_evidence(structural.newly_abstract(*[t(n) for n in _LIB]).distinct(), calls, t("new_scope"))
 
 
-def _fits(side: str, p: str) -> str:
-    return closure_sql(f"{side}_scope", "prov", p) + f", {p}fit AS (SELECT DISTINCT iface, provider FROM services JOIN {side}_scope s ON s.class_name = provider AND s.access & 1 <> 0 AND s.access & 1536 = 0 JOIN {side}_all_m m ON m.class_name = provider AND m.name = '<init>' AND m.descriptor = '()V' AND m.access & 1 <> 0 JOIN {p}closure c ON c.start = provider AND c.class_name = iface)"
+def fits_sql(scope: str, members: str, first: str, second: str, p: str) -> str:
+    """-> {p}fits(iface, provider, fits yes/no/unknown)"""
+    return (
+        prefer_sql(f"{p}e", first, second)
+        + closure_sql(f"{p}e", "prov", p)
+        + f""", {p}sub AS (SELECT iface, provider, CASE WHEN iface = 'java/lang/Object' OR bool_or(c.class_name = iface) THEN 'yes' WHEN bool_or(e.class_name IS NULL) THEN 'unknown' ELSE 'no' END AS st FROM cand JOIN {p}closure c ON c.start = provider LEFT JOIN {p}e e ON e.class_name = c.class_name GROUP BY iface, provider),
+{p}fits AS (SELECT iface, provider, CASE WHEN s.class_name IS NULL THEN CASE WHEN g.class_name IS NOT NULL THEN 'unknown' ELSE 'no' END WHEN s.access & 1 = 0 OR s.access & 1536 <> 0 THEN 'no' WHEN m.class_name IS NULL THEN 'no' ELSE st END AS fits
+  FROM cand LEFT JOIN {scope} s ON s.class_name = provider LEFT JOIN graph g ON g.class_name = provider LEFT JOIN (SELECT DISTINCT class_name FROM {members} WHERE mkind = 'method' AND name = '<init>' AND descriptor = '()V' AND access & 1 <> 0) m ON m.class_name = provider LEFT JOIN {p}sub USING (iface, provider))"""
+    )
+
 
+_CAND = ", cand AS (SELECT iface, provider, arg_min(source, ord) AS source FROM services GROUP BY ALL), prov AS (SELECT DISTINCT provider AS class_name FROM cand)"
 
-@query(oracle(["services", "old_scope", "new_scope", "old_all_m", "new_all_m"], ", prov AS (SELECT DISTINCT provider AS class_name FROM services)" + _fits("old", "o") + _fits("new", "n") + " SELECT iface, provider, CASE WHEN s.class_name IS NULL THEN 'service provider removed' ELSE 'service provider not instantiable' END AS reason FROM ofit ANTI JOIN nfit USING (iface, provider) LEFT JOIN new_scope s ON s.class_name = provider"))
+
+@query(oracle(["services", "old_lib", "new_lib", "graph", "old_m", "new_m"], _CAND + fits_sql("old_lib", "old_m", "old_lib", "graph", "o") + fits_sql("new_lib", "new_m", "graph", "new_lib", "n") + " SELECT o.iface, o.provider, o.fits AS old_fits, n.fits AS new_fits FROM ofits o JOIN nfits n USING (iface, provider)"))
+def provider_status(t):
+    listed = structural.still_listed(t("services"), t("services")).select("iface", "provider")
+    old = structural.instantiable(listed, t("old_lib"), t("old_m"), t("graph"), True).withColumnRenamed("fits", "old_fits")
+    return structural.instantiable(old, t("new_lib"), t("new_m"), t("graph"), False).withColumnRenamed("fits", "new_fits")
+
+
+@query(oracle(["services", "old_scope", "new_scope", "old_all_m", "new_all_m", "graph"], _CAND + fits_sql("old_scope", "old_all_m", "old_scope", "graph", "o") + fits_sql("new_scope", "new_all_m", "graph", "new_scope", "n") + " SELECT iface, provider, cand.source, CASE WHEN s.class_name IS NULL THEN 'service provider removed' ELSE 'service provider not instantiable' END AS reason FROM cand JOIN ofits o USING (iface, provider) JOIN nfits n USING (iface, provider) LEFT JOIN new_scope s ON s.class_name = provider WHERE o.fits = 'yes' AND n.fits = 'no'"))
 def spi_breaks(t):
-    return structural.spi_breaks(t("services"), t("services"), t("old_scope"), t("new_scope"), t("old_all_m"), t("new_all_m"))
+    return structural.spi_breaks(t("services"), t("services"), t("old_scope"), t("new_scope"), t("old_all_m"), t("new_all_m"), t("graph"))
 
 
 # --- verdicts ---
@@ -478,13 +536,13 @@ def reachable_classes(t):
     return _reach(t)
 
 
-_LABELS = ", spi AS (SELECT iface AS owner, provider AS source_class, 'service provider removed' AS reason FROM services UNION ALL SELECT 'java/spi/none', 'app/A' || n_nationkey * 50, 'service provider removed' FROM nation UNION ALL SELECT 'x/Y', class_name, 'method removed' FROM graph), lab AS (SELECT owner, source_class, reason, CASE WHEN r.class_name IS NOT NULL THEN TRUE WHEN reason LIKE 'service provider%' AND s.iface IS NULL THEN NULL ELSE FALSE END AS reachable FROM spi LEFT JOIN (SELECT DISTINCT class_name FROM reach) r ON r.class_name = source_class LEFT JOIN services s ON s.iface = owner AND s.provider = source_class)"
+_LABELS = ", spi AS (SELECT iface AS owner, provider AS source_class, 'service provider removed' AS reason FROM services UNION ALL SELECT 'java/spi/none', 'app/A' || n_nationkey * 50, 'service provider removed' FROM nation UNION ALL SELECT 'x/Y' || substr(class_name, 1, length(class_name) - 1), class_name, 'method removed' FROM graph), lab AS (SELECT owner, source_class, reason, CASE WHEN r.class_name IS NOT NULL THEN TRUE WHEN reason LIKE 'service provider%' AND s.iface IS NULL THEN NULL ELSE FALSE END AS reachable FROM spi LEFT JOIN (SELECT DISTINCT class_name FROM reach) r ON r.class_name = source_class LEFT JOIN (SELECT DISTINCT iface, provider FROM services) s ON s.iface = owner AND s.provider = source_class)"
 
 
 def _labels(t):
     reason = F.lit("service provider removed").alias("reason")
     n = t("services").sparkSession.table("nation").select(F.lit("java/spi/none").alias("owner"), F.concat(F.lit("app/A"), (F.col("n_nationkey") * 50).cast("string")).alias("source_class"), reason)
-    rows = t("services").select(F.col("iface").alias("owner"), F.col("provider").alias("source_class"), reason).union(n).union(t("graph").select(F.lit("x/Y").alias("owner"), F.col("class_name").alias("source_class"), F.lit("method removed").alias("reason")))
+    rows = t("services").select(F.col("iface").alias("owner"), F.col("provider").alias("source_class"), reason).union(n).union(t("graph").select(F.expr("'x/Y' || substr(class_name, 1, length(class_name) - 1)").alias("owner"), F.col("class_name").alias("source_class"), F.lit("method removed").alias("reason")))
     return policy.label(rows, _reach(t), t("services")).select("owner", "source_class", "reason", "reachable")
 
 
@@ -512,7 +570,7 @@ def gate_counts(t):
     return policy.gate(_tiered(t))
 
 
-@query(oracle(_R, _REACH + _LABELS + _TIERS + ", sym AS (SELECT owner, reason AS name, 'd' AS descriptor, bool_and(tier = 'unproven') AS ok, list_sort(list(DISTINCT source_class))[1:3] AS users FROM tiered GROUP BY ALL) SELECT owner, name, descriptor, array_to_string(users, ',') AS users FROM sym WHERE ok"))
+@query(oracle(_R, _REACH + _LABELS + _TIERS + ", sym AS (SELECT owner, reason AS name, 'd' AS descriptor, bool_and(tier = 'unproven') AS ok, list_sort(list(DISTINCT source_class)) AS users FROM tiered GROUP BY ALL) SELECT owner, name, descriptor, array_to_string(users[1:3], ',') AS users, CAST(greatest(len(users) - 3, 0) AS INTEGER) AS more FROM sym WHERE ok"))
 def draft_rules(t):
     return evidence.draft_rules(_tiered(t).withColumn("name", F.col("reason")).withColumn("descriptor", F.lit("d"))).withColumn("users", F.array_join("users", ","))
 
@@ -523,6 +581,47 @@ def evidence_promotion(t):
     return evidence.promote(t("refs").select("source_class", "owner").distinct(), rec)
 
 
+@query(oracle(_R, _REACH + _LABELS + _TIERS + " SELECT tier, count(*) AS n, count(*) FILTER (length(source_class) % 3 = 0) AS observed FROM tiered GROUP BY tier"))
+def tier_counts(t):
+    return policy.tier_counts(_tiered(t))
+
+
+@query(oracle(["graph", "old_lib", "new_lib"], f", f AS (SELECT class_name AS super_name FROM {_BOTH} WHERE o.access & 16 = 0 AND n.access & 16 <> 0), k AS (SELECT class_name AS super_name, n.access & 512 <> 0 AS face FROM {_BOTH} WHERE o.access & 512 <> n.access & 512), e AS (SELECT class_name, source, 'class became final' AS reason FROM graph JOIN f USING (super_name) UNION ALL SELECT class_name, source, 'class became interface' FROM graph JOIN k USING (super_name) WHERE face) SELECT class_name AS source_class, source, count(*) AS records, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM e GROUP BY ALL"))
+def structural_groups(t):
+    source = t("graph").select("class_name", "source")
+    final = structural.extends_newly_final(t("graph"), t("old_lib"), t("new_lib")).select("class_name", F.lit("class became final").alias("reason"))
+    flip = structural.edge_kind_flip(t("graph"), t("old_lib"), t("new_lib")).where("reason = 'class became interface'").select("class_name", "reason")
+    rows = final.unionByName(flip).join(source, "class_name").withColumnRenamed("class_name", "source_class")
+    return policy.structural_groups(rows).withColumn("reasons", F.array_join("reasons", ","))
+
+
+# Descriptors of every shape, from the rows of part; the other engine spells the same types out.
+_TYPES = [("I", "int"), ("[J", "long[]"), ("Ljava/util/List;", "List"), ("[[Lq/Deep$In;", "Deep$In[][]"), ("Z", "boolean")]
+
+
+def _pick(i: str, which: int) -> str:
+    return f"CASE ({i}) % 5 " + " ".join(f"WHEN {n} THEN '{t[which]}'" for n, t in enumerate(_TYPES)) + " END"
+
+
+def _symbols(which: str) -> str:
+    raw = "'(' || {a} || {b} || ')V'" if which == "raw" else "'(' || {a} || ', ' || {b} || ')'"
+    k = 0 if which == "raw" else 1
+    return raw.replace("{a}", _pick("p_partkey", k)).replace("{b}", _pick("p_partkey + p_size", k))
+
+
+@query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'p.C' || p_partkey || ' constructor ' || " + _symbols("shown") + " WHEN 1 THEN 'p.C' || p_partkey || '.m' || " + _symbols("shown") + " WHEN 2 THEN 'p.C' || p_partkey || '.f: ' || " + _pick("p_partkey", 1) + " ELSE 'p.C' || p_partkey || '.f broken' END AS shown FROM part")
+def pretty_names(t):
+    spark = t("roots").sparkSession
+    rows = spark.sql("SELECT p_partkey AS id, 'p/C' || p_partkey AS owner, CASE p_size % 4 WHEN 0 THEN '<init>' WHEN 1 THEN 'm' ELSE 'f' END AS name, CASE WHEN p_size % 4 < 2 THEN " + _symbols("raw") + " WHEN p_size % 4 = 2 THEN " + _pick("p_partkey", 0) + " ELSE 'broken' END AS descriptor FROM part")
+    return rows.select("id", pretty_member().alias("shown"))
+
+
+@query("SELECT 'p.C' || p_size || '.m(List)' AS shown, 'r' AS reason, count(DISTINCT p_brand) AS symbols FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) > 1")
+def name_collisions(t):
+    rows = t("roots").sparkSession.sql("SELECT 'p/C' || p_size AS owner, 'm' AS name, '(L' || translate(p_brand, '#', '_') || '/List;)V' AS descriptor, 'r' AS reason FROM part")
+    return policy.name_collisions(rows)
+
+
 @query(oracle(["refs"], ", runs AS (SELECT source, source_class, kind, owner, name, descriptor, expected_static, field_write, instantiated, 'r' AS reason, CASE length(owner) % 3 WHEN 0 THEN TRUE WHEN 1 THEN NULL ELSE FALSE END AS reachable, length(source) % 2 = 0 AS invocation_found, source AS module FROM refs) SELECT source, source_class, kind, owner, name, descriptor, expected_static, field_write, instantiated, reason, bool_or(invocation_found) AS invocation_found, array_to_string(list_sort(list(DISTINCT module)), ',') AS modules, CASE max(CASE WHEN reachable THEN 2 WHEN reachable IS NULL THEN 1 ELSE 0 END) WHEN 2 THEN TRUE WHEN 0 THEN FALSE END AS reachable FROM runs GROUP BY source, source_class, kind, owner, name, descriptor, expected_static, field_write, instantiated, reason"))
 def run_merge(t):
     n = F.length("owner") % 3
@@ -530,13 +629,17 @@ def run_merge(t):
     return policy.merge_runs(runs).withColumn("modules", F.array_join("modules", ","))
 
 
+@query(oracle(["refs"], ", m AS (SELECT DISTINCT source, source_class, kind, owner, name, descriptor, expected_static, field_write, instantiated FROM refs) SELECT CAST(CAST(substr(source, 4) AS INTEGER) % 5 AS INTEGER) AS run_id, count(*) AS broken FROM m GROUP BY 1 UNION ALL SELECT 99, 0"))
+def run_counts(t):
+    rows = t("refs").withColumn("reason", F.lit("r")).withColumn("reachable", F.lit(True)).withColumn("invocation_found", F.lit(True)).withColumn("module", F.col("source"))
+    runs = [(r, [f"jar{r + 5 * k}" for k in range(4)]) for r in range(5)] + [(99, ["jar99"])]
+    return policy.run_counts(policy.merge_runs(rows), rows.sparkSession.createDataFrame(runs, "run_id int, modules array<string>"))
+
+
 @query(oracle(_V, _BROKEN + " SELECT *, CAST(row_number() OVER (ORDER BY source, source_class, owner, name NULLS FIRST, descriptor NULLS FIRST, reason, kind, expected_static NULLS FIRST, field_write NULLS FIRST, instantiated NULLS FIRST) AS BIGINT) AS rank FROM dd"))
 def canonical_order(t):
-    from pyspark.sql import Window
-
-    # The rank is global because a report is one list; violations are few. A sort alone would be distributed.
     more = [F.asc("kind"), F.asc_nulls_first("expected_static"), F.asc_nulls_first("field_write"), F.asc_nulls_first("instantiated")]
-    return _violations(t).withColumn("rank", F.row_number().over(Window.orderBy(*policy.canonical_order(None), *more)).cast("long"))
+    return policy.ranked(_violations(t), [*policy.canonical_order(None), *more])
 
 
 # --- upgrade planning ---
@@ -561,9 +664,66 @@ def changed_jars(t):
     return upgrade.jars(upgrade.dependency_diff(before, after), before, after)
 
 
-@query(oracle(_A, ', mb AS (SELECT module, list_sort(list(DISTINCT "group" || \':\' || name || \':\' || version)) AS b FROM artifacts_before GROUP BY module), ma AS (SELECT module, list_sort(list(DISTINCT "group" || \':\' || name || \':\' || version)) AS a FROM artifacts_after GROUP BY module) SELECT module, CASE WHEN b IS NULL THEN \'new\' WHEN a IS NULL THEN \'incomplete\' WHEN a = b THEN \'unchanged\' ELSE \'run\' END AS status FROM mb FULL JOIN ma USING (module)'))
+_MODULES = """, own AS (SELECT DISTINCT "group", name FROM (SELECT * FROM artifacts_before UNION ALL SELECT * FROM artifacts_after) WHERE project IS NOT NULL),
+b0 AS (SELECT * FROM artifacts_before ANTI JOIN own USING ("group", name)), a0 AS (SELECT * FROM artifacts_after ANTI JOIN own USING ("group", name)),
+was AS (SELECT module, "group", name, version, min(file) AS file FROM b0 WHERE module IN (SELECT module FROM artifacts_after) GROUP BY ALL
+  UNION ALL SELECT m.module, m."group", m.name, x.version, x.file FROM (SELECT DISTINCT module, "group", name FROM a0 WHERE module NOT IN (SELECT module FROM artifacts_before)) m JOIN (SELECT "group", name, version, min(file) AS file FROM b0 GROUP BY ALL) x USING ("group", name)),
+now AS (SELECT module, "group", name, version, min(file) AS file FROM a0 GROUP BY ALL),
+moves AS (SELECT module, 'old' AS side, "group", name, version, file FROM was ANTI JOIN now USING (module, "group", name, version)
+  UNION ALL SELECT module, 'new', "group", name, version, file FROM now SEMI JOIN was USING (module, "group", name) ANTI JOIN was USING (module, "group", name, version))"""
+
+
+@query(oracle(_A, _MODULES + " SELECT * FROM moves"))
+def module_moves(t):
+    return upgrade.module_moves(t("artifacts_before"), t("artifacts_after"))
+
+
+@query(oracle(_A, _MODULES + """, mods AS (SELECT DISTINCT module FROM artifacts_after UNION SELECT DISTINCT module FROM artifacts_before), st AS (SELECT module, CASE WHEN module IN (SELECT module FROM artifacts_before) AND module NOT IN (SELECT module FROM artifacts_after) THEN 'incomplete' WHEN module IN (SELECT module FROM moves WHERE side = 'old') THEN 'run' WHEN module NOT IN (SELECT module FROM artifacts_before) THEN 'new' ELSE 'unchanged' END AS status FROM mods),
+f AS (SELECT module, list(file ORDER BY "group", name, version, file) FILTER (side = 'old') AS o, list(file ORDER BY "group", name, version, file) FILTER (side = 'new') AS n FROM moves GROUP BY module)
+SELECT module, status, CASE WHEN status = 'run' THEN coalesce(array_to_string(o, ','), '') ELSE '' END AS old, CASE WHEN status = 'run' THEN coalesce(array_to_string(n, ','), '') ELSE '' END AS new FROM st LEFT JOIN f USING (module)"""))
 def module_plan(t):
-    return upgrade.module_plan(t("artifacts_before"), t("artifacts_after")).drop("inputs")
+    before, after = t("artifacts_before"), t("artifacts_after")
+    out = upgrade.module_plan(after.select("module").union(before.select("module")), before, after)
+    return out.select("module", "status", F.array_join("old", ",").alias("old"), F.array_join("new", ",").alias("new"))
+
+
+_ADVICE = _OWN + """, o AS (SELECT *, CAST(row_number() OVER (ORDER BY "group", name) - 1 AS INTEGER) AS change_ord FROM ch WHERE kind IS NOT NULL),
+files AS (SELECT file, "group" AS fg, "group" || ':' || name AS fc, "group" || ':' || name || ':' || version AS used FROM (SELECT *, 0 AS z FROM artifacts_before UNION ALL SELECT *, 1 FROM artifacts_after) QUALIFY row_number() OVER (PARTITION BY file ORDER BY z, "group", name, version) = 1),
+v AS (SELECT 'c' || a.change_ord AS owner, a.change_ord, f.file AS source, CASE WHEN a.change_ord % 3 = 0 THEN 'service provider removed' ELSE 'method removed' END AS reason FROM (SELECT change_ord FROM o UNION ALL SELECT 1000000) a JOIN files f ON length(f.file) % 2 = a.change_ord % 2),
+w AS (SELECT v.owner, v.source, v.reason, o."group" AS g, o."group" || ':' || o.name AS c, fg, fc, used, coalesce(b, []) AS b, coalesce(a, []) AS a, list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x)) AS bx, list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x)) AS ax, contains(v.source, '1') AS opt FROM v LEFT JOIN o ON o.change_ord = v.change_ord JOIN files ON file = v.source),
+z AS (SELECT *, c IS NOT NULL AND NOT (starts_with(reason, 'service provider') AND fc = c) AS known, 'use a release of ' || used || ' that is built for ' || c || ' ' || array_to_string(CASE WHEN len(ax) > 0 THEN ax ELSE a END, ',') || ', or keep ' || c || ' at ' || CASE WHEN len(b) = 0 THEN '-' ELSE array_to_string(CASE WHEN len(bx) > 0 THEN bx ELSE b END, ',') END AS either FROM w)
+SELECT owner, source, reason, CASE WHEN known THEN used END AS referenced_by, CASE WHEN known THEN c END AS removed_by, CASE WHEN known THEN CASE WHEN len(b) = 0 THEN '-' ELSE array_to_string(b, ',') END END AS "before", CASE WHEN known THEN CASE WHEN len(a) = 0 THEN '-' ELSE array_to_string(a, ',') END END AS "after",
+CASE WHEN known THEN CASE WHEN len(a) = 0 AND opt THEN c || ' is gone; ' || used || ' declares it optional, so only its optional feature is affected: add ' || c || ' back to use that feature'
+  WHEN len(a) = 0 THEN c || ' is gone but ' || used || ' needs it: use a release of ' || used || ' without it, or add ' || c || ' back'
+  WHEN fg = g THEN 'give all artifacts of ' || g || ' the same version; or ' || either ELSE either END END AS advice FROM z"""
+
+
+def _advised(t):
+    before, after = t("artifacts_before"), t("artifacts_after")
+    from pyspark.sql import Window
+
+    changes = upgrade.dependency_diff(before, after).withColumn("change_ord", F.row_number().over(Window.orderBy("group", "name")) - 1)
+    files = upgrade.coordinates(before, after)
+    ords = changes.select("change_ord").unionByName(changes.sparkSession.createDataFrame([(1_000_000,)], "change_ord int"))
+    rows = ords.join(files.select(F.col("file").alias("source")), F.length("source") % 2 == F.col("change_ord") % 2)
+    rows = rows.select(F.concat(F.lit("c"), F.col("change_ord").cast("string")).alias("owner"), "source", F.when(F.col("change_ord") % 3 == 0, "service provider removed").otherwise("method removed").alias("reason"))
+    owners = changes.select(F.concat(F.lit("c"), F.col("change_ord").cast("string")).alias("class_name"), "change_ord")
+    optional = changes.where("size(after) = 0").select("group", "name").join(files.where("contains(file, '1')").select(F.col("file").alias("source")), F.lit(True))
+    return upgrade.suggestions(rows, owners, changes, files, optional)
+
+
+@query(oracle(_A, _ADVICE))
+def suggestions(t):
+    return _advised(t)
+
+
+_ADV = _ADVICE.replace("\nSELECT owner, source", ", adv AS (SELECT owner, source") + ")"
+
+
+@query(oracle(_A, _ADV + " SELECT referenced_by, removed_by, \"before\", \"after\", advice, count(*) AS records, array_to_string(list_sort(list(DISTINCT owner)), ',') AS symbols, count(DISTINCT source) AS classes FROM adv WHERE advice IS NOT NULL GROUP BY ALL"))
+def fix_groups(t):
+    rows = _advised(t).withColumn("name", F.lit(None).cast("string")).withColumn("descriptor", F.lit(None).cast("string")).withColumn("source_class", F.col("source"))
+    return policy.fix_groups(rows).withColumn("symbols", F.array_join("symbols", ","))
 
 
 @query(oracle(["graph"], ", cl AS (SELECT class_name, 'f' || (length(class_name) + length(super_name)) % 7 AS file FROM graph), c(change_ord, file) AS (VALUES (0, 'f3'), (1, 'f5'), (2, 'f3'), (3, 'f0')) SELECT class_name, min(change_ord) AS change_ord FROM cl JOIN c USING (file) GROUP BY class_name"))
@@ -577,13 +737,30 @@ def file_coordinates(t):
     return upgrade.coordinates(t("artifacts_before"), t("artifacts_after"))
 
 
-# --- text operators, which SQL can't express ---
+# --- class-load logs ---
+
+_LOG_SQL = """WITH l AS (SELECT event_id, event_id % 6 AS k, CAST(user_id AS VARCHAR) AS u, event_type AS e FROM events),
+r AS (SELECT 'app/A' || u || '/T' || e AS class_name, CAST(NULL AS VARCHAR) AS trigger, FALSE AS stacked FROM l WHERE k = 0
+  UNION ALL SELECT 'app/B' || u, CASE WHEN event_id % 4 < 2 THEN 'java.lang.Class.forName from ' ELSE '' END || 'app.M.' || e || '(M.java:7)', TRUE FROM l WHERE k = 1
+  UNION ALL SELECT 'app/D' || u, NULL, FALSE FROM l WHERE k = 3
+  UNION ALL SELECT 'N' || u, NULL, FALSE FROM l WHERE k = 4
+  UNION ALL SELECT 'app/H' || u, NULL, FALSE FROM l WHERE k = 5),
+f AS (SELECT 'app/B' || u AS class_name, arg_min(CASE WHEN event_id % 4 < 2 THEN 'java.lang.Class.forName from ' ELSE '' END || 'app.M.' || e || '(M.java:7)', struct_pack(f := event_id % 16, i := event_id)) AS trigger FROM l WHERE k = 1 GROUP BY 1)
+SELECT r.class_name, bool_or(stacked) AS stacked, max(f.trigger) AS trigger FROM r LEFT JOIN f USING (class_name) GROUP BY r.class_name"""
 
 
-@query()
+@query(_LOG_SQL)
 def log_parse(t):
-    """Class-load lines written from events, then parsed back."""
+    """Logs of sixteen files written from events, with lines of every form, then parsed back."""
     spark = t("roots").sparkSession
-    line = F.concat(F.lit("[1.0s][info][class,load] app.A"), F.col("user_id").cast("string"), F.lit(".T"), F.col("event_type"), F.lit(" source: x"))
-    files = spark.table("events").groupBy((F.col("event_id") % 16).alias("file_ord")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    lines = spark.sql(r"""
+    SELECT event_id, event_id % 16 AS file_ord, CASE event_id % 6
+      WHEN 0 THEN concat('[1.0s][info][class,load] app.A', user_id, '.T', event_type, ': source: x')
+      WHEN 1 THEN concat('[2s][class,load,cause] Java stack when loading app.B', user_id, ':\n\tat java.lang.ClassLoader.loadClass(C.java:1)\n\t- locked <0x1> (a x.Y)\n[3s][gc,heap] app.Z', user_id, '.Y\n\tat my.Own.findClass(O.java:2)\n',
+        if(event_id % 4 < 2, '\tat java.lang.Class.forName(Class.java:3)\n\tat java.lang.reflect.Method.invoke(M.java:4)\n', ''), '\tat app.M.', event_type, '(M.java:7)\n\tat app.Main.main(M.java:9)')
+      WHEN 2 THEN concat('[1s][gc,heap] app.C', user_id, '.X')
+      WHEN 3 THEN concat('app/D', user_id, ', and more words')
+      WHEN 4 THEN concat('[1s][class,load,cause,native] Native stack when loading N', user_id, ':\n[1s][class,load,cause,native] V  [lib.so+0x1]')
+      ELSE concat('Java stack when loading app.H', user_id, '\nno.1name 7.5 word') END AS line FROM events""")
+    files = lines.groupBy("file_ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return evidence.load_records(files)

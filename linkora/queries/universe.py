@@ -34,7 +34,7 @@ _OLD_M = _flags((f"{_K} % 4 = 1", 1), (f"{_K} % 4 = 0 AND {_K} % 3 <> 0", 4), (f
 _NEW_M = _flags((f"{_K} % 4 = 1 AND id % 7 <> 2", 1), (f"{_K} % 4 = 0 AND {_K} % 3 <> 0 AND id % 8 <> 1", 4), (f"{_K} % 4 = 2", 2), (f"{_K} % 6 = 5 OR {_K} % 14 = 3", 8), (f"{_K} % 10 = 1 OR {_K} % 21 = 9", 1024), (f"{_K} % 9 = 4 OR {_K} % 25 = 8", 16), (f"{_K} % 37 = 6", 4096))
 
 CTES = {
-    "edges": f"SELECT DISTINCT l_partkey AS id, {cn('5 * l_suppkey')} AS n FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 16 = 0 AND 5 * l_suppkey < l_partkey",
+    "edges": f"SELECT DISTINCT id, {cn('5 * s')} AS n FROM (SELECT l_partkey AS id, min(l_suppkey) AS s FROM lineitem GROUP BY l_partkey UNION ALL SELECT l_partkey, max(l_suppkey) FROM lineitem GROUP BY l_partkey) x WHERE 5 * s < id",
     "faces": "SELECT id, {LIST} AS interfaces FROM edges GROUP BY id",
     "ids": "SELECT p_partkey AS id FROM part",
     "lib": f"SELECT ids.id, {cn('ids.id')} AS class_name, {{SUPER}} AS super_name, coalesce(interfaces, {{EMPTY}}) AS interfaces, CASE WHEN ids.id % 8 = 3 THEN {cn('ids.id - 1')} END AS nest_host, ids.id % 41 = 0 AS sealing_unknown FROM ids LEFT JOIN faces ON ids.id = faces.id".replace("{SUPER}", _SUPER.replace("id", "ids.id")),
@@ -42,8 +42,8 @@ CTES = {
     "new_lib": f"SELECT class_name, 'lib' AS source, {_NEW} AS access, super_name, interfaces, nest_host, CASE WHEN id % 9 = 0 THEN {{ARR}}({cn('2 * id')}) END AS permitted, sealing_unknown FROM lib WHERE id % 17 <> 3",
     "methods": _METHODS,
     "fields": "SELECT DISTINCT l_partkey AS id, l_linenumber AS ln, 'f' || CAST(l_linenumber AS STRING) AS name, 'I' AS descriptor FROM lineitem WHERE l_linenumber <= 3",
-    "old_m": f"SELECT {cn('id')} AS class_name, 'method' AS mkind, name, descriptor, {_OLD_M} AS access FROM methods UNION ALL SELECT {cn('id')}, 'field', name, descriptor, {_OLD_M} FROM fields UNION ALL SELECT {cn('id')}, 'method', '<init>', '()V', 1 FROM ids WHERE id % 3 <> 0",
-    "new_m": f"SELECT {cn('id')} AS class_name, 'method' AS mkind, name, descriptor, {_NEW_M} AS access FROM methods WHERE id % 17 <> 3 AND {_K} % 11 <> 4 UNION ALL SELECT {cn('id')}, 'field', name, descriptor, {_NEW_M} FROM fields WHERE id % 17 <> 3 AND {_K} % 13 <> 4 UNION ALL SELECT {cn('id')}, 'method', '<init>', '()V', CASE WHEN id % 10 = 1 THEN 2 ELSE 1 END FROM ids WHERE id % 3 <> 0 AND id % 17 <> 3",
+    "old_m": f"SELECT {cn('id')} AS class_name, 'method' AS mkind, name, descriptor, {_OLD_M} AS access FROM methods WHERE {_K} % 19 <> 7 UNION ALL SELECT {cn('id')}, 'field', name, descriptor, {_OLD_M} FROM fields UNION ALL SELECT {cn('id')}, 'method', '<init>', '()V', 1 FROM ids WHERE id % 3 <> 0",
+    "new_m": f"SELECT {cn('id')} AS class_name, 'method' AS mkind, name, descriptor, {_NEW_M} AS access FROM methods WHERE id % 17 <> 3 AND ({_K} % 11 <> 4 OR descriptor = '()V') UNION ALL SELECT {cn('id')}, 'field', name, descriptor, {_NEW_M} FROM fields WHERE id % 17 <> 3 AND {_K} % 13 <> 4 UNION ALL SELECT {cn('id')}, 'method', '<init>', '()V', CASE WHEN id % 10 = 1 THEN 2 ELSE 1 END FROM ids WHERE id % 3 <> 0 AND id % 17 <> 3",
     "graph": f"SELECT 'app/A' || CAST(c_custkey AS STRING) AS class_name, 'jar' || CAST(c_custkey % 20 AS STRING) AS source, {cn('1 + c_custkey % 1999')} AS super_name, CASE WHEN c_custkey % 3 = 0 THEN {{ARR}}({cn('13 * (1 + c_custkey % 15)')}) ELSE {{EMPTY}} END AS interfaces, CASE WHEN c_custkey % 50 = 7 THEN {cn('c_custkey')} END AS nest_host FROM customer",
     "app": "SELECT class_name, source, CAST(CASE WHEN length(class_name) % 4 = 0 THEN 1025 ELSE 1 END AS INT) AS access, super_name, interfaces, nest_host, NULL AS permitted, FALSE AS sealing_unknown FROM graph",
     "app_m": f"SELECT 'app/A' || CAST(c_custkey AS STRING) AS class_name, 'method' AS mkind, 'm' || CAST(1 + c_custkey % 4 AS STRING) AS name, '()V' AS descriptor, CAST(1 AS INT) AS access FROM customer",
@@ -54,7 +54,7 @@ CTES = {
     "refs": f"SELECT 'jar' || CAST(o_custkey % 20 AS STRING) AS source, 'app/A' || CAST(o_custkey AS STRING) AS source_class, CASE WHEN l_linenumber % 4 = 0 THEN 'class' WHEN l_linenumber % 4 = 1 THEN 'field' WHEN l_suppkey % 3 = 0 THEN 'interface_method' ELSE 'method' END AS kind, {cn('l_partkey')} AS owner, CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linenumber % 4 = 1 THEN 'f' || CAST(1 + l_orderkey % 3 AS STRING) ELSE 'm' || CAST(1 + l_orderkey % 7 AS STRING) END AS name, CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linenumber % 4 = 1 THEN 'I' WHEN l_suppkey % 2 = 0 THEN '()V' ELSE '(I)V' END AS descriptor, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_returnflag = 'R' END AS expected_static, CASE WHEN l_linenumber % 4 = 1 THEN l_linestatus = 'F' END AS field_write, CASE WHEN l_linenumber % 4 = 0 AND l_returnflag = 'A' THEN TRUE END AS instantiated FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "load_edges": "SELECT DISTINCT 'app/A' || CAST(o_custkey AS STRING) AS src, 'app/A' || CAST(CAST(floor(o_custkey / 3) AS BIGINT) + o_orderkey % 5 AS STRING) AS dst FROM orders",
     "roots": "SELECT DISTINCT 'jar' || CAST(c_custkey % 20 AS STRING) AS source FROM customer WHERE c_custkey % 20 < 3",
-    "services": f"SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN {cn('13 * (1 + n_nationkey)')} ELSE 'java/spi/S' || CAST(n_regionkey AS STRING) END AS iface, CASE WHEN n_nationkey % 3 = 0 THEN 'app/A' || CAST(3 * (14 + n_nationkey) AS STRING) ELSE {cn('26 * (1 + n_nationkey) + 1')} END AS provider FROM nation",
+    "services": f"SELECT CASE WHEN n_nationkey % 2 = 0 THEN {cn('13 * (1 + n_nationkey)')} WHEN n_nationkey % 5 = 1 THEN 'java/lang/Object' ELSE 'java/spi/S' || CAST(n_regionkey AS STRING) END AS iface, CASE WHEN n_nationkey % 3 = 0 THEN 'app/A' || CAST(3 * (14 + n_nationkey) AS STRING) ELSE {cn('26 * (1 + n_nationkey) + 1')} END AS provider, 'jar' || CAST(n_regionkey AS STRING) AS source, CAST(n_nationkey AS INT) AS ord FROM nation UNION ALL SELECT 'java/lang/Object', {cn('p_partkey')}, 'jar' || CAST(p_partkey % 20 AS STRING), CAST(p_partkey AS INT) FROM part",
     "artifacts_before": "SELECT 'mod' || CAST(s_suppkey % 12 AS STRING) AS module, 'g' || CAST(s_nationkey AS STRING) AS \"group\", 'a' || CAST(s_suppkey % 40 AS STRING) AS name, CAST(s_suppkey % 3 AS STRING) || '.0' AS version, 'f' || CAST(s_suppkey AS STRING) || '.jar' AS file, CASE WHEN s_suppkey % 31 = 0 THEN 'p' || CAST(s_suppkey AS STRING) END AS project FROM supplier WHERE s_suppkey % 9 <> 0",
     "artifacts_after": "SELECT 'mod' || CAST(s_suppkey % 12 + CASE WHEN s_suppkey % 12 = 11 THEN 5 ELSE 0 END AS STRING) AS module, 'g' || CAST(s_nationkey AS STRING) AS \"group\", 'a' || CAST(s_suppkey % 40 AS STRING) AS name, CAST(s_suppkey % 3 + CASE WHEN s_suppkey % 4 = 1 AND s_suppkey % 12 <> 5 THEN 1 ELSE 0 END AS STRING) || '.0' AS version, 'g' || CAST(s_suppkey AS STRING) || '.jar' AS file, CASE WHEN s_suppkey % 31 = 0 THEN 'p' || CAST(s_suppkey AS STRING) END AS project FROM supplier WHERE s_suppkey % 11 <> 0 OR s_suppkey % 12 = 5",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tomllib
 
@@ -49,3 +50,30 @@ def optional_dependencies(pom: str) -> set[tuple[str, str]]:
         return optional, required
 
     return found(text)[0] - found(always)[1]
+
+
+def locate_pom(jar: str, name: str, version: str) -> str | None:
+    """The POM of a JAR: beside it, or in another checksum folder of the same name/version folders."""
+    folder, want = os.path.dirname(jar), f"{name}-{version}.pom"
+    if not folder:
+        return None
+    if os.path.isfile(beside := os.path.join(folder, want)):
+        return beside
+    above = os.path.dirname(folder)
+    if os.path.basename(above) != version or os.path.basename(os.path.dirname(above)) != name:
+        return None
+    found = (os.path.join(above, x, want) for x in sorted(os.listdir(above)) if os.path.join(above, x) != folder)
+    return next((x for x in found if os.path.isfile(x)), None)
+
+
+def read_optional(jar: str, coordinate: str) -> set[tuple[str, str]]:
+    """(group, name) that the POM of a JAR with the coordinate group:name:version declares optional; none without a POM."""
+    parts = coordinate.split(":")
+    pom = locate_pom(jar, parts[1], parts[2]) if len(parts) == 3 else None
+    if pom is None:
+        return set()
+    try:
+        with open(pom, encoding="utf-8", errors="replace") as f:
+            return optional_dependencies(f.read())
+    except OSError:
+        return set()
