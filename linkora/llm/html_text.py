@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,8 @@ PRIOR = {"article": 10.0, "main": 8.0, "section": 2.0, "div": 2.0}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
+# Behind the last >: comments and declarations that never end.
+REST = re.compile(r"<[!?].*", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 COMMA = re.compile("[,，、،؛;]")
 
@@ -58,21 +61,25 @@ def _cut(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class Page:
-    """Elements in document order, with parent and last descendant, and the text blocks of those that are not cut out."""
+    """Elements in document order, with parent and last descendant, and the text blocks of those that are not cut out.
+
+    Made in one pass: the depths at which each tag is open are kept, so that no step walks the open elements.
+    """
 
     def __init__(self, html: str):
         self.tags, self.parent, self.end = ["#root"], [-1], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        stack, buf, link, at = [0], [], 0, 0
+        stack, holders, buf, link, at = [0], [0], [], 0, 0
+        depths: dict[str, list[int]] = {"#root": [0]}
         cut, links, articles = -1, 0, 0  # depth of the stack at which a cut element began; open <a>; open <article> or <main>
+        last = html.rfind(">")  # no tag ends behind it
 
         def flush() -> None:
             nonlocal link
             if buf:
                 text = " ".join(unescape("".join(buf)).split())
                 if text:
-                    k = next(i for i in reversed(stack) if self.tags[i] not in INLINE)
-                    self.blocks.append((k, text, min(link, len(text))))
+                    self.blocks.append((holders[-1], text, min(link, len(text))))
                 buf.clear()
             link = 0
 
@@ -83,6 +90,9 @@ class Page:
                 if tag not in INLINE and cut < 0:
                     flush()
                 k = stack.pop()
+                depths[tag].pop()
+                if tag not in INLINE:
+                    holders.pop()
                 self.end[k] = len(self.tags) - 1
                 links -= tag == "a"
                 articles -= tag in ("article", "main")
@@ -91,16 +101,12 @@ class Page:
                     flush()
 
         def find(tags: set[str], until: set[str]) -> int:
-            for d in range(len(stack) - 1, 0, -1):
-                tag = self.tags[stack[d]]
-                if tag in tags:
-                    return d
-                if tag in until:
-                    break
-            return 0
+            """The depth of the innermost open one of tags, 0 if there is none or one of until lies inside."""
+            d = max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+            return d if d > max((depths[t][-1] for t in until if depths.get(t)), default=0) else 0
 
         while at < len(html):
-            m = TAG.search(html, at)
+            m = TAG.search(html, at) if at <= last else REST.search(html, at)
             stop = m.start() if m else len(html)
             if stop > at and cut < 0:
                 buf.append(html[at:stop])
@@ -109,6 +115,8 @@ class Page:
             if not m:
                 break
             at = m.end()
+            if m.re is REST:
+                continue
             tag = (m[2] or m[5] or "").lower()
             if not tag:
                 continue
@@ -124,8 +132,8 @@ class Page:
             if tag in RAW:
                 if tag != "title" and attrs.endswith("/"):
                     continue
-                e = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = e.end() if e else len(html)
+                e = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+                at = html.find(">", e.end()) + 1 if e and e.end() <= last else len(html)
                 if cut < 0 and tag not in INLINE:
                     buf.append(" ")
                 continue
@@ -159,7 +167,10 @@ class Page:
             if cut < 0 and _cut(tag, attrs, articles > 0):
                 flush()
                 cut = len(stack)
+            depths.setdefault(tag, []).append(len(stack))
             stack.append(k)
+            if tag not in INLINE:
+                holders.append(k)
             links += tag == "a"
             articles += tag in ("article", "main")
         if cut < 0:
@@ -189,15 +200,20 @@ class Page:
         while self.parent[around[-1]] >= 0:
             around.append(self.parent[around[-1]])
         best = next((k for tag in ("article", "main") for k in reversed(around) if self.tags[k] == tag), best)
-        keep, up = [(best, self.end[best])], self.parent[best]
+        # Kept elements as the steps of a sum over all elements.
+        steps, up = [0] * (n + 1), self.parent[best]
+        steps[best] += 1
+        steps[self.end[best] + 1] -= 1
         if up >= 0:
             for s in range(up + 1, n):
                 if self.parent[s] != up or s == best or not size[s]:
                     continue
                 dense, tag = linked[s] / size[s], self.tags[s]
                 if worth[s] >= 0.2 * top and dense < 0.5 or tag in PARAGRAPH and dense < 0.25 and (size[s] > 80 or tag in HEADINGS):
-                    keep.append((s, self.end[s]))
-        return "\n".join(t for k, t, _ in self.blocks if any(a <= k <= b for a, b in keep))
+                    steps[s] += 1
+                    steps[self.end[s] + 1] -= 1
+        kept = list(accumulate(steps))
+        return "\n".join(t for k, t, _ in self.blocks if kept[k] > 0)
 
 
 def main_text(html: str | None) -> str:
