@@ -140,9 +140,11 @@ def fix_groups(violations: DataFrame) -> DataFrame:
 
 def run_counts(violations: DataFrame, runs: DataFrame) -> DataFrame:
     """merged violations (modules array), runs (run_id, modules array) -> (run_id, broken): the violations of the modules of each run."""
-    each = violations.select(F.monotonically_increasing_id().alias("v"), F.explode("modules").alias("module"))
+    # Violations with the same modules count together; those sets are few.
+    same = violations.groupBy("modules").agg(F.count("*").alias("n"))
+    each = same.select("modules", "n", F.explode("modules").alias("module"))
     member = runs.select("run_id", F.explode("modules").alias("module")).distinct()
-    hit = each.join(member, "module").select("v", "run_id").distinct().groupBy("run_id").agg(F.count("*").alias("broken"))
+    hit = each.join(member, "module").select("modules", "n", "run_id").distinct().groupBy("run_id").agg(F.sum("n").alias("broken"))
     return runs.select("run_id").join(hit, "run_id", "left").select("run_id", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
 
 
