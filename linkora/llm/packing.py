@@ -1,7 +1,8 @@
 """Operator 5: lexical retrieval packing into windows of `window` tokens.
 
 Each document becomes the ids of the tokenizer and a closing id 0. Its full windows stand alone. The rest, shorter than a window, is
-packed: rests are dealt to shards of bounded size by a range of (least hash of an id, doc_id), so that near copies meet; in a shard
+packed: rests are dealt to shards of bounded size by a range of (a sample of the ids that prefers rare ones, doc_id), so that texts that
+share rare ids meet; in a shard
 a BM25 inverted index over the rests returns, for each unused seed and all of its terms, every unused neighbour with a positive score,
 best first; these fill its window, and only when none is left do other unused rests. The last
 neighbour is cut to fit and what is left of it stays unused, so windows are full; the last window of a shard is split at powers of two,
@@ -46,12 +47,19 @@ def encoder(path: str):
     return _made[path]
 
 
+def rarity(n: int) -> np.ndarray:
+    """For each token id an integer whose least over a text is a weighted sample of its ids: the later the vocabulary has an id, the rarer
+    it is and the likelier it is the one, so that texts which share rare ids share the sample."""
+    u = (mix64(np.arange(1, n + 1, dtype=U64) * GOLD) >> U64(11)).astype(np.float64) / float(1 << 53)
+    return (-np.log1p(-u) / np.arange(1, n + 1) + 1e-300).view(np.int64)
+
+
 def tokenised(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
-    """(doc_id, n, crcs of the full windows, rest as little-endian uint32, key: the least hash of an id of the whole document)."""
+    """(doc_id, n, crcs of the full windows, rest as little-endian uint32, key: the least `rarity` of an id of the whole document)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        least = mix64(np.arange(1, max(enc.max_token_value, 1) + 2, dtype=U64) * GOLD).view(np.int64)
+        least = rarity(max(enc.max_token_value, 1) + 1)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for text in batch.column(1).to_pylist():
@@ -68,44 +76,95 @@ def tokenised(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
 
 
 class Index:
-    """BM25 over the rests of one shard; the terms are token ids."""
+    """BM25 over the rests of one shard; the terms are token ids.
+
+    Terms of an eighth of the documents or more have a dense row of weights, the others a posting list. So a dense cell stands for one
+    posting in eight at least, and a query adds rows up instead of scattering long lists.
+    """
+
+    DENSE, AHEAD = 8, 16
 
     def __init__(self, rests: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
-        self.n = len(rests)
+        n = len(rests)
         sizes = np.array([len(r) for r in rests])
-        code = np.repeat(np.arange(self.n, dtype=np.int64), sizes) | (np.concatenate(rests).astype(np.int64) << 32)
+        code = np.repeat(np.arange(n, dtype=np.int64), sizes) | (np.concatenate(rests).astype(np.int64) << 32)
         code, tf = np.unique(code, return_counts=True)
-        term, self.doc = code >> 32, (code & 0xFFFFFFFF).astype(np.int64)
+        term, doc = code >> 32, (code & 0xFFFFFFFF).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-        self.starts, self.stops = first, np.append(first[1:], len(term))
-        df = self.stops - self.starts
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        df = np.diff(np.append(first, len(term)))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         which = np.repeat(np.arange(len(first)), df)
         norm = k1 * (1 - b + b * sizes / max(sizes.mean(), 1))
-        self.weight = idf[which] * tf * (k1 + 1) / (tf + norm[self.doc])
-        order = np.argsort(self.doc, kind="stable")
-        self.by_doc, self.at = which[order], np.searchsorted(self.doc[order], np.arange(self.n + 1))
-        self.df, self.which, self.live = df, which, self.n
-
-    def shrink(self, unused: np.ndarray) -> None:
-        """Leave out the postings of used documents; scores of the others stay the same."""
-        keep = unused[self.doc]
-        self.doc, self.weight, self.which = self.doc[keep], self.weight[keep], self.which[keep]
+        weight = (idf[which] * tf * (k1 + 1) / (tf + norm[doc])).astype(np.float32)
+        order = np.argsort(doc, kind="stable")
+        self.by_doc, self.at = which[order], np.searchsorted(doc[order], np.arange(n + 1))
+        dense = df * self.DENSE >= n
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.rows = np.zeros((int(dense.sum()), n), np.float32)
+        thick = dense[which]
+        self.rows[self.row[which[thick]], doc[thick]] = weight[thick]
+        self.doc, self.weight, self.which = doc[~thick], weight[~thick], which[~thick]
+        self.df = df
+        # Columns of the documents that may still be found; a column number stands for a document from here on.
+        self.docs = np.arange(n)
+        self.ahead: dict[int, np.ndarray] = {}
+        self.spans()
+
+    def spans(self) -> None:
         self.stops = np.cumsum(np.bincount(self.which, minlength=len(self.df)))
         self.starts = np.concatenate([[0], self.stops[:-1]])
-        self.live = int(unused.sum())
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """All unused documents with a positive score for all terms of the seed, best first."""
-        if 4 * unused.sum() < 3 * self.live:
-            self.shrink(unused)
+    def shrink(self, unused: np.ndarray) -> None:
+        """Leave out used documents; scores of the others stay the same."""
+        stays = unused[self.docs]
+        number = np.cumsum(stays) - 1
+        keep = stays[self.doc]
+        self.doc, self.weight, self.which = number[self.doc[keep]], self.weight[keep], self.which[keep]
+        self.rows, self.docs = self.rows[:, stays], self.docs[stays]
+        self.ahead = {}
+        self.spans()
+
+    def terms(self, seed: int) -> np.ndarray:
         q = self.by_doc[self.at[seed] : self.at[seed + 1]]
-        spans = [slice(self.starts[t], self.stops[t]) for t in q.tolist() if self.df[t] > 1]
-        if not spans:
-            return []
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.n) * unused
-        found = np.flatnonzero(score > 0)
-        return found[np.argsort(-score[found], kind="stable")].tolist()
+        return q[self.df[q] > 1]
+
+    def dense_score(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """What the dense rows give every column. The next seeds are likely to be asked for too: they are scored in one product."""
+        if seed not in self.ahead:
+            seeds = [seed, *(seed + 1 + np.flatnonzero(unused[seed + 1 : seed + 1 + 8 * self.AHEAD])[: self.AHEAD - 1]).tolist()]
+            rows = [r[r >= 0] for r in (self.row[self.terms(s)] for s in seeds)]
+            every = np.unique(np.concatenate(rows))
+            asked = np.zeros((len(seeds), len(every)), np.float32)
+            for i, r in enumerate(rows):
+                asked[i, np.searchsorted(every, r)] = 1
+            self.ahead = dict(zip(seeds, asked @ self.rows[every]))
+        return self.ahead.pop(seed)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents with a positive score for all terms of the seed, best first, ties in order."""
+        if 4 * unused.sum() < 3 * len(self.docs):
+            self.shrink(unused)
+        score = self.dense_score(seed, unused)
+        q = self.terms(seed)
+        q = q[self.row[q] < 0]
+        spans = [slice(a, b) for a, b in zip(self.starts[q].tolist(), self.stops[q].tolist()) if a < b]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=len(score)).astype(np.float32)
+        score *= unused[self.docs]
+        # The next best are sorted as they are asked for.
+        done = np.float32(np.inf)
+        take = 32
+        while True:
+            left = np.flatnonzero((score > 0) & (score < done))
+            if not len(left):
+                return
+            if len(left) > take:
+                done = np.partition(score[left], len(left) - take)[len(left) - take]
+                left = left[score[left] >= done]
+            else:
+                done = np.float32(0)
+            yield from self.docs[left[np.argsort(-score[left], kind="stable")]].tolist()
+            take *= 4
 
 
 def pack_shard(rests: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
@@ -119,26 +178,26 @@ def pack_shard(rests: list[np.ndarray], window: int) -> list[list[tuple[int, int
             seed += 1
         if seed == len(rests):
             break
-        pieces, room, todo, later = [], window, [seed], seed + 1
+        pieces, room, later = [], window, seed + 1
         unused[seed] = False
-        asked = False
+        found: Iterator[int] | None = None
+        i: int | None = seed
         while room:
-            if not todo:
-                if not asked:
-                    asked = True
-                    todo = index.neighbours(seed, unused)
-                    continue
+            if i is None:
+                found = index.neighbours(seed, unused) if found is None else found
+                i = next(found, None)
+            if i is None:
                 while later < len(rests) and not unused[later]:
                     later += 1
                 if later == len(rests):
                     break
-                todo = [later]
-            i = todo.pop(0)
+                i = later
             take = min(room, size[i] - used[i])
             pieces.append((i, used[i], take))
             used[i] += take
             room -= take
             unused[i] = used[i] < size[i]
+            i = None
         sequences.append(pieces)
     if sequences and (left := sum(p[2] for p in sequences[-1])) < window:
         last, sequences = sequences[-1], sequences[:-1]
