@@ -14,9 +14,12 @@ GOLD = U64(0x9E3779B97F4A7C15)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
+    """The shared folder named by spark.checkpoint.dir; where none is named, a temporary one, which only a local master may use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -55,6 +58,14 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, want: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while want.lower() in taken:
+        want += "_"
+    return want
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,7 +114,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words in each text). Words: runs of bytes other than \\x20 and \\x09-\\x0D."""
-    parts = [_word_hashes(part) for part in chunked(texts, len, 500_000)]
+    parts = [_word_hashes(part) for part in chunked(texts, len, 100_000)]
     if not parts:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])

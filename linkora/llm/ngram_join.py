@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, chunked, shingle_sets, table, write_table
-from .graph import link_components, ordered, parity_filter, parity_words, position_filter
+from .graph import link_components, ordered, parity_filter, parity_words, position_filter, shared_keys, size_class
 
-CHUNK = 2_000_000
+CHUNK = 200_000
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -115,16 +115,17 @@ SKETCH = 16
 
 
 def _sketches(rows: DataFrame, k: int) -> DataFrame:
-    """(id, text, compressed) -> (id, w0..): the parity words of the shingle set."""
+    """(id, text, compressed) -> (id, n, w0..): the size and the parity words of the shingle set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in chunked([(i, press.decompress(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], lambda x: len(x[1]), CHUNK):
-                words = parity_words(shingle_sets([t for _, t in part], k), SKETCH)
-                yield pa.record_batch({"id": pa.array([i for i, _ in part], pa.int64()), **{f"w{j}": pa.array(w) for j, w in enumerate(words)}})
+                sets = shingle_sets([t for _, t in part], k)
+                words = {f"w{j}": pa.array(w) for j, w in enumerate(parity_words(sets, SKETCH))}
+                yield pa.record_batch({"id": pa.array([i for i, _ in part], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int32()), **words})
 
-    return rows.select("id", "text").mapInArrow(make, "id long, " + ", ".join(f"w{j} long" for j in range(SKETCH)))
+    return rows.select("id", "text").mapInArrow(make, "id long, n int, " + ", ".join(f"w{j} long" for j in range(SKETCH)))
 
 
 def _components(docs: DataFrame, k: int, percent: int, orders: int = 3, frequent: int = 65_536, frequent_in_batch: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +137,9 @@ def _components(docs: DataFrame, k: int, percent: int, orders: int = 3, frequent
     known = frequent_tokens(docs, k, frequent, frequent_in_batch)
     made = write_table(shingle_table(docs, known, k, percent, orders))
     further = [f"p{i}" for i in range(1, orders)]
-    buckets = made.where("id is not null").select("id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("p0").alias("pos", "key")).select("key", "id", "n", "pos")
+    # Equal rows are one item; copies of a class meet by their keys anyway, and each counts once.
+    items = made.where("id is not null").select("id", F.col("n_shingles").cast("int").alias("n"), "p0")
+    active = write_table(shared_keys(items, "p0", ["n", "pos"]))
 
     sides: list[DataFrame] = []
 
@@ -153,10 +156,13 @@ def _components(docs: DataFrame, k: int, percent: int, orders: int = 3, frequent
             pairs = pairs.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
         return pairs.select("a", "b")
 
+    near, parity = position_filter(percent), parity_filter(percent, SKETCH)
+
     def may_link(x: str, y: str) -> Column:
-        return position_filter(percent)(x, y) & parity_filter(percent, SKETCH)(x, y)
+        return near(x, y) & parity(x, y)
 
-    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent), ["n", "pos"], may_link, lambda rows: _sketches(rows, k), [f"w{j}" for j in range(SKETCH)], narrow)
+    words = ["n", *[f"w{j}" for j in range(SKETCH)]]
+    _, comp = link_components(active, load, lambda pairs: _linked(pairs, k, percent), ["pos"], may_link, parity, lambda rows: _sketches(rows, k), words, size_class(F.col("n"), percent), near, narrow)
     ids = made.where("id is not null").select("id").distinct()
     return made, write_table(ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
 
