@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 SALT = 16
 
@@ -48,23 +48,56 @@ def _key(host: str, line: Column) -> Column:
     return F.xxhash64(F.col(host), line)
 
 
-def quality(docs: DataFrame, least: int = 10, per_mille: int = 5, depleted: int = 50) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("t")).withColumn("rk", F.xxhash64("doc_id", "host", "t"))
-    lines = base.select("rk", "host", F.expr(LINES).alias("ls"))
+def _base(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("t")).withColumn("rk", F.xxhash64("doc_id", "host", "t"))
 
+
+def common_lines(base: DataFrame, least: int, per_mille: int) -> DataFrame:
+    """base (rk, host, t) -> (key): hashes of host and normalised line that are in too many documents of the host."""
+    one = base.select("rk", "host", F.explode(F.array_distinct(F.expr(LINES))).alias("line")).select("rk", "host", _key("host", F.col("line")).alias("key"))
     hosts = base.select("rk", "host").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    one = lines.select("rk", "host", F.explode(F.array_distinct("ls")).alias("line")).select("rk", "host", _key("host", F.col("line")).alias("key"))
-    # Equal rows count once: they have equal rk, so sum 1 / copies is not needed; distinct rows are counted by approximate-free partial sums.
-    freq = one.groupBy("key").agg(F.count("*").alias("rows"), F.first("host").alias("host")).where(F.col("rows") > least)
     # Only lines above the first limit, by rows, can be above it by documents: those few are counted exactly, salted by document.
+    freq = one.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > least)
     spread = F.pmod("rk", F.lit(SALT)).cast("int")
     copies = freq.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     exact = one.withColumn("salt", spread).join(copies, ["key", "salt"]).select("key", "rk", "host").distinct().groupBy("key").agg(F.count("*").alias("docs_with"), F.first("host").alias("host"))
-    limit = exact.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where((F.col("docs_with") > least) & (1000 * F.col("docs_with") > per_mille * F.col("docs"))).select("key")
-    spots = lines.select("rk", "host", F.posexplode("ls").alias("no", "line")).select("rk", "no", F.size(F.split("line", " ")).alias("words"), _key("host", F.col("line")).alias("key")).withColumn("salt", spread)
+    return exact.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where((F.col("docs_with") > least) & (1000 * F.col("docs_with") > per_mille * F.col("docs"))).select("key")
+
+
+def _spots(base: DataFrame, limit: DataFrame) -> DataFrame:
+    """(rk, no, words): the lines of each document, by their place among all lines of the text, that are too common."""
+    raw = base.select("rk", "host", F.posexplode(F.split("t", "\n", -1)).alias("no", "raw"))
+    lines = raw.select("rk", "host", "no", F.trim(F.regexp_replace(F.lower("raw"), r"[\x20\x09\x0B-\x0D]+", " ")).alias("line")).where("line <> ''")
+    spread = F.pmod("rk", F.lit(SALT)).cast("int")
     above = limit.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    removed = spots.join(above, ["key", "salt"]).select("rk", "no", "words").distinct().groupBy("rk").agg(F.sum("words").cast("long").alias("n_removed_words"))
+    spots = lines.select("rk", "no", F.size(F.split("line", " ")).alias("words"), _key("host", F.col("line")).alias("key")).withColumn("salt", spread)
+    return spots.join(above, ["key", "salt"]).select("rk", "no", "words").distinct()
+
+
+def filtered(docs: DataFrame, least: int = 10, per_mille: int = 5, depleted: int = 50) -> DataFrame:
+    """docs (doc_id, text, source, ...) -> the rows that the rules keep, with their text without the lines that are too common.
+
+    Columns are those of docs. Rows without a word fail the base rules and go.
+    """
+    base = _base(docs)
+    spots = _spots(base, common_lines(base, least, per_mille))
+    gone = spots.groupBy("rk").agg(F.collect_set("no").alias("gone"))
+    rk = free_name(docs, "row")
+    verdict = quality(docs, least, per_mille, depleted, keep_row=True).where("kept").select(F.col("rk").alias(rk)).distinct()
+    keyed = docs.withColumn(rk, F.xxhash64(F.col("doc_id").cast("long"), F.col("source"), F.coalesce("text", F.lit(""))))
+    out = keyed.join(verdict, rk, "left_semi").join(gone.select(F.col("rk").alias(rk), F.col("gone").alias(cut := free_name(docs, "cut"))), rk, "left")
+    parts = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.coalesce(~F.array_contains(cut, i), F.lit(True)), line))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.array_compact(parts), "\n"))
+    return out.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def quality(docs: DataFrame, least: int = 10, per_mille: int = 5, depleted: int = 50, keep_row: bool = False) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept.
+
+    `filtered` gives the kept documents with their cleaned texts.
+    """
+    base = _base(docs)
+    removed = _spots(base, common_lines(base, least, per_mille)).groupBy("rk").agg(F.sum("words").cast("long").alias("n_removed_words"))
 
     words = base.select("doc_id", "rk", "t", F.expr(WORDS).alias("w"))
     dup = "filter(split(t, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
@@ -79,7 +112,8 @@ def quality(docs: DataFrame, least: int = 10, per_mille: int = 5, depleted: int
     )
     out = stats.join(removed, "rk", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", (~failed & (100 * F.col("n_removed_words") <= depleted * F.col("n_words"))).alias("kept"))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("n_removed_words") <= depleted * F.col("n_words")))
+    return out.select(*(["rk"] if keep_row else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
 
 
 def op2_quality_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
