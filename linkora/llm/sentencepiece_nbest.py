@@ -8,7 +8,9 @@ Every path passes the start of each unit (a run of spaces with the word after it
 lattice is cut there: the passes run over distinct units, many at once, and the search runs only in the units of least loss, which
 are the only ones that an N-best list of the whole text can change. An agenda over those units merges their lists, lazily and exactly.
 
-Scores are the model's; a character without a piece costs 10 less than the worst piece, as in SentencePiece. Ties go to the longer last
+Scores are the model's: log-probabilities of a unigram model. The scores of a BPE model are the ranks of its merges, so there the best
+list is that of the ranks' sums, and not what the library's merging gives. Rules of normalisation that a model has are applied first; then
+decoding gives the normalised text. A character without a piece costs 10 less than the worst piece, as in SentencePiece. Ties go to the longer last
 piece, then to the earlier unit. Edge cases: null is an empty text, which has one segmentation without pieces. Repeated rows get equal
 results. Texts are never cut short. Extra columns are ignored.
 """
@@ -53,10 +55,17 @@ class Model:
         self.longest = max(map(len, pieces))
         self.unknown = min(s for _, s in pieces.values() if s > -1e8) - 10.0
         inner = {c for p in pieces if len(p) > 1 for c in p}
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
-            raise ValueError("a piece of this model crosses a space")
+        rules = spec.normalizer_spec
+        self.normalise = None
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces:
+            from sentencepiece import SentencePieceNormalizer
+
+            self.normalise = SentencePieceNormalizer(model_file=path, add_dummy_prefix=False, escape_whitespaces=False).normalize
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
         self.units = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]") if alone else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            # A piece may cross a space: then the whole text is one lattice.
+            self.units = re.compile("(?s:.+)")
         # Pieces by a 64-bit hash: a row number for each slot of a table; the few whose slot was taken are searched in a sorted list.
         self.key = np.array([self._hash(p) for p in pieces], dtype=U64)
         self.ident = np.array([i for i, _ in pieces.values()], np.int32)
@@ -95,6 +104,7 @@ class Model:
         return np.where(hit, self.ident.take(row), np.int32(-1)), np.where(hit, self.score.take(row), -np.inf)
 
     def surface(self, text: str) -> str:
+        text = self.normalise(text) if self.normalise and text else text
         return (SPACE if self.dummy else "") + text.replace(" ", SPACE) if text else ""
 
     # --- lattices of units of one length ---
@@ -308,7 +318,7 @@ def encode_nbest(docs: DataFrame, path: str, most: int = 4, digest: bool = False
                         "ids_crc32": pa.array([c[0] for c in crcs], pa.int64()),
                         "nbest_scores": pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())),
                         "nbest_crc32": pa.array(crcs, pa.list_(pa.int64())),
-                        "round_trip": pa.array([sp.decode(f[0][1].tolist()) == t for t, f in zip(part, found)]),
+                        "round_trip": pa.array([sp.decode(f[0][1].tolist()) == (sp.normalise(t) if sp.normalise and t else t) for t, f in zip(part, found)]),
                     }
                 )
 
