@@ -5,10 +5,11 @@ count times ln((N + 1) / (df + 1)) + 1 over all distinct headers and templates.
 largest cosine if that is `least` or more; a file has the licence of its best header (ties: the first name). The whole text of a licence
 file is compared with the full texts in `licences` too, weighted over these; the best of `WHOLE` or more goes before its headers. A file named LICENSE,
 LICENCE, COPYING or NOTICE gives its licence to its directory; a file without an own licence inherits that of the nearest directory
-at or above its own.
+at or above its own. The comment block that a file begins with is compared with the full texts in the same way, without its comment marks.
 
 Edge cases: null and empty texts have no header but may inherit; a null path inherits nothing. Of several licence files in a directory
-the first licence by name counts. Repeated rows are each returned. Extra columns are ignored.
+the first licence by name counts. Repeated rows are each returned. Extra columns are carried along; those with the names of the four
+results are replaced. An empty table gives an empty one. Texts of any length are read whole, once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table, write_table
 
 # Notices by SPDX identifier.
 TEMPLATES = [
@@ -46,6 +47,7 @@ TEMPLATES = [
     ("LicenseRef-Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain, The Unlicense."),
 ]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in TEMPLATES if not n.startswith("LicenseRef"))]
 TRIGGER = "licen[cs]e|copyright|spdx|public domain|all rights reserved"
 LICENCE_FILE = "(^|/)(LICENSE|LICENCE|COPYING|NOTICE)([.-][^/]*)?$"
 TERMS = "filter(split(regexp_replace(lower(line), '[^a-z0-9]+', ' '), ' '), x -> x <> '')"
@@ -76,23 +78,46 @@ class FullTexts:
         return max(((sum(x * t.get(w, 0.0) for w, x in v.items()), name) for name, t in self.vectors.items()), default=(0.0, None))
 
 
-def whole_licences(files: DataFrame) -> DataFrame:
-    """(__fid, path, text) -> (__fid, whole) of the licence files that are a known licence as a whole."""
+# What a comment line begins with.
+MARK = r"[ \t]*(?://+|#+|/\*+|\*+/?|--|;+|%+)"
+_MARK = re.compile(MARK)
+
+
+def leading_comment(text: str) -> str:
+    """The comment block that a text begins with, without its marks."""
+    out = []
+    for line in text.split("\n"):
+        if not (m := _MARK.match(line)):
+            break
+        out.append(line[m.end() :])
+    return "\n".join(out)
+
+
+def whole_licences(files: DataFrame, fid: str) -> DataFrame:
+    """(fid, path, body) -> (fid, whole) of the licence files, and of the leading comments of other files, that are a known licence as a whole."""
     full = FullTexts()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [full.best(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch({"__fid": batch.column(0), "whole": pa.array([name if score >= WHOLE else None for score, name in found], pa.string())})
+            found = [full.best(t if own else leading_comment(t)) for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.record_batch({fid: batch.column(0), "whole": pa.array([name if score >= WHOLE else None for score, name in found], pa.string())})
 
-    return files.where(F.col("path").rlike(LICENCE_FILE)).select("__fid", "text").mapInArrow(make, "__fid long, whole string").where("whole is not null").distinct()
+    wanted = files.where("body is not null").select(fid, "body", F.col("path").rlike(LICENCE_FILE).alias("own"))
+    return wanted.mapInArrow(make, f"{fid} long, whole string").where("whole is not null").distinct()
 
 
 def scan(files: DataFrame, least: float = 0.6) -> DataFrame:
     """files (path, text, ...) -> the same columns without text, and n_headers, own_license, license, inherited_from."""
     spark = files.sparkSession
-    files = files.withColumn("__fid", F.xxhash64("path", "text"))
-    headers = files.select("__fid", F.explode(F.filter(F.split("text", "\n", -1), lambda x: F.lower(x).rlike(TRIGGER))).alias("line"))
+    files = files.drop("n_headers", "own_license", "license", "inherited_from")
+    fid, at_dir = free_name(files, "fid"), free_name(files, "dir")
+    carried = [F.col(f"`{c}`") for c in files.columns if c != "text"]
+    # One pass over the texts: header lines, and the bodies that are compared as a whole.
+    lines_of = F.filter(F.split("text", "\n", -1), lambda x: F.lower(x).rlike(TRIGGER))
+    body = F.when(F.col("path").rlike(LICENCE_FILE) | F.col("text").rlike("^" + MARK), F.col("text"))
+    found = write_table(files.select(*carried, F.xxhash64("path", "text").alias(fid), F.struct(lines_of.alias("lines"), body.alias("body")).alias(seen := free_name(files, "seen"))))
+    files = found.select(*carried, fid)
+    headers = found.select(fid, F.explode(F.col(f"{seen}.lines")).alias("line"))
     lines = headers.select("line").distinct()
     # A row for each fixed template: bounded, so it may be broadcast.
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "tid int, name string, line string")
@@ -107,17 +132,18 @@ def scan(files: DataFrame, least: float = 0.6) -> DataFrame:
     dots = mine.join(F.broadcast(theirs), "term").groupBy("line", "tid").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scored = dots.join(norms, "line").join(F.broadcast(norms_t), "tid").join(F.broadcast(templates.select("tid", "name")), "tid")
     best = scored.withColumn("score", F.col("dot") / (F.col("a") * F.col("b"))).where(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("best"))
-    own = headers.distinct().join(best, "line", "left").groupBy("__fid").agg(F.count("*").alias("n_headers"), F.min("best").alias("best")).select("__fid", "n_headers", F.col("best.name").alias("own_license"))
-    named = files.drop("text", "n_headers", "own_license", "license", "inherited_from").join(own, "__fid", "left").join(whole_licences(files), "__fid", "left").withColumn("own_license", F.coalesce("whole", "own_license")).drop("whole").withColumn("n_headers", F.coalesce("n_headers", F.lit(0).cast("long"))).drop("__fid")
-    named = named.withColumn("__dir", F.regexp_extract("path", "^(.*)/", 1))
-    given = named.where(F.col("own_license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy(F.col("__dir").alias("at")).agg(F.min("own_license").alias("given"))
+    own = headers.distinct().join(best, "line", "left").groupBy(fid).agg(F.count("*").alias("n_headers"), F.min("best").alias("best")).select(fid, "n_headers", F.col("best.name").alias("own_license"))
+    whole = whole_licences(found.select(fid, "path", F.col(f"{seen}.body").alias("body")), fid).withColumnRenamed("whole", taken := free_name(files, "whole"))
+    named = files.join(own, fid, "left").join(whole, fid, "left").withColumn("own_license", F.coalesce(taken, "own_license")).drop(taken).withColumn("n_headers", F.coalesce("n_headers", F.lit(0).cast("long"))).drop(fid)
+    named = named.withColumn(at_dir, F.regexp_extract("path", "^(.*)/", 1))
+    given = named.where(F.col("own_license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy(F.col(at_dir).alias("at")).agg(F.min("own_license").alias("given"))
     # Directories, not files, look for an ancestor: a directory with very many files is one row.
-    parts = F.split("__dir", "/")
-    ups = named.where(F.col("own_license").isNull() & F.col("__dir").isNotNull()).select("__dir").distinct().select("__dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("at", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice(parts, 1, F.greatest("depth", F.lit(1))), "/")))
-    nearest = ups.join(given, "at").groupBy("__dir").agg(F.max(F.struct("depth", "at", "given")).alias("up")).select("__dir", F.col("up.at").alias("up_at"), F.col("up.given").alias("up_given"))
-    out = named.join(nearest, "__dir", "left")
+    parts = F.split(at_dir, "/")
+    ups = named.where(F.col("own_license").isNull() & F.col(at_dir).isNotNull()).select(at_dir).distinct().select(at_dir, F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("at", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice(parts, 1, F.greatest("depth", F.lit(1))), "/")))
+    nearest = ups.join(given, "at").groupBy(at_dir).agg(F.max(F.struct("depth", "at", "given")).alias("up")).select(at_dir, F.col("up.at").alias("up_at"), F.col("up.given").alias("up_given"))
+    out = named.join(nearest, at_dir, "left")
     free = F.col("own_license").isNull()
-    return out.withColumn("license", F.when(free, F.col("up_given")).otherwise(F.col("own_license"))).withColumn("inherited_from", F.when(free, F.col("up_at"))).drop("__dir", "up_at", "up_given")
+    return out.withColumn("license", F.when(free, F.col("up_given")).otherwise(F.col("own_license"))).withColumn("inherited_from", F.when(free, F.col("up_at"))).drop(at_dir, "up_at", "up_given")
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
