@@ -182,7 +182,7 @@ def test_op8(docs, empty):
 
 def test_op9(spark, docs, empty):
     rows = [(1, "Mail A.Bc9@Mail8.example.com or a.bc9@mail8.example.com, +1 (269) 555-3296, +12695553296, 4111 1111 1111 1111, 42.144.35.254."), (2, "Mrs. Anna Weber, Mr. WEBER; г-жа Анна Иванова; DE89 3704 0044 0532 0130 00; password=b7db7aa4; 123-45-6789"), (3, None), (4, ""), (1, "x@y.org x@y.org")]
-    got = [r.text for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "text").collect()]
+    got = [r.text for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id", "text").collect()]
     a = next(t for t in got if t and t.startswith("Mail"))
     words = a.replace(",", "").split()
     assert "555-3296" not in a and words[1].lower() == words[3] and words[1] != rows[0][1].split()[1]
@@ -192,9 +192,9 @@ def test_op9(spark, docs, empty):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert None in got and "" in got
     many = spark.createDataFrame([(i, f"u{i}@e.org 10.0.{i % 250}.{i // 250}") for i in range(2000)], "doc_id long, text string")
-    out = [r.text.split() for r in pii.surrogates(many).collect()]
+    out = [r.text.split() for r in pii.surrogates(many, "k").collect()]
     assert len({x[0] for x in out}) == len({x[1] for x in out}) == 2000
-    assert pii.surrogates(docs).count() == len(ROWS) and pii.surrogates(empty).count() == 0
+    assert pii.surrogates(docs, "k").count() == len(ROWS) and pii.surrogates(empty, "k").count() == 0
 
 
 def test_op10(docs, empty):

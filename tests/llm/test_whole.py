@@ -1,9 +1,15 @@
 """Each operator on the parts of its job that a narrower version would leave out."""
 
+import math
 import random
 from pathlib import Path
 
-from linkora.llm import html_text, license_scan, line_dedup, ngram_join, packing, pii
+import numpy as np
+import pytest
+import sentencepiece
+from sentencepiece import sentencepiece_model_pb2 as pb
+
+from linkora.llm import graph, html_text, lang_id, license_scan, line_dedup, ngram_join, packing, pii, quality, sentencepiece_nbest
 
 
 def test_stage_takes_copies_between_the_two_limits(spark):
@@ -52,8 +58,6 @@ def test_op3_counts_and_lists_every_link(spark):
 
 
 def test_op5_fills_windows_with_every_neighbour_by_every_term():
-    import numpy as np
-
     # Short rests: 30 of one topic far apart in the order, more than 16 of them to a window; the others share nothing with them.
     topic = [np.array([1000 + i, 1, 2, 3, 4], "<u4") for i in range(30)]
     rests = [r for i in range(30) for r in (topic[i], *[np.arange(2000 + 20 * i + 5 * j, 2005 + 20 * i + 5 * j).astype("<u4") for j in range(4)])]
@@ -72,7 +76,7 @@ def test_op9_secrets_in_any_case_quoted_or_not(spark):
     text = f"Password: {secret[0]}\nDB_PASSWORD = {secret[1]}\nPWD='{secret[2]}'\nAPI_KEY=\"{secret[3]}\"\ntoken={secret[4]} x\nTOKEN = \"{secret[5]}\"\n{{\"secret\": {secret[6]}}}\n{secret[7]}; {secret[8]}; {secret[9]}."
     plain = "token = next_token_in_line(x), the password was changed, 1234 5678 9012 3456"
     docs = spark.createDataFrame([(1, text), (2, plain)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.surrogates(docs).collect()}
+    got = {r.doc_id: r for r in pii.surrogates(docs, "k").collect()}
     assert got[2].text == plain and got[1].n_entities == len(secret) and not any(s in got[1].text for s in secret)
     for a, b in zip(text.split("\n"), got[1].text.split("\n")):
         assert len(a) == len(b)
@@ -95,3 +99,174 @@ def test_op4_judges_licence_files_as_a_whole(spark):
     got = {r.path: r.license for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     for d, want in (("m", "MIT"), ("b3", "BSD-3-Clause"), ("b2", "BSD-2-Clause"), ("a", "Apache-2.0"), ("p", None)):
         assert {v for k, v in got.items() if k.startswith(d + "/")} == {want}, d
+
+
+def test_op5_ranks_as_plain_bm25():
+    rng = random.Random(8)
+    rests = [np.array([rng.randrange(12) if rng.random() < 0.6 else rng.randrange(12, 300) for _ in range(rng.randrange(1, 60))], "<u4") for _ in range(120)]
+    n, mean = len(rests), sum(map(len, rests)) / len(rests)
+    df = {t: sum(t in r for r in rests) for r in rests for t in r.tolist()}
+
+    def score(q, d):
+        own = rests[d].tolist()
+        return sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * own.count(t) * 2.2 / (own.count(t) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for t in set(rests[q].tolist()) if df[t] > 1)
+
+    index, unused = packing.Index(rests), np.ones(n, bool)
+    for seed in (0, 7, 31, 64, 90):
+        unused[seed] = False
+        want = {d: score(seed, d) for d in range(n) if unused[d]}
+        got = list(index.neighbours(seed, unused))
+        assert set(got) == {d for d, x in want.items() if x > 0}
+        found = [want[d] for d in got]
+        assert all(a >= b - 1e-4 for a, b in zip(found, found[1:]))
+        unused[got[:15]] = False
+
+
+def test_op8_finds_pairs_just_above_the_limit(spark):
+    rng = random.Random(4)
+    rows, pairs = [], 0
+    while pairs < 600:
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(rng.randrange(130, 260)))
+        at = sorted(rng.sample(range(len(x)), 2))
+        y = list(x)
+        for i in at:
+            y[i] = "Q"
+        x, y = line_dedup.normalised(x), line_dedup.normalised("".join(y))
+        p, q = ({s[i : i + 7] for i in range(len(s) - 6)} for s in (x, y))
+        if 85 <= 100 * len(p & q) / len(p | q) < 90:
+            rows += [(2 * pairs, x), (2 * pairs + 1, y)]
+            pairs += 1
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    # A pair of similarity 0.85 is missed once in a thousand.
+    assert got.where("n_removed = 1").count() >= 597
+
+
+def test_hot_keys_meet_at_pivots(spark):
+    rows = [(i, [7, 1000 + i % 3, 5000 + i]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, keys array<long>").repartition(3)
+    got = graph.shared_keys(df, "keys", []).collect()
+    assert {(r.key, r.id) for r in got} == {(k, i) for i, ks in rows for k in ks[:2]}
+    links = spark.createDataFrame([(r.id, r.pivot) for r in got if r.id != r.pivot], "a long, b long")
+    assert {(r.node, r.comp) for r in graph.connected_components(links).collect()} == {(i, 0) for i in range(500)}
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 999), (None, 5), (7, 7)]
+    got = {r.node: r.comp for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {i: 0 for i in range(301)} | {999: 999, 1000: 999}
+
+
+def test_op9_names_addresses_and_full_formats(spark):
+    text = "Mr. Weber said Mr. Weber’s and Mr. Weber's car; Anna Weber, Ms. Anna; Mr. O'Brien; 2001:db8::8a2e:370:7334 and fe80::1, not 12:30:45 or a::b"
+    rows = [(1, text), (2, "password=" + "p" * 10_000 + " x"), (3, "y" * 200 + "@" + "d" * 80 + ".example.org")]
+    got = {r.doc_id: r.text for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    names = got[1].split(";")
+    one, two, three = (names[0].split("Mr. ")[i].split()[0] for i in (1, 2, 3))
+    assert two == one + "’s" and three == one + "'s" and one != "Weber"
+    assert names[1].split()[1].rstrip(",") == one and names[1].split()[0] == names[1].split()[-1] != "Anna"
+    assert "O'Brien" not in got[1] and "8a2e" not in got[1] and "fe80::1 " not in got[1] and got[1].endswith("not 12:30:45 or a::b")
+    assert "ppp" not in got[2] and len(got[2]) == len(rows[1][1]) and "yyy" not in got[3] and "ddd" not in got[3]
+    # More than half of all passwords of four digits.
+    many = spark.createDataFrame([(i, f"password={i:04d}") for i in range(6000)], "doc_id long, text string")
+    out = [r.text for r in pii.surrogates(many, "k").collect()]
+    assert len(set(out)) == 6000 and not set(out) & {f"password={i:04d}" for i in range(6000)}
+
+
+def test_op7_keeps_columns_of_the_same_name_and_learns_every_language(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice(chr(97 + j % 26) + chr(97 + j // 26) + "aeiou") for _ in range(6)) for _ in range(30)), f"l{j}", 0.25) for i in range(2400) for j in [i % 240]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    model = lang_id.fit(df, per_lang=6)
+    assert sum(map(len, model.members)) == 240
+    got = lang_id.predict(df.limit(50), model, ("lang_pred", "own_score"))
+    assert got.columns == [*df.columns, "lang_pred", "own_score"] and got.where("score = 0.25").count() == 50
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, n_lines long, n_removed long, n_entities long, row string, flags string, entities string"
+STAGES = [lang_id.stage_language_id, line_dedup.stage_line_dedup, ngram_join.stage_one_per_component, pii.stage_pii]
+
+
+@pytest.mark.parametrize("stage", STAGES, ids=lambda f: f.__name__)
+def test_stages_keep_every_column_and_take_empty_tables(spark, stage):
+    rest = ("x", 0.5, 7, 8, 9, "r", "f", "e")
+    words = ["the house of the old man and the sea", "der alte Mann und das Meer mit dem Haus", None, ""]
+    rows = [(i, words[i % 4] and f"{words[i % 4]} {'abcdefgh'[i % 8]} number {i} " + "zq" * (i % 5), ("en", "de", "en", "de")[i % 4], "s", 3, *rest) for i in range(40)]
+    rows += [rows[0], rows[0], (None, "the house by the sea of the man", "en", "s", 3, *rest)]
+    docs = spark.createDataFrame(rows, CLASH)
+    got = stage(spark, docs, "")
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    found = got.collect()
+    assert found and {tuple(r)[5:] for r in found} == {rest}
+    assert stage(spark, docs.limit(0), "").count() == 0
+    assert stage(spark, docs.where("text is null"), "").count() >= 0
+
+
+def test_packing_stage_takes_nulls_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, None), (1, ""), (None, "a b"), (1, None)], "doc_id long, text string")
+    assert packing.stage_packing(spark, docs, "").groupBy("doc_id").sum("length").count() == 2
+    assert packing.stage_packing(spark, docs.limit(0), "").count() == 0
+
+
+def test_op6_takes_linear_time():
+    import time
+
+    for page in ("<a " * 300_000, "<div>" * 200_000, "<div><i>x" * 100_000, "<script>" + "</script " * 100_000, '<a "' * 250_000, "<i>x" * 200_000):
+        start = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - start < 10
+
+
+def quality_line(line):
+    return " ".join(line.lower().split())
+
+
+def test_op2_removes_common_lines_and_rejects_depleted_documents(spark):
+    rng = random.Random(6)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) + str(i) for i in range(n))
+    menu, foot = "Home  About us\tContact", "all rights of this house are kept by the house " * 6
+    rows = [(i, f"{menu}\n{own(70)}\n\nhome about us contact \n{own(10)}", "a") for i in range(30)]
+    rows += [(100 + i, f"{foot}\n{own(30)}", "a") for i in range(15)] + [(200, f"{menu}\n{own(60)}", "b"), (201, f"{menu}\n{own(60)}", None), (202, None, "a"), (203, "", "a"), (0, rows[0][1], "a")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string, row string")
+    want, limit = {}, {}
+    for host in {h for _, _, h in rows}:
+        mine = {(i, t) for i, t, h in rows if h == host}
+        for line in {quality_line(x) for _, t in mine for x in (t or "").split("\n")} - {""}:
+            n = sum(line in {quality_line(x) for x in (t or "").split("\n")} for _, t in mine)
+            limit[host, line] = n > 10 and 1000 * n > 5 * len(mine)
+    for i, t, h in rows:
+        lines, w = (t or "").split("\n"), (t or "").split()
+        lost = sum(len(x.split()) for x in lines if limit.get((h, quality_line(x))))
+        grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        covered = {j + k for j, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+        kept = len(w) >= 50 and 100 * len(covered) <= 50 * len(w) and 100 * lost <= 50 * len(w)
+        want[i] = (lost, kept, "\n".join(x for x in lines if not limit.get((h, quality_line(x)))) if kept else None)
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in quality.quality(docs).collect()}
+    assert got == {i: x[:2] for i, x in want.items()}
+    clean = quality.filtered(docs)
+    assert clean.columns == docs.columns and {(r.doc_id, r.text) for r in clean.collect()} == {(i, x[2]) for i, x in want.items() if x[1]}
+    # All fates occur: lines lost, depleted, left alone.
+    assert any(x[0] and x[1] for x in want.values()) and any(x[0] and not x[1] for x in want.values()) and want[200][1] and not want[200][0]
+    assert clean.where("doc_id = 0").count() == 2 and quality.filtered(docs.limit(0)).count() == 0
+
+
+def test_op1_takes_unigram_scores(tmp_path):
+    """A model whose scores are log-probabilities, written by hand: the best list is that of the library."""
+    spec = pb.ModelProto()
+    with open(sentencepiece_nbest.public_model(), "rb") as f:
+        spec.ParseFromString(f.read())
+    del spec.pieces[:]
+    for name, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3)]:
+        spec.pieces.add(piece=name, score=0.0, type=kind)
+    rng = random.Random(1)
+    for name in ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "▁b", "cab"]:
+        spec.pieces.add(piece=name, score=math.log(rng.uniform(0.01, 0.2)), type=1)
+    spec.trainer_spec.model_type, spec.trainer_spec.byte_fallback = 1, False
+    spec.trainer_spec.vocab_size = len(spec.pieces)
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(spec.SerializeToString())
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_nbest.model(path)
+    for text in ("abcab", "abc abc", "cabcab bca", "b"):
+        found = own.encode([text], 6)[0]
+        assert found[0][1].tolist() == library.encode(text)
+        assert {tuple(i.tolist()) for _, i in found[:4]} <= {tuple(x) for x in library.nbest_encode_as_ids(text, 8)}
