@@ -1,13 +1,12 @@
 """Closures over class hierarchies: supertypes, superclass chains, and the ordered searches of field and method resolution.
 
-A hierarchy of up to LOCAL_EDGES edges, which is counted first, is sent to the tasks as integer arrays, and each start is walked once in
-one pass over the starts. A larger one is walked level by level with joins, for all starts at once; both ways give the same rows.
+A hierarchy of up to LOCAL_EDGES edges, which is counted first, is sent to the tasks as arrays (`hierarchy`), and searched there for many
+starts at once. A larger one is walked level by level with joins, for all starts at once; both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -16,12 +15,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flags import OBJECT, is_object_method
+from ..functions.flags import INTERFACE, OBJECT, has, is_object_method
 from ..plans.scratch import drop, settle
+from .hierarchy import Hierarchy, Packed, flat, pack, resolve
 
-# About 100 bytes an edge on the driver and in each Python worker.
-LOCAL_EDGES = 1_000_000
+# About 30 bytes an edge on the driver and in each Python worker, and 150 in the task that makes the arrays.
+LOCAL_EDGES = 6_000_000
 EDGES = ["class_name", "super_name", "interfaces"]
+# Keys of members are dealt by their hash over so many groups.
+GROUPS = 256
 
 
 def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -35,112 +37,55 @@ def super_edges(classes: DataFrame) -> DataFrame:
     return ups.where(F.col("up").isNotNull() & (F.col("up") != OBJECT))
 
 
-@dataclass
-class Hierarchy:
-    """Classes by number: those of scope come first. ups: interfaces in order, then the superclass, from at[i] to at[i + 1]."""
-
-    names: list[str]
-    supers: np.ndarray
-    at: np.ndarray
-    ups: np.ndarray
-    faces: np.ndarray  # how many of the ups are interfaces
-    code: dict[str, int] = field(default_factory=dict)
-    shared: Broadcast | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"code": {}, "shared": None}
-
-    def number(self, name: str) -> int:
-        if not self.code:
-            self.code = {n: i for i, n in enumerate(self.names)}
-        return self.code.get(name, -1)
-
-    def known(self, c: int) -> bool:
-        return c < len(self.supers)
-
-    def interfaces(self, c: int) -> list[int]:
-        return self.ups[self.at[c] : self.at[c] + self.faces[c]].tolist()
-
-    def above(self, c: int) -> list[int]:
-        return self.ups[self.at[c] : self.at[c + 1]].tolist()
-
-    def closure(self, start: int) -> Iterator[tuple[int, int]]:
-        """(class, place), the start included; what is out of scope is visited, not expanded."""
-        seen, todo = {start}, [start]
-        for n, c in enumerate(todo):
-            yield c, n
-            if self.known(c):
-                for up in self.above(c):
-                    if up not in seen:
-                        seen.add(up)
-                        todo.append(up)
-
-    def chain(self, start: int) -> Iterator[tuple[int, int]]:
-        """(class, depth) up the superclasses, until the scope or a cycle ends."""
-        seen, c = set(), start
-        while c >= 0 and c not in seen:
-            yield c, len(seen)
-            seen.add(c)
-            c = int(self.supers[c]) if self.known(c) else -1
+class Local:
+    """A hierarchy that the tasks read; tall: it has heights."""
 
-    def preorder(self, starts: list[int], step: Callable[[int], list[int]]) -> Iterator[int]:
-        """Depth first over `step`, each class at its first visit."""
-        seen, stack = set(), starts[::-1]
-        while stack:
-            c = stack.pop()
-            if c not in seen:
-                seen.add(c)
-                yield c
-                if self.known(c):
-                    stack += step(c)[::-1]
+    def __init__(self, packed: Packed, shared: Broadcast):
+        self.shared, self.tall = shared, packed.tall
 
 
-def local_hierarchy(classes: DataFrame, most: int) -> Hierarchy | None:
+def local_hierarchy(classes: DataFrame, most: int) -> Local | None:
     """The hierarchy as arrays, or None if it has more than `most` edges. Made once for a DataFrame."""
     if getattr(classes, "_hierarchy", (None,))[0] != most:
-        classes._hierarchy = (most, _hierarchy(classes.select(*EDGES), most))
+        classes._hierarchy = (most, _hierarchy(classes, most))
     return classes._hierarchy[1]
 
 
-def _hierarchy(rows: DataFrame, most: int) -> Hierarchy | None:
-    size = rows.agg(F.sum(F.lit(1) + F.coalesce(F.size("interfaces"), F.lit(0))).alias("n")).first()["n"]
+def _hierarchy(rows: DataFrame, most: int) -> Local | None:
+    if most <= 0:
+        return None
+    own = F.filter(F.coalesce("interfaces", F.array().cast("array<string>")), lambda f: f.isNotNull() & (f != OBJECT))
+    face = [has("access", INTERFACE).alias("face")] if "access" in rows.columns else []
+    rows = settle(rows.where("class_name is not null").select("class_name", *face, F.when(F.col("super_name") != OBJECT, F.col("super_name")).alias("super_name"), own.alias("interfaces")))
+    size = rows.agg(F.sum(F.lit(1) + F.size("interfaces")).alias("n")).first()["n"]
     if (size or 0) > most:
+        drop(rows)
         return None
-    got = rows.toArrow().to_pydict()
-    first: dict[str, int] = {}
-    for i, c in enumerate(got["class_name"]):
-        first.setdefault(c, i)
-    names = list(first)
-    code = {n: i for i, n in enumerate(names)}
-
-    def number(name: str) -> int:
-        if name not in code:
-            code[name] = len(names)
-            names.append(name)
-        return code[name]
-
-    supers, at, ups, faces = [], [0], [], []
-    for i in list(first.values()):
-        sup, own = got["super_name"][i], [f for f in got["interfaces"][i] or [] if f is not None and f != OBJECT]
-        own = [number(f) for f in own]
-        supers.append(number(sup) if sup is not None and sup != OBJECT else -1)
-        faces.append(len(own))
-        ups += own + [supers[-1]] * (supers[-1] >= 0)
-        at.append(len(ups))
-    return Hierarchy(names, np.array(supers, np.int64), np.array(at, np.int64), np.array(ups, np.int64), np.array(faces, np.int64))
-
-
-def _walked(starts: DataFrame, h: Hierarchy, visit: Callable[[Hierarchy, int], Iterator[tuple]], columns: str) -> DataFrame:
-    """starts (class_name) -> (start, class_name, columns..., in_scope); visit yields (class, *columns)."""
-    if h.shared is None:
-        h.shared = starts.sparkSession.sparkContext.broadcast(h)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, part in enumerate(pack(Hierarchy.of(pa.Table.from_batches(batches, kinds)))):
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([part], pa.binary())], names=["i", "part"])
+
+    kinds = pa.schema([("class_name", pa.string()), ("super_name", pa.string()), ("interfaces", pa.list_(pa.string())), *([("face", pa.bool_())] if face else [])])
+    # One task makes the arrays of a hierarchy that is small enough for every task.
+    parts = settle(rows.select(*kinds.names).repartition(1).mapInArrow(make, "i int, part binary"))
+    got = [bytes(r["part"]) for r in sorted(parts.toLocalIterator(), key=lambda r: r["i"])]
+    # Of a table without rows there may be no task.
+    packed = Packed(got or list(pack(Hierarchy.of(kinds.empty_table()))))
+    drop(rows)
+    drop(parts)
+    return Local(packed, rows.sparkSession.sparkContext.broadcast(packed))
+
+
+def _walked(starts: DataFrame, h: Local, visit: Callable[[Hierarchy, int], Iterator[tuple]], columns: str) -> DataFrame:
+    """starts (class_name) -> (start, class_name, columns..., in_scope), one start at a time; visit yields (class, *columns)."""
     shared = h.shared
     names = [c.split()[0] for c in columns.split(", ")] if columns else []
     kinds = {"int": pa.int32(), "array<int>": pa.list_(pa.int32())}
     types = [kinds[c.split()[1]] for c in columns.split(", ")] if columns else []
+    alone = Hierarchy(pa.array(["?"]), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        tree = shared.value.tree()
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows)) or [()] * (3 + len(names))
@@ -148,13 +93,12 @@ def _walked(starts: DataFrame, h: Hierarchy, visit: Callable[[Hierarchy, int], I
 
         for b in batches:
             rows: list[tuple] = []
-            for name in b.column(0).to_pylist():
-                c = tree.number(name)
+            for name, c in zip(b.column(0).to_pylist(), tree.codes(b.column(0)).tolist()):
                 if c < 0:
                     # A class that nothing names: it stands alone, out of scope.
-                    rows += [(name, name, *x[1:], False) for x in visit(Hierarchy([name], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0)]
+                    rows += [(name, name, *x[1:], False) for x in visit(alone, 0)]
                 else:
-                    rows += [(name, tree.names[x[0]], *x[1:], tree.known(x[0])) for x in visit(tree, c)]
+                    rows += [(name, tree.names[x[0]].as_py(), *x[1:], tree.known(x[0])) for x in visit(tree, c)]
                 if len(rows) > 50_000:
                     yield batch(rows)
                     rows = []
@@ -164,6 +108,46 @@ def _walked(starts: DataFrame, h: Hierarchy, visit: Callable[[Hierarchy, int], I
     return starts.select("class_name").distinct().mapInArrow(make, schema)
 
 
+def _place(tree: Hierarchy, start: pa.Array, row: np.ndarray, c: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    """Rows of (start, class_name, more..., in_scope); a class -1 is the start itself, which nothing names."""
+    begin = start.take(pa.array(row))
+    named = begin if not len(tree.names) else pa.compute.coalesce(tree.names.take(pa.array(c, mask=c < 0)), begin)
+    return pa.record_batch([begin, named, *[pa.array(x.astype(np.int32)) for x in more.values()], pa.array((c >= 0) & (c < len(tree.supers)))], names=["start", "class_name", *more, "in_scope"])
+
+
+def _closures(starts: DataFrame, h: Local) -> DataFrame:
+    shared = h.shared
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value.tree()
+        n = max(len(tree.names), 1)
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                start = flat(b.column(0).slice(at, 1000)).cast(pa.string())
+                c = tree.codes(start)
+                yield _place(tree, start, np.flatnonzero(c < 0), c[c < 0])
+                for met in tree.reach((np.arange(len(c)) * n + c)[c >= 0]):
+                    yield _place(tree, start, met // n, met % n)
+
+    return starts.select("class_name").distinct().mapInArrow(make, "start string, class_name string, in_scope boolean")
+
+
+def _chains(starts: DataFrame, h: Local) -> DataFrame:
+    shared = h.shared
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value.tree()
+        for b in batches:
+            start = flat(b.column(0)).cast(pa.string())
+            c, row, depth = tree.codes(start), np.arange(len(start)), 0
+            while len(row):
+                yield _place(tree, start, row, c, depth=np.full(len(row), depth))
+                up = tree.above_of(c)
+                row, c, depth = row[up >= 0], up[up >= 0], depth + 1
+
+    return starts.select("class_name").distinct().mapInArrow(make, "start string, class_name string, depth int, in_scope boolean")
+
+
 def _in_scope(rows: DataFrame, classes: DataFrame) -> DataFrame:
     known = classes.select(F.col("class_name").alias("k")).distinct()
     return rows.join(known, F.col("class_name") == F.col("k"), "left").withColumn("in_scope", F.col("k").isNotNull()).drop("k")
@@ -172,7 +156,7 @@ def _in_scope(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def supertype_closure(classes: DataFrame, starts: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """starts (class_name) -> (start, class_name, in_scope): every supertype but Object; types out of scope are visited, not expanded."""
     if (h := local_hierarchy(classes, most)) is not None:
-        return _walked(starts, h, lambda tree, c: ((x,) for x, _ in tree.closure(c)), "")
+        return _closures(starts, h) if h.tall else _walked(starts, h, lambda tree, c: ((x,) for x in _closure(tree, c)), "")
     edges = super_edges(classes).select(F.col("class_name").alias("from"), "up").distinct()
     frontier = settle(starts.select(F.col("class_name").alias("start"), "class_name").distinct())
     seen = frontier
@@ -186,7 +170,7 @@ def supertype_closure(classes: DataFrame, starts: DataFrame, most: int = LOCAL_E
 def super_chain(classes: DataFrame, starts: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """(start, class_name, depth, in_scope): the superclass chain without Object; ends where it leaves the scope or repeats."""
     if (h := local_hierarchy(classes, most)) is not None:
-        return _walked(starts, h, lambda tree, c: tree.chain(c), "depth int")
+        return _chains(starts, h) if h.tall else _walked(starts, h, lambda tree, c: tree.chain(c), "depth int")
     supers = classes.select(F.col("class_name").alias("from"), F.col("super_name").alias("up"))
     frontier = settle(starts.select(F.col("class_name").alias("start"), "class_name", F.lit(0).alias("depth"), F.array("class_name").alias("path")).distinct())
     levels = [frontier]
@@ -221,9 +205,26 @@ def _keys(wanted: DataFrame) -> DataFrame:
     return wanted.select("owner", "name", "descriptor").distinct()
 
 
+def _closure(tree: Hierarchy, start: int) -> Iterator[int]:
+    """The start and all above it; what is out of scope is visited, not expanded."""
+    return iter(np.flatnonzero(tree.reached(np.array([start]))).tolist())
+
+
+def preorder(tree: Hierarchy, starts: list[int], step: Callable[[int], list[int]]) -> Iterator[int]:
+    """Depth first over `step`, each class at its first visit."""
+    seen, stack = set(), starts[::-1]
+    while stack:
+        c = stack.pop()
+        if c not in seen:
+            seen.add(c)
+            yield c
+            if tree.known(c):
+                stack += step(c)[::-1]
+
+
 def _field_places(tree: Hierarchy, start: int) -> Iterator[tuple]:
     """Self, each interface with what is above it, then the superclass; nothing behind the first class out of scope is ever asked."""
-    for n, c in enumerate(tree.preorder([start], tree.above)):
+    for n, c in enumerate(preorder(tree, [start], tree.above)):
         yield c, [n]
         if not tree.known(c):
             return
@@ -237,7 +238,7 @@ def _method_places(tree: Hierarchy, start: int) -> Iterator[tuple]:
         if not tree.known(c):
             return
         tops += tree.interfaces(c)
-    for n, c in enumerate(tree.preorder(tops, tree.interfaces)):
+    for n, c in enumerate(preorder(tree, tops, tree.interfaces)):
         yield c, 2, [n]
 
 
@@ -254,12 +255,29 @@ def method_places(classes: DataFrame, starts: DataFrame, most: int = LOCAL_EDGES
     if (h := local_hierarchy(classes, most)) is not None:
         return _walked(starts, h, _method_places, "phase int, pos array<int>")
     chain = settle(super_chain(classes, starts, most))
-    faces = classes.select("class_name", F.posexplode("interfaces").alias("n", "face"))
+    faces = classes.select("class_name", F.posexplode("interfaces").alias("n", "face")).where(F.col("face").isNotNull() & (F.col("face") != OBJECT))
     tops = chain.join(faces, "class_name").select("start", F.col("face").alias("class_name"), F.array("depth", "n").alias("path"))
-    above = _in_scope(first_paths(classes.select("class_name", F.posexplode("interfaces").alias("ord", "up")), tops), classes)
+    above = _in_scope(first_paths(faces.select("class_name", F.col("n").alias("ord"), F.col("face").alias("up")), tops), classes)
     return chain.select("start", "class_name", F.lit(1).alias("phase"), F.array("depth").alias("pos"), "in_scope").unionByName(above.select("start", "class_name", F.lit(2).alias("phase"), F.col("path").alias("pos"), "in_scope"))
 
 
+def grouped(left: DataFrame, right: DataFrame, make: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Distinct rows of left and all of right meet by the hash of (name, descriptor), a group of keys at a time."""
+    group = F.pmod(F.xxhash64("name", "descriptor"), F.lit(GROUPS)).alias("g")
+    # Dealt by group first, so that the same rows need no second exchange.
+    one = left.select("*", group).repartition("g").distinct()
+    return one.groupBy("g").cogroup(right.select("*", group).groupBy("g")).applyInArrow(make, schema)
+
+
+def _resolved(h: Local, declared: DataFrame, wanted: DataFrame, method: bool) -> DataFrame:
+    shared = h.shared
+
+    def make(left: pa.Table, right: pa.Table) -> pa.Table:
+        return resolve(shared.value.tree(), left, right, method)
+
+    return grouped(wanted.select("owner", "name", "descriptor"), declared.select("class_name", "name", "descriptor", "access"), make, "owner string, name string, descriptor string, status string, at string, access int")
+
+
 def _starts(keys: DataFrame) -> DataFrame:
     return keys.select(F.col("owner").alias("class_name")).where(F.col("class_name") != OBJECT)
 
@@ -270,6 +288,8 @@ def resolve_field(classes: DataFrame, members: DataFrame, wanted: DataFrame, mos
     Depth first: the class itself, each interface with what is above it, then the superclass. The first event decides: the class
     declares the field (found) or is not in scope (unknown).
     """
+    if (h := local_hierarchy(classes, most)) is not None and h.tall:
+        return _resolved(h, members.where("mkind = 'field'"), wanted, False)
     keys, key = _keys(wanted), ["owner", "name", "descriptor"]
     places = field_places(classes, _starts(keys), most).withColumnRenamed("start", "owner")
     declared = members.where("mkind = 'field'").groupBy("class_name", "name", "descriptor").agg(F.min("access").alias("access"))
@@ -286,6 +306,8 @@ def resolve_method(classes: DataFrame, members: DataFrame, wanted: DataFrame, mo
     Constructors: the owner alone. Then the superclass chain: the first declaration is found, leaving the scope is unknown, Object has its
     own methods. Then the interfaces of the chain, in its order, depth first; unknown only if nothing is found and a branch left the scope.
     """
+    if (h := local_hierarchy(classes, most)) is not None and h.tall:
+        return _resolved(h, members.where("mkind = 'method'"), wanted, True)
     keys, key = _keys(wanted), ["owner", "name", "descriptor"]
     ctor = F.col("name").isin("<init>", "<clinit>")
     places = method_places(classes, _starts(keys), most).withColumnRenamed("start", "owner")
@@ -311,17 +333,91 @@ def _three_valued(pairs: DataFrame, up: DataFrame) -> DataFrame:
     return out.select("sub", "sup", F.when(F.col("hit") | (F.col("sup") == OBJECT), "yes").when(F.col("out"), "unknown").otherwise("no").alias("status"))
 
 
+def _pairs(pairs: DataFrame, h: Local, chain: bool) -> DataFrame:
+    shared = h.shared
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value.tree()
+        n = max(len(tree.names), 1)
+        for b in batches:
+            sub, sup = (flat(b.column(i)).cast(pa.string()) for i in (0, 1))
+            a, z = tree.codes(sub), tree.codes(sup)
+            hit = pa.compute.equal(sub, sup).fill_null(False).to_numpy(zero_copy_only=False).copy()
+            out = a < 0
+            if chain:
+                row, c = np.flatnonzero(a >= 0), a[a >= 0]
+                while len(row):
+                    hit[row[c == z[row]]] = True
+                    out[row[c >= len(tree.supers)]] = True
+                    up = tree.above_of(c)
+                    row, c = row[up >= 0], up[up >= 0]
+            else:
+                out[a >= 0] = tree.out[a[a >= 0]]
+                # A class is above another only if it is less high.
+                go = np.flatnonzero((a >= 0) & (z >= 0) & ~hit)
+                low = lambda s: tree.height[s % n] <= tree.height[z[s // n]]  # noqa: E731, B023
+                for at in range(0, len(go), 1000):
+                    x = go[at : at + 1000]
+                    for met in tree.reach(x * n + a[x], low):
+                        hit[(met // n)[met % n == z[met // n]]] = True
+            status = np.where(hit, "yes", np.where(out, "unknown", "no"))
+            yield pa.record_batch([sub, sup, pa.array(status.tolist(), pa.string())], names=["sub", "sup", "status"])
+
+    return pairs.mapInArrow(make, "sub string, sup string, status string")
+
+
+def _related(classes: DataFrame, pairs: DataFrame, most: int, chain: bool) -> DataFrame:
+    pairs = pairs.select("sub", "sup").where("sub is not null").distinct()
+    # Everything is below Object, which needs no search.
+    top, rest = pairs.where(F.col("sup") == OBJECT).withColumn("status", F.lit("yes")), pairs.where(~F.col("sup").eqNullSafe(OBJECT))
+    if (h := local_hierarchy(classes, most)) is not None and h.tall:
+        return _pairs(rest, h, chain).unionByName(top)
+    starts = rest.select(F.col("sub").alias("class_name"))
+    return _three_valued(rest, super_chain(classes, starts, most) if chain else supertype_closure(classes, starts, most)).unionByName(top)
+
+
 def assignable(classes: DataFrame, pairs: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """pairs (sub, sup) -> status yes/no/unknown: is sup a supertype of sub (or the same)? A branch that leaves the scope makes a miss unknown.
 
     Where two tables know a class, `prefer` says whose edges count.
     """
-    return _three_valued(pairs, supertype_closure(classes, pairs.select(F.col("sub").alias("class_name")), most))
+    return _related(classes, pairs, most, False)
 
 
 def subclass(classes: DataFrame, pairs: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """As assignable, over the superclass chain only."""
-    return _three_valued(pairs, super_chain(classes, pairs.select(F.col("sub").alias("class_name")), most))
+    return _related(classes, pairs, most, True)
+
+
+def reached(classes: DataFrame, starts: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
+    """starts (class_name) -> (class_name): they and all that is above any of them, without what is above which."""
+    return _set(classes, starts, most, "reached")
+
+
+def reaching(classes: DataFrame, ends: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
+    """ends (class_name) -> (class_name): they and all classes below any of them."""
+    return _set(classes, ends, most, "reaching")
+
+
+def _set(classes: DataFrame, starts: DataFrame, most: int, way: str) -> DataFrame:
+    starts = starts.select("class_name").where("class_name is not null").distinct()
+    if (h := local_hierarchy(classes, most)) is None:
+        src, dst = ("class_name", "up") if way == "reached" else ("up", "class_name")
+        return reachable(super_edges(classes).select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), starts, most=0)
+    shared = h.shared
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, codes = shared.value.tree(), []
+        for b in batches:
+            c = tree.codes(b.column(0))
+            codes.append(c[c >= 0])
+            yield pa.record_batch([flat(b.column(0)).cast(pa.string()).filter(pa.array(c < 0))], names=["class_name"])
+        met = np.flatnonzero(getattr(tree, way)(np.concatenate([np.zeros(0, np.int64), *codes])))
+        for at in range(0, len(met), 100_000):
+            yield pa.record_batch([tree.names.take(pa.array(met[at : at + 100_000]))], names=["class_name"])
+
+    # One search over all starts; there are no more classes than the hierarchy holds, but for those that it does not name.
+    return starts.repartition(1).mapInArrow(make, "class_name string")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
