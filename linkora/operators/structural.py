@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import ABSTRACT, BRIDGE, ENUM, FINAL, INTERFACE, OBJECT, PRIVATE, PUBLIC, STATIC, SYNTHETIC, has, is_object_method
 from ..plans.scratch import settle
-from .closure import assignable, prefer, super_chain, supertype_closure
+from .closure import LOCAL_EDGES, assignable, grouped, local_hierarchy, prefer, super_chain, supertype_closure
 from .diff import both_classes
+from .hierarchy import evidence, selected
 
 MADE = BRIDGE | SYNTHETIC
 
@@ -91,29 +92,32 @@ def newly_default(old: DataFrame, new: DataFrame, old_members: DataFrame, new_me
     return out.where(F.col("o").isNull() | has("o", ABSTRACT)).select(*key)
 
 
-def maximally_specific(classes: DataFrame, declaring: DataFrame) -> DataFrame:
+def maximally_specific(classes: DataFrame, declaring: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """declaring (start, name, descriptor, class_name): those that no other declaring interface of the same start inherits from."""
-    up = supertype_closure(classes, declaring.select("class_name")).where("start <> class_name").select(F.col("start").alias("below"), "class_name")
+    up = supertype_closure(classes, declaring.select("class_name"), most).where("start <> class_name").select(F.col("start").alias("below"), "class_name")
     other = declaring.select("start", "name", "descriptor", F.col("class_name").alias("below"))
     hidden = declaring.join(up, "class_name").join(other, ["start", "name", "descriptor", "below"]).select("start", "name", "descriptor", "class_name")
     return declaring.join(hidden, ["start", "name", "descriptor", "class_name"], "left_anti")
 
 
-def implementation_status(classes: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
+def implementation_status(classes: DataFrame, members: DataFrame, keys: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """keys (start, name, descriptor) -> status concrete/abstract_only/conflict/absent/unknown of what the start class selects."""
     key = ["start", "name", "descriptor"]
+    instance = members.where((F.col("mkind") == "method") & ~has("access", STATIC) & ~has("access", PRIVATE)).select("class_name", "name", "descriptor", has("access", ABSTRACT).alias("abstract"))
+    if (h := local_hierarchy(classes, most)) is not None and h.tall:
+        shared = h.shared
+        return grouped(keys.select(*key), instance, lambda a, b: selected(shared.value.tree(), a, b), "start string, name string, descriptor string, status string")
     keys = settle(keys.select(*key).distinct())
     starts = keys.select(F.col("start").alias("class_name")).distinct()
-    instance = members.where((F.col("mkind") == "method") & ~has("access", STATIC) & ~has("access", PRIVATE)).select("class_name", "name", "descriptor", has("access", ABSTRACT).alias("abstract"))
-    chain = super_chain(classes, starts)
+    chain = super_chain(classes, starts, most)
     hits = keys.join(chain, "start").join(instance, ["class_name", "name", "descriptor"], "left").where(F.col("abstract").isNotNull() | ~F.col("in_scope"))
     one = hits.groupBy(*key).agg(F.min(F.struct("depth", F.coalesce("abstract", F.lit(False)).alias("abs"), "in_scope")).alias("e"))
     first = one.select(*key, F.when(~F.col("e.in_scope"), "unknown").when(F.col("e.abs"), "abstract_only").otherwise("concrete").alias("first"))
     faces = classes.where(has("access", INTERFACE)).select("class_name", F.lit(True).alias("face"))
-    closure = supertype_closure(classes, starts)
+    closure = supertype_closure(classes, starts, most)
     seen = settle(keys.join(closure.where("start <> class_name").join(faces, "class_name", "left").where("face or not in_scope"), "start").join(instance, ["class_name", "name", "descriptor"], "left"))
     two = seen.groupBy(*key).agg(F.bool_or(~F.col("in_scope")).alias("out"), F.bool_or(F.col("abstract")).alias("abs"), F.bool_or(~F.col("abstract")).alias("con"))
-    top = maximally_specific(classes, seen.where("abstract = false").select(*key, "class_name")).groupBy(*key).agg(F.count("*").alias("tops"))
+    top = maximally_specific(classes, seen.where("abstract = false").select(*key, "class_name"), most).groupBy(*key).agg(F.count("*").alias("tops"))
     out = keys.join(first, key, "left").join(two, key, "left").join(top, key, "left")
     status = (
         F.when(F.col("first").isNotNull(), F.col("first"))
@@ -147,14 +151,14 @@ def _escapes(closure: DataFrame) -> DataFrame:
     return closure.groupBy("start").agg(F.bool_or(out & ~java).alias("other"), F.bool_or(out & java).alias("platform"))
 
 
-def on_dispatch_chain(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def on_dispatch_chain(classes: DataFrame, pairs: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """pairs (class_name, owner): those where a call on owner may run on an instance of class_name: the same, a supertype or a subtype.
 
     A walk that leaves the scope may hide the other name, so it counts as related; but what is above a type of java/ is of java/ too,
     so leaving through java/ alone hides only names of java/.
     """
     pairs = settle(pairs.select("class_name", "owner").distinct())
-    up = supertype_closure(classes, pairs.select("class_name").union(pairs.select("owner"))).withColumnRenamed("class_name", "up")
+    up = supertype_closure(classes, pairs.select("class_name").union(pairs.select("owner")), most).withColumnRenamed("class_name", "up")
     esc = _escapes(up.withColumnRenamed("up", "class_name"))
     side = lambda name, s: esc.select(F.col("start").alias(name), F.col("other").alias(f"{s}_other"), F.col("platform").alias(f"{s}_platform"))
     out = pairs.join(side("class_name", "c"), "class_name").join(side("owner", "o"), "owner")
@@ -165,12 +169,20 @@ def on_dispatch_chain(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.where(F.coalesce("above", "below", F.lit(False)) | hides("c", "owner") | hides("o", "class_name")).select("class_name", "owner")
 
 
-def invocation_evidence(breaks: DataFrame, invocations: DataFrame, classes: DataFrame) -> DataFrame:
-    """breaks (class_name, name, descriptor, ...) -> invocation_found: is the method called on an owner that is on the class's dispatch chain?"""
+def invocation_evidence(breaks: DataFrame, invocations: DataFrame, classes: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
+    """breaks (class_name, name, descriptor, ...) -> invocation_found: is the method called on an owner that is on the class's dispatch chain?
+
+    Over a hierarchy that the tasks can read, no pairs of a break and a call are made.
+    """
     key = ["class_name", "name", "descriptor"]
     breaks = settle(breaks)
-    calls = breaks.select(*key).distinct().join(invocations.select("owner", "name", "descriptor").distinct(), ["name", "descriptor"])
-    found = calls.join(on_dispatch_chain(classes, calls), ["class_name", "owner"], "left_semi").select(*key).distinct().withColumn("f", F.lit(True))
+    if (h := local_hierarchy(classes, most)) is not None and h.tall:
+        shared = h.shared
+        found = grouped(breaks.select(*key), invocations.select("owner", "name", "descriptor").distinct(), lambda a, b: evidence(shared.value.tree(), a, b), "class_name string, name string, descriptor string")
+    else:
+        calls = breaks.select(*key).distinct().join(invocations.select("owner", "name", "descriptor").distinct(), ["name", "descriptor"])
+        found = calls.join(on_dispatch_chain(classes, calls, most), ["class_name", "owner"], "left_semi").select(*key).distinct()
+    found = found.withColumn("f", F.lit(True))
     return breaks.join(found, key, "left").withColumn("invocation_found", F.coalesce("f", F.lit(False))).drop("f")
 
 

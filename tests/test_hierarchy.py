@@ -83,3 +83,14 @@ def test_closures_and_chains_both_ways(spark, world):
     some = starts.where("class_name like '%5' or class_name like '%Where'")
     for f in (closure.reached, closure.reaching):
         both(lambda most: f(c, some, most))  # noqa: B023
+
+
+def test_evidence_makes_no_pairs(spark, world, monkeypatch):
+    c, _, names = world
+    rng = random.Random(2)
+    breaks = spark.createDataFrame([(x, f"m{rng.randrange(60)}", "()V") for x in names[:-3] for _ in range(3)] + [("g1/c1", None, "()V")], "class_name string, name string, descriptor string")
+    calls = spark.createDataFrame([(rng.choice([*names, "a/B"]), f"m{rng.randrange(60)}", "()V") for _ in range(100)], "owner string, name string, descriptor string")
+    want = sorted(map(tuple, structural.invocation_evidence(breaks, calls, c, most=0).collect()), key=repr)
+    monkeypatch.setattr(structural, "on_dispatch_chain", refuse)
+    got = sorted(map(tuple, structural.invocation_evidence(breaks, calls, c).collect()), key=repr)
+    assert got == want and {r[3] for r in got} == {True, False}
