@@ -94,3 +94,12 @@ def test_evidence_makes_no_pairs(spark, world, monkeypatch):
     monkeypatch.setattr(structural, "on_dispatch_chain", refuse)
     got = sorted(map(tuple, structural.invocation_evidence(breaks, calls, c).collect()), key=repr)
     assert got == want and {r[3] for r in got} == {True, False}
+
+
+def test_implementations_are_judged_without_listing_closures(spark, world, monkeypatch):
+    c, m, names = world
+    keys = spark.createDataFrame([(x, n, "()V") for x in names[:-1] for n in ("m", "k", "notify", "z")], "start string, name string, descriptor string")
+    want = {tuple(r) for r in structural.implementation_status(c, m, keys, most=0).collect()}
+    monkeypatch.setattr(structural, "supertype_closure", refuse)
+    got = {tuple(r) for r in structural.implementation_status(c, m, keys).collect()}
+    assert got == want and {r[3] for r in got} == {"concrete", "abstract_only", "conflict", "absent", "unknown"}
