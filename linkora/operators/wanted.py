@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import OBJECT
 from . import structural
-from .closure import prefer, supertype_closure
+from .closure import prefer, reached, reaching
 
 
 def reference_wanted(refs: DataFrame, old: DataFrame, new: DataFrame, graph: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def reference_wanted(refs: DataFrame, old: DataFrame, new: DataFrame, graph: Dat
     owners = refs.where("name is not null").select(F.col("owner").alias("class_name")).where(F.col("class_name") != OBJECT).distinct()
     met = []
     for library in (new, old):
-        walk = supertype_closure(prefer(library, graph), owners).select("class_name").distinct()
+        walk = reached(prefer(library, graph), owners)
         met.append(walk.join(library.select("class_name"), "class_name", "left_anti"))
     bare = refs.where("name is null").select(F.col("owner").alias("class_name")).distinct().join(new.select("class_name"), "class_name", "left_anti").join(graph.select("class_name"), "class_name", "left_anti")
     return met[0].union(met[1]).union(bare).distinct().join(scanned, "class_name", "left").select("class_name", F.col("scanned").isNull().alias("escape"))
@@ -38,9 +38,9 @@ def final_heirs(old_members: DataFrame, new_members: DataFrame, new: DataFrame,
 def selection_heirs(old: DataFrame, new: DataFrame, old_members: DataFrame, new_members: DataFrame, graph: DataFrame) -> DataFrame:
     """(class_name): scanned classes that inherit a newly abstract or newly default method, and the scanned classes above them."""
     changed = structural.newly_abstract(old, new, old_members, new_members).unionByName(structural.newly_default(old, new, old_members, new_members)).select("class_name").distinct()
-    up = supertype_closure(prefer(new, graph), graph.select("class_name"))
-    heirs = up.join(changed, "class_name", "left_semi").select("start").distinct()
-    return up.join(heirs, "start", "left_semi").select("class_name").distinct().join(graph.select("class_name"), "class_name", "left_semi")
+    edges, scanned = prefer(new, graph), graph.select("class_name")
+    heirs = reaching(edges, changed).join(scanned, "class_name", "left_semi")
+    return reached(edges, heirs).join(scanned, "class_name", "left_semi")
 
 
 def spi_wanted(old_services: DataFrame, new_services: DataFrame, old: DataFrame, new: DataFrame, graph: DataFrame) -> DataFrame:

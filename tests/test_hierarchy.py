@@ -103,3 +103,18 @@ def test_implementations_are_judged_without_listing_closures(spark, world, monke
     monkeypatch.setattr(structural, "supertype_closure", refuse)
     got = {tuple(r) for r in structural.implementation_status(c, m, keys).collect()}
     assert got == want and {r[3] for r in got} == {"concrete", "abstract_only", "conflict", "absent", "unknown"}
+
+
+def test_wanted_classes_need_no_closure_of_each(spark, world, monkeypatch):
+    c, m, names = world
+    lib, graph = c.where("class_name < 'g3'"), c.where("class_name >= 'g2'")
+    refs = spark.createDataFrame([(x, "m" if i % 3 else None) for i, x in enumerate(names)], "owner string, name string")
+
+    def old_way(library):
+        return {r.class_name for r in closure.supertype_closure(closure.prefer(library, graph), refs.where("name is not null and owner <> 'java/lang/Object'").selectExpr("owner as class_name"), most=0).collect()}
+
+    known, scanned = {r.class_name for r in lib.collect()}, {r.class_name for r in graph.collect()}
+    want = (old_way(lib) - known) | {x for i, x in enumerate(names) if i % 3 == 0 and x not in known | scanned}
+    monkeypatch.setattr(closure, "supertype_closure", refuse)
+    got = wanted.reference_wanted(refs, lib, lib, graph).collect()
+    assert {r.class_name: r.escape for r in got} == {x: x not in scanned for x in want}
