@@ -328,6 +328,41 @@ def resolve_method(classes: DataFrame, members: DataFrame, wanted: DataFrame, mo
     return keys.join(events, key, "left").select(*key, status.alias("status"), at.alias("at"), access.alias("access"))
 
 
+def resolve_rows(classes: DataFrame, members: DataFrame, rows: DataFrame, prefix: str, most: int = LOCAL_EDGES) -> DataFrame:
+    """rows (owner, name, descriptor, is_field, ask, ...), each of the first four once -> the same with {prefix}_status, _at, _access as `resolve_field`
+    and `resolve_method` have them, null where not `ask`. The rows travel with their keys, so nothing is joined afterwards.
+    """
+    key, added = ["owner", "name", "descriptor", "is_field"], [f"{prefix}_{c}" for c in ("status", "at", "access")]
+    if (h := local_hierarchy(classes, most)) is None or not h.tall:
+        asked = rows.where("ask").select(*key)
+        got = resolve_method(classes, members, asked.where("not is_field"), most).withColumn("is_field", F.lit(False)).unionByName(resolve_field(classes, members, asked.where("is_field"), most).withColumn("is_field", F.lit(True)))
+        got = got.select(*[F.col(c).alias(f"got_{c}") for c in key], *[F.col(c).alias(f"{prefix}_{c}") for c in ("status", "at", "access")])
+        out = rows.join(got, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"got_{c}")) for c in key]), "left")
+        return out.select(*rows.columns, *[F.when(F.col("ask"), F.col(c)).alias(c) for c in added])
+    shared = h.shared
+
+    def make(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, tree = left.drop_columns(["g"]), shared.value.tree()
+        ask = pa.compute.fill_null(left.column("ask"), False)
+        rest = left.filter(pa.compute.invert(ask))
+        out = [rest]
+        for c, kind in zip(added, (pa.string(), pa.string(), pa.int32())):
+            out[0] = out[0].append_column(c, pa.nulls(len(rest), kind))
+        for field in (False, True):
+            some = left.filter(pa.compute.and_(ask, pa.compute.equal(left.column("is_field"), field)))
+            if len(some):
+                got = resolve(tree, some, right.filter(pa.compute.equal(right.column("is_field"), field)), not field)
+                for c in added:
+                    some = some.append_column(c, got.column(c.removeprefix(f"{prefix}_")))
+                out.append(some)
+        return pa.concat_tables(out)
+
+    group = F.pmod(F.xxhash64("name", "descriptor"), F.lit(GROUPS)).alias("g")
+    declared = members.where("mkind in ('field', 'method')").select("class_name", "name", "descriptor", "access", (F.col("mkind") == "field").alias("is_field"), group)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {added[0]} string, {added[1]} string, {added[2]} int"
+    return rows.select("*", group).groupBy("g").cogroup(declared.groupBy("g")).applyInArrow(make, schema)
+
+
 def _three_valued(pairs: DataFrame, up: DataFrame) -> DataFrame:
     out = pairs.select("sub", "sup").distinct().join(up.withColumnRenamed("start", "sub"), "sub").groupBy("sub", "sup").agg(F.bool_or(F.col("class_name") == F.col("sup")).alias("hit"), F.bool_or(~F.col("in_scope")).alias("out"))
     return out.select("sub", "sup", F.when(F.col("hit") | (F.col("sup") == OBJECT), "yes").when(F.col("out"), "unknown").otherwise("no").alias("status"))
@@ -370,7 +405,9 @@ def _related(classes: DataFrame, pairs: DataFrame, most: int, chain: bool) -> Da
     pairs = pairs.select("sub", "sup").where("sub is not null").distinct()
     # Everything is below Object, which needs no search.
     top, rest = pairs.where(F.col("sup") == OBJECT).withColumn("status", F.lit("yes")), pairs.where(~F.col("sup").eqNullSafe(OBJECT))
-    if (h := local_hierarchy(classes, most)) is not None and h.tall:
+    # The superclasses alone make a smaller hierarchy, if the whole one is not there yet.
+    thin = chain and not hasattr(classes, "_hierarchy")
+    if (h := local_hierarchy(classes.select("class_name", "super_name", F.array().cast("array<string>").alias("interfaces")) if thin else classes, most)) is not None and h.tall:
         return _pairs(rest, h, chain).unionByName(top)
     starts = rest.select(F.col("sub").alias("class_name"))
     return _three_valued(rest, super_chain(classes, starts, most) if chain else supertype_closure(classes, starts, most)).unionByName(top)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flags import ABSTRACT, FINAL, INTERFACE, PRIVATE, PROTECTED, PUBLIC, STATIC, has, package, visibility
+from ..functions.flags import ABSTRACT, FINAL, INTERFACE, STATIC, has, package, visibility
 from ..plans.scratch import settle
-from .closure import prefer, resolve_field, resolve_method, subclass
+from .closure import prefer, resolve_rows, subclass
 from .scopes import nest_host
 
 REF = ["kind", "owner", "name", "descriptor", "expected_static", "field_write", "instantiated"]
@@ -17,93 +19,105 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(False))
 
 
-def accessible(rows: DataFrame, access: str, holder: str, scope: DataFrame, graph: DataFrame) -> DataFrame:
-    """rows (source_class, ...) with can yes/no/unknown: may source_class use what `holder` declares with `access`?"""
-    hosts = nest_host(rows.select(F.col("source_class").alias("class_name")).union(rows.select(F.col(holder).alias("class_name"))).where("class_name is not null"), graph, scope)
-    protected = rows.where(has(access, PROTECTED) & ~has(access, PUBLIC)).select(F.col("source_class").alias("sub"), F.col(holder).alias("sup")).distinct()
-    known = subclass(prefer(graph, scope), protected).select(F.col("sub").alias("source_class"), F.col("sup").alias(holder), F.col("status").alias("sub_status"))
-    out = rows
-    for column, name in (("source_class", "host_a"), (holder, "host_b")):
-        out = out.join(hosts.select(F.col("class_name").alias(column), F.col("host").alias(name)), column, "left")
-    out = out.join(known, ["source_class", holder], "left")
-    level = visibility(access)
-    can = (
-        F.when(level == 3, "yes")
-        .when(level == 0, F.when(_same(F.col("source_class"), F.col(holder)) | _same(F.col("host_a"), F.col("host_b")), "yes").otherwise("no"))
-        .when(package("source_class") == package(holder), "yes")
-        .when(level == 1, "no")
-        .otherwise(F.coalesce("sub_status", F.lit("unknown")))
+# Verdicts travel as numbers: ok, unknown, then broken for these reasons.
+OK, UNKNOWN = 0, 1
+REASONS = [
+    "class removed", "class became abstract", "class access narrowed", "interface became class", "class became interface", "field became static", "method became static", "field became instance",
+    "method became instance", "field access narrowed", "method access narrowed", "field became final", "field removed", "method removed",
+]
+
+
+def _facts(refs: DataFrame, old: DataFrame, new: DataFrame, old_members: DataFrame, new_members: DataFrame, graph: DataFrame) -> DataFrame:
+    """One row for each distinct (owner, name, descriptor, is_field) of refs: the verdicts that a reference may get, by what it expects.
+
+    gone, on_new (instantiated), as_face and as_class (by kind), as_static and as_instance (by what is expected), rest: the first that applies
+    and is not null; else access decides: on_write and if_no, with level and package of the holder. The old side is resolved only for members of
+    which the new side does not decide for every reference.
+    """
+    key = ["owner", "name", "descriptor", "is_field"]
+    flags = lambda df, s: df.select(F.col("class_name").alias("owner"), F.col("access").alias(f"{s}_class"))
+    asked = settle(refs.groupBy(*key).agg(F.bool_or("expected_static").alias("some_static"), F.bool_or(~F.col("expected_static")).alias("some_instance"), F.bool_or("field_write").alias("some_write")))
+    out = asked.join(flags(old, "old"), "owner", "left").join(flags(new, "new"), "owner", "left")
+    out = out.join(graph.select(F.col("class_name").alias("owner"), F.lit(True).alias("in_graph")).distinct(), "owner", "left")
+    named = F.col("name").isNotNull() & F.col("is_field").isNotNull()
+    found = resolve_rows(new, new_members, out.where(named).withColumn("ask", F.lit(True)), "n")
+    static, final = has("n_access", STATIC), has("n_access", FINAL)
+    doubted = F.coalesce((static & F.col("some_instance")) | (~static & F.col("some_static")), F.lit(False)) | (visibility("n_access") < 3) | F.coalesce(final & F.col("some_write"), F.lit(False))
+    found = found.withColumn("ask", (F.col("n_status") == "not_found") | ((F.col("n_status") == "found") & doubted))
+    found = resolve_rows(old, old_members, found, "o").drop("ask")
+    out = found.unionByName(out.where(~named), allowMissingColumns=True)
+
+    member, field = F.col("name").isNotNull(), F.col("is_field")
+    known_old, known_new = F.col("old_class").isNotNull(), F.col("new_class").isNotNull()
+    concrete = lambda c: ~has(c, ABSTRACT) & ~has(c, INTERFACE)
+    n_found, o_found, o_unknown = F.col("n_status") == "found", F.col("o_status") == "found", F.col("o_status") == "unknown"
+    call = ~field & member & known_new
+    broken = lambda reason: F.lit(2 + REASONS.index(reason))
+    kinds = lambda reason: F.when(field, broken(f"field {reason}")).otherwise(broken(f"method {reason}"))
+    since = lambda was, reason: F.when(o_found & was, reason).when(o_unknown, UNKNOWN).otherwise(OK)
+    v2 = F.when(~known_old, UNKNOWN).when(concrete("old_class"), broken("class became abstract")).otherwise(OK)
+    v3 = F.when(~known_old, UNKNOWN).when(visibility("old_class") > visibility("new_class"), broken("class access narrowed")).otherwise(OK)
+    holder, level = F.when(member, F.col("n_at")).otherwise(F.col("owner")), F.when(member, visibility("n_access")).otherwise(visibility("new_class"))
+    used = F.when(member, F.col("n_access")).otherwise(F.col("new_class")).isNotNull()
+    return out.select(
+        *key,
+        F.when(~known_new & F.col("in_graph").isNull(), broken("class removed")).alias("gone"),
+        F.when(known_new & ~concrete("new_class"), v2).alias("on_new"),
+        F.when(call & ~has("new_class", INTERFACE), F.when(~known_old, UNKNOWN).when(has("old_class", INTERFACE), broken("interface became class"))).alias("as_face"),
+        F.when(call & has("new_class", INTERFACE), F.when(~known_old, UNKNOWN).when(~has("old_class", INTERFACE), broken("class became interface"))).alias("as_class"),
+        F.when(n_found & ~static, since(has("o_access", STATIC), kinds("became instance"))).alias("as_static"),
+        F.when(n_found & static, since(~has("o_access", STATIC), kinds("became static"))).alias("as_instance"),
+        F.when(~member, F.when(~known_new, OK)).when(n_found, None).when(F.col("n_status") == "unknown", UNKNOWN).otherwise(since(F.lit(True), kinds("removed"))).alias("rest"),
+        F.when(member & n_found & final, since(~has("o_access", FINAL), broken("field became final"))).alias("on_write"),
+        F.when(member, since(visibility("o_access") > visibility("n_access"), kinds("access narrowed"))).otherwise(v3).alias("if_no"),
+        F.when(used, level).alias("level"),
+        # Who declares what is used: the member's class, or the owner itself for a bare class reference.
+        F.when(used, holder).alias("holder"),
     )
-    return out.withColumn("can", can).drop("host_a", "host_b", "sub_status")
 
 
-def resolved(refs: DataFrame, classes: DataFrame, members: DataFrame, prefix: str) -> DataFrame:
-    """(owner, name, descriptor, is_field, {prefix}_status, {prefix}_at, {prefix}_access) of the member references."""
-    asked = refs.where("name is not null").select("owner", "name", "descriptor", (F.col("kind") == "field").alias("is_field")).distinct()
-    out = resolve_method(classes, members, asked.where("not is_field")).withColumn("is_field", F.lit(False)).unionByName(resolve_field(classes, members, asked.where("is_field")).withColumn("is_field", F.lit(True)))
-    return out.select("owner", "name", "descriptor", "is_field", *[F.col(c).alias(f"{prefix}_{c}") for c in ("status", "at", "access")])
+def _can(rows: DataFrame, scope: DataFrame, graph: DataFrame) -> DataFrame:
+    """rows (source_class, holder, level, ...), level 0 (private) or 2 (protected) -> the same with can yes/no/unknown: may source_class use what holder declares?"""
+    hosts = nest_host(graph.select("class_name").union(scope.select("class_name")), graph, scope).where("host <> class_name")
+    out = rows
+    for column, name in (("source_class", "host_a"), ("holder", "host_b")):
+        out = out.join(hosts.select(F.col("class_name").alias(column), F.lit(0).alias("level"), F.col("host").alias(name)), [column, "level"], "left").withColumn(name, F.coalesce(name, column))
+    pairs = rows.where("level = 2").select(F.col("source_class").alias("sub"), F.col("holder").alias("sup")).distinct()
+    known = subclass(prefer(graph, scope), pairs).select(F.col("sub").alias("source_class"), F.col("sup").alias("holder"), F.lit(2).alias("level"), F.col("status").alias("sub_status"))
+    out = out.join(known, ["source_class", "holder", "level"], "left")
+    return out.withColumn("can", F.when(F.col("level") == 0, F.when(_same(F.col("host_a"), F.col("host_b")), "yes").otherwise("no")).otherwise(F.coalesce("sub_status", F.lit("unknown"))))
 
 
 def verdicts(refs: DataFrame, old: DataFrame, new: DataFrame, old_members: DataFrame, new_members: DataFrame, graph: DataFrame) -> DataFrame:
     """refs (source, source_class, kind, owner, ...) -> the same bag of rows with verdict ok/unknown/broken and reason.
 
-    old, new: what is in scope on either side (library, fetched classes, JDK layer); graph: the classes that were scanned. The old side is
-    resolved only for references of which the new side alone does not decide.
+    old, new: what is in scope on either side (library, fetched classes, JDK layer); graph: the classes that were scanned. All that does
+    not depend on who refers is found once for each member; then the bag meets that, and only the rows on which access decides, and
+    neither the level nor the package tells, are looked up by their own class.
     """
-    flags = lambda df, s: df.select(F.col("class_name").alias("owner"), F.col("access").alias(f"{s}_class"))
-    out = refs.withColumn("is_field", F.col("kind") == "field").join(flags(old, "old"), "owner", "left").join(flags(new, "new"), "owner", "left")
-    out = out.join(graph.select(F.col("class_name").alias("owner"), F.lit(True).alias("in_graph")).distinct(), "owner", "left")
+    columns = refs.columns
+    refs = refs.withColumn("is_field", F.col("kind") == "field")
+    facts = settle(_facts(refs, old, new, old_members, new_members, graph))
     key = ["owner", "name", "descriptor", "is_field"]
-    out = out.join(resolved(refs, new, new_members, "n"), key, "left")
-    member = F.col("name").isNotNull()
-    # Who declares what is used: the member's class, or the owner itself for a bare class reference.
-    out = out.withColumn("used", F.when(member, F.col("n_access")).otherwise(F.col("new_class"))).withColumn("holder", F.when(member, F.col("n_at")).otherwise(F.col("owner")))
-    out = settle(out)
-    pairs = accessible(out.where("used is not null").select("source_class", "used", "holder").distinct(), "used", "holder", new, graph)
-    out = settle(out.join(pairs, ["source_class", "used", "holder"], "left"))
-    fits = lambda access: F.col("expected_static").isNull() | (has(access, STATIC) == F.col("expected_static"))
-    n_found = F.col("n_status") == "found"
-    writes = F.coalesce("field_write", F.lit(False)) & has("n_access", FINAL) & (F.col("source_class") != F.col("n_at"))
-    open_ = out.where(member & ((F.col("n_status") == "not_found") | (n_found & (~fits("n_access") | (F.col("can") == "no") | writes))))
-    out = out.join(resolved(open_, old, old_members, "o"), key, "left")
-
-    ok, unknown = F.lit("ok"), F.lit("unknown")
-    known_old, known_new = F.col("old_class").isNotNull(), F.col("new_class").isNotNull()
-    concrete = lambda c: ~has(c, ABSTRACT) & ~has(c, INTERFACE)
-    kind = F.when(F.col("is_field"), "field").otherwise("method")
-    o_found, o_unknown = F.col("o_status") == "found", F.col("o_status") == "unknown"
-    call_kind = ~F.col("is_field") & member & known_new
-    wants_face = F.col("kind") == "interface_method"
-    broken = lambda reason: F.concat(F.lit("broken:"), reason if isinstance(reason, Column) else F.lit(reason))
-
-    gone = ~known_new & F.col("in_graph").isNull()
-    new_on_abstract = F.coalesce(F.col("instantiated"), F.lit(False)) & known_new & ~concrete("new_class")
-    v2 = F.when(~known_old, unknown).when(concrete("old_class"), broken("class became abstract")).otherwise(ok)
-    v3 = F.when(F.col("can") == "unknown", unknown).when(~known_old, unknown).when(visibility("old_class") > visibility("new_class"), broken("class access narrowed")).otherwise(ok)
-    flipped = call_kind & (wants_face != has("new_class", INTERFACE))
-    old_fits = wants_face == has("old_class", INTERFACE)
-    v5 = F.when(wants_face, broken("interface became class")).otherwise(broken("class became interface"))
-    v6 = F.when(o_found & fits("o_access"), broken(F.concat(kind, F.when(has("n_access", STATIC), " became static").otherwise(" became instance")))).when(o_unknown, unknown).otherwise(ok)
-    v7 = F.when(o_found & (visibility("o_access") > visibility("n_access")), broken(F.concat(kind, F.lit(" access narrowed")))).when(o_unknown, unknown).otherwise(ok)
-    v8 = F.when(o_found & ~has("o_access", FINAL), broken("field became final")).when(o_unknown, unknown).otherwise(ok)
-    v10 = F.when(o_found, broken(F.concat(kind, F.lit(" removed")))).when(o_unknown, unknown).otherwise(ok)
-    decided = (
-        F.when(gone, broken("class removed"))
-        .when(new_on_abstract, v2)
-        .when(~member & known_new & (F.col("can") != "yes"), v3)
-        .when(~member, ok)
-        .when(flipped & ~known_old, unknown)
-        .when(flipped & old_fits, v5)
-        .when(n_found & ~fits("n_access"), v6)
-        .when(n_found & (F.col("can") == "unknown"), unknown)
-        .when(n_found & (F.col("can") == "no"), v7)
-        .when(n_found & writes, v8)
-        .when(n_found, ok)
-        .when(F.col("n_status") == "unknown", unknown)
-        .otherwise(v10)
-    )
-    out = out.withColumn("decided", decided)
-    return out.select(*refs.columns, F.element_at(F.split("decided", ":"), 1).alias("verdict"), F.when(F.col("decided").startswith("broken:"), F.expr("substring(decided, 8)")).alias("reason"))
+    # Every reference has its row, as facts are made of refs; nulls are equal here.
+    named = facts.withColumn("pkg", package("holder")).withColumnsRenamed({c: f"f_{c}" for c in key})
+    out = refs.join(named.hint("shuffle_hash"), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in key]))
+    level, here = F.col("level"), F.col("source_class")
+    by_kind = F.when(F.col("kind") == "interface_method", F.col("as_face")).otherwise(F.col("as_class"))
+    by_static = F.when(F.col("expected_static"), F.col("as_static")).when(~F.col("expected_static"), F.col("as_instance"))
+    early = F.coalesce("gone", F.when(F.col("instantiated"), F.col("on_new")), by_kind, by_static, "rest")
+    if_yes = F.coalesce(F.when(F.col("field_write") & (here != F.col("holder")), F.col("on_write")), F.lit(OK))
+    can = F.when(level.isNull() | (level == 3), True).when((level == 0) & _same(here, F.col("holder")), True).when((level != 0) & (package("source_class") == F.col("pkg")), True).when(level == 1, False)
+    # Private access is yes or no, never unknown, and often both have one verdict.
+    told = F.coalesce("early", F.when(F.col("can") | ((level == 0) & (F.col("if_yes") == F.col("if_no"))), F.col("if_yes")).when(~F.col("can"), F.col("if_no")))
+    late = lambda c: F.when(F.col("told").isNull(), F.col(c)).alias(c)
+    out = out.select(*columns, early.alias("early"), if_yes.alias("if_yes"), "if_no", "level", "holder", can.alias("can")).withColumn("told", told)
+    out = settle(out.select(*columns, "told", *[late(c) for c in ("holder", "level", "if_yes", "if_no")]))
+    decided = F.when(F.col("can") == "yes", F.col("if_yes")).when(F.col("can") == "no", F.col("if_no")).otherwise(UNKNOWN)
+    asked = out.where("told is null")
+    out = out.where("told is not null").select(*columns, "told").unionByName(_can(asked, new, graph).select(*columns, decided.alias("told")))
+    verdict = F.when(F.col("told") == OK, "ok").when(F.col("told") == UNKNOWN, "unknown").otherwise("broken")
+    return out.select(*columns, verdict.alias("verdict"), F.when(F.col("told") > 1, F.element_at(F.array(*map(F.lit, REASONS)), F.col("told") - 1)).alias("reason"))
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
