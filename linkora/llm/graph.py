@@ -308,6 +308,25 @@ def size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.01 / percent))).cast("int")
 
 
+def open_in_buckets(rest: DataFrame, columns: list[str], may_link: Callable[[str, str], Column], sized: bool, kind: Column | None) -> DataFrame:
+    """rest (key, id, comp, main, cls, *columns) -> pairs (a, b) of a bucket in different components that may link, one of them at least outside the main one.
+
+    With `kind`, a pair is listed in the first bucket of each kind that it shares; without, in every one, and each way if both are outside.
+    """
+    cols, classes, once = ["id", "comp", *columns], F.array(F.lit(0)), F.lit(True)
+    if sized:
+        classes = F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)
+    if kind is not None:
+        rest = rest.withColumn("kind", kind)
+        keys = rest.groupBy("id", "kind").agg(F.collect_set("key").alias("keys"))
+        rest, cols = write_table(rest.join(keys, ["id", "kind"])), [*cols, "keys", "main"]
+        # Of two that are both outside the main component, the lesser is left and the other right.
+        once = ((F.col("b_comp") == F.col("b_main")) | (F.col("a_id") < F.col("b_id"))) & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key"))
+    left = rest.where("comp <> main").select("key", F.explode(classes).alias("cls"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    right = rest.select("key", "cls", *[F.col(c).alias(f"b_{c}") for c in cols])
+    return left.join(right, ["key", "cls"]).where("a_comp <> b_comp").where(may_link("a_", "b_")).where(once).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+
 def link_components(
     active: DataFrame,
     load: Callable[[DataFrame], DataFrame],
@@ -320,6 +339,7 @@ def link_components(
     size: Column | None = None,
     may_share: Callable[[str, str], Column] | None = None,
     narrow: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    kind: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """active (key, id, pivot, *extra, p_* of the pivot), a written table -> (links used (a, b), (node, comp)).
 
@@ -327,6 +347,7 @@ def link_components(
     narrow: pairs (a, b) -> those that further filters leave, before the loaded columns are joined.
     linked: pairs (a, b, a_*, b_*) -> those that link, given the loaded columns of both sides.
     describe: loaded rows -> (id, *described), more columns for may_link. size: the size class of a row with these, where buckets hold very different sizes.
+    kind: the kind of a key, where may_link says the same of a pair in each bucket of a kind; the pair is then listed in the first of them only.
     may_share, may_differ, may_link (x, y): necessary conditions for a link in a bucket between the rows with the prefixes x and y, from
     `extra`, from `described`, and from both.
     """
@@ -378,10 +399,7 @@ def link_components(
     if rest.isEmpty():
         return links, comp
     rest = write_table(rest.join(sketch, "id").withColumn("cls", F.lit(0) if size is None else size))
-    cols, classes = ["id", "comp", *extra, *described], F.array(F.lit(0)) if size is None else F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)
-    left = rest.where("comp <> main").select("key", F.explode(classes).alias("cls"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = rest.select("key", "cls", *[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = left.join(right, ["key", "cls"]).where("a_comp <> b_comp").where(may_link("a_", "b_")).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    pairs = open_in_buckets(rest, [*extra, *described], may_link, size is not None, kind).distinct()
     joined(verify(write_table(pairs.join(star, ["a", "b"], "left_anti"))))
     for old in (rest, star, first, side, sketch):
         drop_table(old)

@@ -266,7 +266,7 @@ def dedup_lines(docs: DataFrame, k: int = 7, percent: int = 85, bands: int = 10,
 
     described = [f"{kind}{c}" for kind in (("", "short_") if short else ("",)) for c in ("n", *(f"w{j}" for j in range(SKETCH)))]
     buckets = lines.where(F.col("kind") == BUCKET).select("key", "id", "pivot")
-    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent, least, short), [], in_bucket, may_link, lambda found: _sketches(found, k, least, short), described)
+    _, comp = link_components(buckets, load, lambda pairs: _linked(pairs, k, percent, least, short), [], in_bucket, may_link, lambda found: _sketches(found, k, least, short), described, kind=F.col("key").bitwiseAND(F.lit(1).cast("long")))
     # Of the first places of the lines of a component all but the first go, and so do all further places of any line.
     mine = head.join(comp.withColumnRenamed("node", "id"), "id")
     best = mine.groupBy("comp").agg(F.min(F.struct("d", "rk", "no")).alias("w"))
