@@ -375,15 +375,18 @@ _SUBJECT = ", subject AS (SELECT class_name FROM app WHERE access & 1536 = 0)" +
 _STATUS_T = ["old_lib", "new_lib", "old_m", "new_m", "app", "new_scope", "old_scope", "new_all_m", "old_all_m"]
 
 
-def _asked(t):
-    keys = structural.newly_abstract(*[t(n) for n in _LIB]).unionByName(structural.newly_default(*[t(n) for n in _LIB])).distinct()
-    up = closure.supertype_closure(t("new_scope"), t("app").where("access & 1536 = 0")).where("start <> class_name")
+def _asked(t, scope):
+    lib = [settle(t(n)) for n in _LIB]
+    keys = settle(structural.newly_abstract(*lib).unionByName(structural.newly_default(*lib)).distinct())
+    up = closure.supertype_closure(scope, t("app").where("access & 1536 = 0")).where("start <> class_name")
     return up.join(keys, "class_name").groupBy("start", "name", "descriptor").agg(F.min("class_name").alias("owner"))
 
 
 @query(oracle(_STATUS_T, _ABS + _DEF + _SUBJECT + status_sql("new_scope", "new_all_m", "ak", "n") + " SELECT * FROM nstatus"))
 def implementation_status(t):
-    return structural.implementation_status(t("new_scope"), t("new_all_m"), _asked(t))
+    # One scope, so that its hierarchy is made once.
+    scope = settle(t("new_scope"))
+    return structural.implementation_status(scope, t("new_all_m"), _asked(t, scope))
 
 
 @query(oracle(_STATUS_T, _ABS + _DEF + _SUBJECT + status_sql("new_scope", "new_all_m", "ak", "n") + status_sql("old_scope", "old_all_m", "ak", "o") + " SELECT start AS class_name, name, descriptor, owner, CASE WHEN n.status = 'conflict' THEN 'conflicting default methods' ELSE 'method became abstract' END AS reason FROM ak JOIN nstatus n USING (start, name, descriptor) JOIN ostatus o USING (start, name, descriptor) WHERE n.status IN ('abstract_only', 'conflict') AND o.status IN ('concrete', 'absent')"))
