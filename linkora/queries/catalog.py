@@ -433,7 +433,8 @@ def provider_status(t):
 
 @query(oracle(["services", "old_scope", "new_scope", "old_all_m", "new_all_m", "graph"], _CAND + fits_sql("old_scope", "old_all_m", "old_scope", "graph", "o") + fits_sql("new_scope", "new_all_m", "graph", "new_scope", "n") + " SELECT iface, provider, cand.source, CASE WHEN s.class_name IS NULL THEN 'service provider removed' ELSE 'service provider not instantiable' END AS reason FROM cand JOIN ofits o USING (iface, provider) JOIN nfits n USING (iface, provider) LEFT JOIN new_scope s ON s.class_name = provider WHERE o.fits = 'yes' AND n.fits = 'no'"))
 def spi_breaks(t):
-    return structural.spi_breaks(t("services"), t("services"), t("old_scope"), t("new_scope"), t("old_all_m"), t("new_all_m"), t("graph"))
+    services, old, new, graph = (settle(t(n)) for n in ("services", "old_scope", "new_scope", "graph"))
+    return structural.spi_breaks(services, services, old, new, t("old_all_m"), t("new_all_m"), graph)
 
 
 # --- verdicts ---
